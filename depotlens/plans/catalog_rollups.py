@@ -278,7 +278,7 @@ def a33(d: Domain):
 @query("A35_monthly_fit", """
     SELECT depot, date_trunc('month', date)::DATE AS month, avg(passenger_kms) AS actual, avg(predicted_passenger_kms) AS predicted
     FROM gold g JOIN ledger l ON l.depot = g.depot AND l.prediction_date = g.date GROUP BY ALL""".replace("SELECT depot", "SELECT g.depot"),
-       "actual predicted")
+       "actual predicted", digits=9)
 def a35(d: Domain):
     both = d.gold.join(d.ledger.withColumnRenamed("prediction_date", "date"), ["depot", "date"])
     return both.groupBy("depot", F.trunc("date", "MM").alias("month")).agg(
@@ -351,7 +351,7 @@ def t04b(d: Domain):
 
 
 @query("T05_top_bottom_score", """
-    SELECT employee_id, round(score, 4) AS score, place, side FROM (
+    SELECT employee_id, score, place, side FROM (
         SELECT *, row_number() OVER (ORDER BY score DESC, employee_id) AS place, 'top' AS side FROM scored
         UNION ALL SELECT *, row_number() OVER (ORDER BY score, employee_id), 'bottom' FROM scored) WHERE place <= 5""", "score")
 def t05(d: Domain):
