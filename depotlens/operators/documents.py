@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.functions.numbers import half_even
+
 # Label of each derived measure in a document.
 DERIVED_LABELS = {
     "service_variance": "Service Variance", "km_variance": "KM Variance",
@@ -60,7 +62,7 @@ def kpi_status(docs: DataFrame, depots: DataFrame, benchmarks: DataFrame, label:
 
     CONTROL under the target, WITHIN on it, RISK above it, UNKNOWN without a value.
     """
-    means = docs.groupBy("depot").agg(F.bround(F.avg(kpi_value(label)), 2).alias("value"))
+    means = docs.groupBy("depot").agg(half_even(F.avg(kpi_value(label)), 2).alias("value"))
     target = benchmarks.filter(F.col("kpi") == kpi).select("category", "benchmark")
     rated = means.join(depots.select("depot", "category"), "depot", "left").withColumn(
         "category", F.coalesce("category", F.lit(default))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.functions.numbers import half_even
 from depotlens.operators.quantiles import exact_quantiles
 
 KM_PER_BUS = 250.0
@@ -74,11 +75,11 @@ def accuracy_metrics(table: DataFrame, col: str = "error_pct") -> DataFrame:
     """n, mean, mean absolute, median absolute and share within 10 % / 20 %, rounded to one place."""
     rows = table.select(F.col(col).alias("e"), F.abs(col).alias("a")).filter("e IS NOT NULL")
     basic = rows.groupBy(F.lit(1).alias("_k")).agg(
-        F.count("*").alias("records"), F.bround(F.avg("e"), 1).alias("mean_error"), F.bround(F.avg("a"), 1).alias("mean_abs_error"),
-        F.bround(F.avg((F.col("a") <= 10).cast("double")) * 100, 1).alias("within_10"),
-        F.bround(F.avg((F.col("a") <= 20).cast("double")) * 100, 1).alias("within_20"),
+        F.count("*").alias("records"), half_even(F.avg("e"), 1).alias("mean_error"), half_even(F.avg("a"), 1).alias("mean_abs_error"),
+        half_even(F.avg((F.col("a") <= 10).cast("double")) * 100, 1).alias("within_10"),
+        half_even(F.avg((F.col("a") <= 20).cast("double")) * 100, 1).alias("within_20"),
     )
-    median = exact_quantiles(rows, [], "a", [0.5], ["m"]).select(F.lit(1).alias("_k"), F.bround("m", 1).alias("median_abs_error"))
+    median = exact_quantiles(rows, [], "a", [0.5], ["m"]).select(F.lit(1).alias("_k"), half_even(F.col("m"), 1).alias("median_abs_error"))
     return basic.join(median, "_k").drop("_k")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlens.functions.kpi import RATIO_KPIS, drivers_per_schedule_row
+from depotlens.functions.numbers import half_even
 
 
 def drivers_per_schedule(sheet: DataFrame, by: list[str], how: str = "ratio_of_sums") -> DataFrame:
@@ -23,12 +24,12 @@ def drivers_per_schedule(sheet: DataFrame, by: list[str], how: str = "ratio_of_s
 def eight_ratios(kpis: DataFrame, depots: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Mean of each ratio per depot beside its category target; ``ok`` when not above it."""
     means = kpis.groupBy("depot").agg(
-        *[F.bround(F.avg(k), 2).alias(k) for k in RATIO_KPIS],
-        F.bround(F.try_divide(F.sum("Total_Drivers"), F.nullif(F.sum("Planned_Schedules"), F.lit(0))), 2).alias("drivers_per_schedule"),
+        *[half_even(F.avg(k), 2).alias(k) for k in RATIO_KPIS],
+        half_even(F.try_divide(F.sum("Total_Drivers"), F.nullif(F.sum("Planned_Schedules"), F.lit(0))), 2).alias("drivers_per_schedule"),
     )
     long = means.unpivot("depot", [*RATIO_KPIS, "drivers_per_schedule"], "kpi", "value")
     rated = long.join(depots.select("depot", "category"), "depot").join(benchmarks, ["category", "kpi"])
-    variance = F.bround(F.col("value") - F.col("benchmark"), 2)
+    variance = half_even(F.col("value") - F.col("benchmark"), 2)
     return rated.select("depot", "category", "kpi", "value", "benchmark", variance.alias("variance"), (variance <= 0).cast("int").alias("ok"))
 
 
@@ -91,7 +92,7 @@ def corporation_grid(kpis: DataFrame, counts: list[str], shares: list[str], date
     wanted = kpis.filter(F.col("data_date").isin([F.lit(d).cast("date") for d in dates]))
     totals = wanted.groupBy("data_date").agg(
         *[F.sum(c).cast("double").alias(c) for c in counts],
-        *[F.bround(F.sum(s) / F.countDistinct("depot"), 2).alias(s) for s in shares],
+        *[half_even(F.sum(s) / F.countDistinct("depot"), 2).alias(s) for s in shares],
     )
     return date_grid(totals.unpivot("data_date", [*counts, *shares], "label", "value"), dates, F.col("value"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depotlens.functions.numbers import half_even
 from depotlens.functions.timeparts import month_start
 from depotlens.operators.joins import dense_months, with_hours
 from depotlens.operators.quantiles import exact_quantiles
@@ -238,7 +239,7 @@ def rolling_or(gold: DataFrame, days: int = 30, least: int = 5, fallback: float
     cutoff = F.date_sub(gold.agg(F.max("date")).scalar(), days)
     recent = F.when(F.col("date") >= cutoff, F.col("occupancy_ratio"))
     return gold.groupBy("depot").agg(
-        F.when(F.count(recent) >= least, F.bround(F.avg(recent), 4)).otherwise(fallback).alias("rolling_or")
+        F.when(F.count(recent) >= least, half_even(F.avg(recent), 4)).otherwise(fallback).alias("rolling_or")
     )
 
 

@@ -1 +1,181 @@
-"""To come."""
+"""Forecast models (F, T09) and retrieval (T07, D02, D03)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from depotlens.operators import features as ft
+from depotlens.operators import forecast as fc
+from depotlens.operators import joins, retrieval, rollups
+from depotlens.operators import ledger as lg
+from depotlens.plans.registry import STEPS, query
+from depotlens.session import materialise, work_dir
+from depotlens.sources.views import Domain
+
+# Boosting rounds of the registered queries: enough to exercise the job on test tables.
+ROUNDS = 8
+QUICK = fc.TreeSettings(depth=4).small(ROUNDS)
+
+
+def feature_table(d: Domain):
+    """Written once; training, profiles and scoring read it."""
+    return materialise(ft.features(d.gold, d.weather), "features")
+
+
+@query("F02_select_features")
+def f02(d: Domain):
+    feats = ft.features(d.gold, d.weather)
+    cols = fc.select_features(feats)
+    return feats.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], cols, "feature", "present")
+
+
+@query("F04_hash_split")
+def f04(d: Domain):
+    rows = lg.hash_split(d.operations, ["employee_id", "operations_date", "service_number"])
+    return rows.groupBy("depot", "is_test").agg(F.count("*").alias("n"))
+
+
+@query("F05_train_demand")
+def f05(d: Domain):
+    _, scored = fc.train_demand(feature_table(d), 90, QUICK)
+    return lg.metrics(scored, "passenger_kms", "predicted", ["depot"])
+
+
+@query("T09_top_features")
+def t09(d: Domain):
+    model, _ = fc.train_demand(feature_table(d), 90, QUICK)
+    return fc.top_features(model, 30)
+
+
+@query("F16_model_registry")
+def f16(d: Domain):
+    path = work_dir(d.spark, "models")
+    model, scored = fc.train_demand(feature_table(d), 90, QUICK)
+    scores = lg.metrics(scored.withColumn("scope", F.lit("all")), "passenger_kms", "predicted", ["scope"])
+    fc.save_model(model, scores, path, "v1", "2001-11-05")
+    again = fc.predict(fc.load_model(path, "v1"), scored.drop("predicted"))
+    history = d.spark.read.parquet(f"{path}/history")
+    check = lg.metrics(again.withColumn("scope", F.lit("all")), "passenger_kms", "predicted", ["scope"]).select("scope", F.col("rmse").alias("reloaded_rmse"))
+    return history.join(check, "scope")
+
+
+STEPS["ahead"] = """
+    SELECT g.depot, g.last, g.last + 2 AS date, isodow(g.last + 2) - 1 AS dow FROM (SELECT depot, max(date) AS last FROM gold GROUP BY 1) g"""
+
+
+@query("F07_future_rows", """
+    SELECT a.depot, a.date, a.dow, CASE WHEN h.date IS NULL THEN 0 ELSE 1 END AS is_fes_hol, lag_2 AS pkm_lag_2, roll7 AS pkm_roll7_mean,
+           te AS depot_te, w.max_temp FROM ahead a
+    LEFT JOIN holidays h ON h.date = a.date
+    JOIN (SELECT depot, avg(passenger_kms) AS te, arg_max(passenger_kms, date) AS lag_2 FROM gold GROUP BY 1) t ON t.depot = a.depot
+    JOIN (SELECT depot, avg(passenger_kms) AS roll7 FROM (SELECT *, row_number() OVER (PARTITION BY depot ORDER BY date DESC) AS age FROM gold)
+          WHERE age <= 7 GROUP BY 1) r ON r.depot = a.depot
+    ASOF LEFT JOIN weather w ON w.depot = a.depot AND a.date >= w.date""", "pkm_lag_2 pkm_roll7_mean depot_te max_temp")
+def f07(d: Domain):
+    rows = fc.future_rows(d.gold, d.lunar, d.holidays, d.weather)
+    return rows.select("depot", "date", "dow", "is_fes_hol", "pkm_lag_2", "pkm_roll7_mean", "depot_te", "max_temp")
+
+
+@query("F09_forecast_future")
+def f09(d: Domain):
+    gold = materialise(d.gold, "gold")
+    feats = materialise(ft.features(gold, d.weather), "features")
+    model, _ = fc.train_demand(feats, 90, QUICK)
+    rows = fc.future_rows(gold, d.lunar, d.holidays, d.weather).na.fill(0.0)
+    preds = fc.predict(model, rows).select("depot", F.col("date").alias("prediction_date"), F.col("predicted").alias("predicted_passenger_kms"))
+    return lg.prediction_rows(preds, rollups.rolling_or(gold))
+
+
+@query("F11_passengers_2day")
+def f11(d: Domain):
+    history = materialise(d.daily.select("depot", "date", "passengers_per_day"), "history")
+    model = fc.train_passengers(history, QUICK)
+    raw = fc.passengers_2day(history, model)
+    store = d.depots.select("depot", F.lit(None).cast("double").alias("stored_today"), F.lit(None).cast("double").alias("stored_tomorrow"))
+    return lg.blend(raw, store)
+
+
+@query("F14_absence_7day")
+def f14(d: Domain):
+    sheet = materialise(d.sheet.withColumnRenamed("data_date", "date").select("depot", "date", *fc.ABSENCE_TARGETS), "sheet")
+    calendar = d.holidays.select(F.date_add("date", 8500).alias("date"), "fes_hol_code")
+    models = fc.train_absence(sheet, calendar, least_rows=20, settings=QUICK)
+    return fc.absence_ahead(sheet, calendar, models, 7)
+
+
+def duty_table(d: Domain):
+    duties = rollups.dedupe_duties(joins.with_steering(d.operations, d.steering))
+    return materialise(fc.duty_rows(duties, d.health), "duty-rows")
+
+
+@query("F15_km_hours_grid")
+def f15(d: Domain):
+    rows = duty_table(d)
+    km, hours, _ = fc.train_duties(rows, QUICK)
+    return fc.km_hours_grid(rows, km, hours, "2001-12-01", 6)
+
+
+@query("F15_km_hours_metrics")
+def f15b(d: Domain):
+    _, _, scored = fc.train_duties(duty_table(d), QUICK)
+    km = lg.metrics(scored.withColumn("target", F.lit("km")), "opd_kms", "pred_km", ["target"])
+    return km.unionByName(lg.metrics(scored.withColumn("target", F.lit("hours")), "steering_hours", "pred_hours", ["target"]))
+
+
+# ---- retrieval ---------------------------------------------------------------------------
+STEPS["centroid_parts"] = """
+    SELECT label AS query_id, i, avg(x) AS x FROM (
+        SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2"""
+STEPS["centroid"] = "SELECT query_id, list(x ORDER BY i) AS v FROM centroid_parts GROUP BY 1"
+STEPS["dots"] = """
+    SELECT query_id, vec_id AS doc_id, label, list_inner_product(embedding::DOUBLE[], v) AS score,
+           list_cosine_similarity(embedding::DOUBLE[], v) AS cosine FROM embeddings, centroid"""
+
+
+def vectors(d: Domain):
+    return d.raw("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").cast("bigint").alias("tag"))
+
+
+def centroid_queries(d: Domain):
+    """One query per label: the mean of its vectors."""
+    return retrieval.centroids(vectors(d), "tag").withColumn("tag", F.col("query_id"))
+
+
+def _topk(score: str, where: str = "", after: str = "") -> str:
+    return (f"SELECT query_id, doc_id, score, place FROM (SELECT query_id, doc_id, label, {score} AS score, row_number() OVER "
+            f"(PARTITION BY query_id ORDER BY {score} DESC, doc_id) AS place FROM dots {where}) WHERE place <= 20 {after}")
+
+
+@query("T07_vector_topk", _topk("score"), "score")
+def t07(d: Domain):
+    return retrieval.vector_topk(vectors(d), centroid_queries(d), 20)
+
+
+@query("T07_filter_after", _topk("score", after="AND label = query_id"), "score")
+def t07b(d: Domain):
+    return retrieval.vector_topk(vectors(d), centroid_queries(d), 20, filter_mode="post")
+
+
+@query("T07_filter_before", _topk("score", where="WHERE label = query_id"), "score")
+def t07c(d: Domain):
+    return retrieval.vector_topk(vectors(d), centroid_queries(d), 20, filter_mode="pre")
+
+
+@query("D03_cosine_topk", _topk("cosine"), "score")
+def d03(d: Domain):
+    return retrieval.vector_topk(vectors(d), centroid_queries(d), 20, cosine=True)
+
+
+@query("D02_text_vectors")
+def d02(d: Domain):
+    vecs = retrieval.embed(d.raw("documents").select("doc_id", "text"))
+    return vecs.select("doc_id", F.size("vector").alias("dims"),
+                       F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
+
+
+@query("D02_nearest_to_source")
+def d02b(d: Domain):
+    docs = d.raw("documents")
+    vecs = retrieval.embed(docs.select("doc_id", "text"))
+    by_lang = vecs.join(docs.select("doc_id", F.xxhash64("lang").alias("tag")), "doc_id")
+    return retrieval.vector_topk(vecs, retrieval.centroids(by_lang, "tag"), 10, cosine=True)

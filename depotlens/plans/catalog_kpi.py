@@ -122,9 +122,9 @@ STEPS["ratio_long"] = _long("ratio_means", "depot", [*RATIO_KPIS, "drivers_per_s
 
 
 @query("A16_eight_ratios", """
-    SELECT depot, category, kpi, value, benchmark, round_even(value - benchmark, 2) AS variance,
-           CASE WHEN round_even(value - benchmark, 2) <= 0 THEN 1 ELSE 0 END AS ok
-    FROM (SELECT l.depot, d.category, l.kpi, round_even(value, 2) AS value, benchmark FROM ratio_long l
+    SELECT depot, category, kpi, value, benchmark, round_even(round(value - benchmark, 9), 2) AS variance,
+           CASE WHEN round_even(round(value - benchmark, 9), 2) <= 0 THEN 1 ELSE 0 END AS ok
+    FROM (SELECT l.depot, d.category, l.kpi, round_even(round(value, 9), 2) AS value, benchmark FROM ratio_long l
           JOIN depots d ON d.depot = l.depot JOIN benchmarks b ON b.category = d.category AND b.kpi = l.kpi)""", "value benchmark variance")
 def a16(d: Domain):
     return ratios.eight_ratios(derive_kpis(d.sheet), d.depots, benchmark_table(d.spark))
@@ -193,7 +193,7 @@ _COUNTS = ["Schedules", "Total_Drivers", "Actual_KM", "Spot_Absent"]
 _SHARES = ["pct_leave", "pct_sick"]
 STEPS["corporation"] = " UNION ALL ".join(
     [f"SELECT '{c}' AS label, data_date, sum({c})::DOUBLE AS value FROM kpis GROUP BY 2" for c in _COUNTS]
-    + [f"SELECT '{c}', data_date, round_even(sum({c}) / count(DISTINCT depot), 2) FROM kpis GROUP BY 2" for c in _SHARES])
+    + [f"SELECT '{c}', data_date, round_even(round(sum({c}) / count(DISTINCT depot), 9), 2) FROM kpis GROUP BY 2" for c in _SHARES])
 
 
 def _cells(dates: list[str]) -> str:
@@ -291,7 +291,7 @@ def d04(d: Domain):
 _STATUS = """
     SELECT m.depot, coalesce(d.category, 'Rural') AS category, value, benchmark,
            CASE WHEN value < benchmark THEN 'CONTROL' WHEN value = benchmark THEN 'WITHIN' ELSE 'RISK' END AS status
-    FROM (SELECT depot, round_even(avg({k}), 2) AS value FROM kpis GROUP BY 1) m
+    FROM (SELECT depot, round_even(round(avg({k}), 9), 2) AS value FROM kpis GROUP BY 1) m
     LEFT JOIN (SELECT * FROM depots WHERE region <> 'ASIA') d ON d.depot = m.depot
     LEFT JOIN benchmarks b ON b.category = coalesce(d.category, 'Rural') AND b.kpi = '{k}'"""
 

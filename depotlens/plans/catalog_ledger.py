@@ -56,8 +56,8 @@ def e02b(d: Domain):
 
 
 @query("E03_accuracy_metrics", """
-    SELECT count(*) AS records, round_even(avg(km_error_pct), 1) AS mean_error, round_even(avg(abs(km_error_pct)), 1) AS mean_abs_error,
-           round_even(median(abs(km_error_pct)), 1) AS median_abs_error,
+    SELECT count(*) AS records, round_even(round(avg(km_error_pct), 9), 1) AS mean_error, round_even(round(avg(abs(km_error_pct)), 9), 1) AS mean_abs_error,
+           round_even(round(median(abs(km_error_pct)), 9), 1) AS median_abs_error,
            round_even(avg(CASE WHEN abs(km_error_pct) <= 10 THEN 1 ELSE 0 END) * 100, 1) AS within_10,
            round_even(avg(CASE WHEN abs(km_error_pct) <= 20 THEN 1 ELSE 0 END) * 100, 1) AS within_20
     FROM closed WHERE km_error_pct IS NOT NULL""", "mean_error mean_abs_error median_abs_error within_10 within_20")
@@ -137,7 +137,7 @@ def e05(d: Domain):
 # ---- prediction records --------------------------------------------------------------
 STEPS["loads"] = """
     SELECT depot, CASE WHEN count(*) FILTER (WHERE date >= cut) >= 12
-                       THEN round_even(avg(occupancy_ratio) FILTER (WHERE date >= cut), 4) ELSE 0.85 END::DOUBLE AS rolling_or
+                       THEN round_even(round(avg(occupancy_ratio) FILTER (WHERE date >= cut), 9), 4) ELSE 0.85 END::DOUBLE AS rolling_or
     FROM gold, (SELECT max(date) - 30 AS cut FROM gold) GROUP BY 1"""
 STEPS["fresh"] = """
     SELECT w.depot, w.date AS prediction_date, max_temp * 1000 AS predicted_passenger_kms, rolling_or AS assumed_or, 45 AS bus_capacity,

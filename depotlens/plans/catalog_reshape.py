@@ -137,11 +137,12 @@ def u09(d: Domain):
     return reshape.transpose(years, "year", ["actual_kms", "revenue"], _V)
 
 
+STEPS["seen_routes"] = "SELECT DISTINCT route FROM services WHERE planned_trips > 4 AND depot = 'NATION_3'"
+
+
 @query("P31_label_codes", """
-    SELECT s.depot, service_number, route, coalesce(code, (SELECT count(*) FROM (SELECT DISTINCT route FROM services WHERE planned_trips > 4)))::INTEGER AS route_code
-    FROM services s LEFT JOIN (SELECT route AS r, dense_rank() OVER (ORDER BY route) - 1 AS code
-                               FROM (SELECT DISTINCT route FROM services WHERE planned_trips > 4 AND depot = 'NATION_3')) c ON c.r = route""".replace(
-    "SELECT DISTINCT route FROM services WHERE planned_trips > 4))", "SELECT DISTINCT route FROM services WHERE planned_trips > 4 AND depot = 'NATION_3'))"))
+    SELECT depot, service_number, s.route, coalesce(code, (SELECT count(*) FROM seen_routes))::INTEGER AS route_code FROM services s
+    LEFT JOIN (SELECT route, row_number() OVER (ORDER BY route) - 1 AS code FROM seen_routes) c ON c.route = s.route""")
 def p31(d: Domain):
     seen = d.services.filter("planned_trips > 4 AND depot = 'NATION_3'")
     return reshape.encode(d.services.select("depot", "service_number", "route"), "route", reshape.label_codes(seen, "route"), "route_code")

@@ -269,7 +269,7 @@ def a32(d: Domain):
 
 @query("A33_rolling_or", """
     SELECT depot, CASE WHEN count(*) FILTER (WHERE date >= cut) >= 12
-                       THEN round_even(avg(occupancy_ratio) FILTER (WHERE date >= cut), 4) ELSE 0.85 END AS rolling_or
+                       THEN round_even(round(avg(occupancy_ratio) FILTER (WHERE date >= cut), 9), 4) ELSE 0.85 END AS rolling_or
     FROM gold, (SELECT max(date) - 30 AS cut FROM gold) GROUP BY 1""", "rolling_or")
 def a33(d: Domain):
     return rollups.rolling_or(d.gold, least=12)

@@ -1 +1,131 @@
-"""To come."""
+"""Streaming (R) queries: each runs a stream over the tables and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from depotlens.plans.registry import STEPS, query
+from depotlens.session import work_dir
+from depotlens.sources.views import Domain
+from depotlens.streaming import ingest as st
+
+STEPS["event_days"] = """
+    SELECT n_name AS depot, ts::DATE AS date, count(*) * 45 AS passengers_per_day, sum(round(value * 100)::BIGINT) / 100::DOUBLE AS actual_kms,
+           count(*) FILTER (WHERE event_type = 'purchase') / count(*)::DOUBLE AS occupancy_ratio
+    FROM events JOIN nation ON n_nationkey = user_id % 25 GROUP BY 1, 2"""
+_COLS = ["depot", "date", "passengers_per_day", "actual_kms", "occupancy_ratio"]
+_FILE_SCHEMA = st.DROP_SCHEMA + ", file string"
+
+
+def event_days(d: Domain):
+    nation = d.raw("nation").select((F.col("n_nationkey") + 0).alias("k"), F.col("n_name").alias("depot"))
+    rows = d.raw("events").withColumn("k", (F.col("user_id") % 25).cast("int"))
+    return rows.groupBy("k", F.col("ts").cast("date").alias("date")).agg(
+        (F.count("*") * 45).alias("passengers_per_day"), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0).alias("actual_kms"),
+        (F.count_if(F.col("event_type") == "purchase") / F.count("*")).alias("occupancy_ratio"),
+    ).join(nation, "k").drop("k")
+
+
+def drop_files(rows, path: str) -> str:
+    """One CSV drop per ``file`` value, the name kept as the folder name."""
+    rows.select(*_COLS, "file").write.mode("append").option("header", True).partitionBy("file").csv(path)
+    return path
+
+
+def daily_name(prefix: str = ""):
+    return F.concat(F.lit(prefix + "ops_daily_"), F.date_format("date", "yyyy-MM-dd"), F.lit(".csv"))
+
+
+def load_all(d: Domain, rows, reject: str):
+    """Drop the rows as files, stream them in, return the master path and the error log path."""
+    drop, base = work_dir(d.spark, "drop"), work_dir(d.spark, "ingest")
+    drop_files(rows, drop)
+    stream = st.file_stream(d.spark, drop, _FILE_SCHEMA)
+    handler = st.load_handler(f"{base}/master", d.depots, "2024-02-01", f"{base}/errors", reject=reject)
+    st.ingest(stream, handler, f"{base}/checkpoint").awaitTermination()
+    return f"{base}/master", f"{base}/errors"
+
+
+@query("R01_file_drop_ingest", "SELECT * FROM event_days", "actual_kms occupancy_ratio")
+def r01(d: Domain):
+    master, _ = load_all(d, event_days(d).withColumn("file", daily_name()), "batch")
+    return d.spark.read.parquet(master).select(*_COLS)
+
+
+@query("R02_gate_quarantine", """
+    SELECT depot, date, passengers_per_day, actual_kms, occupancy_ratio FROM event_days WHERE isodow(date) <> 7""", "actual_kms occupancy_ratio")
+def r02(d: Domain):
+    sunday = F.weekday("date") == 6
+    named = event_days(d).withColumn("file", F.when(sunday, F.concat(F.lit("x"), daily_name(), F.lit(".txt"))).otherwise(daily_name()))
+    master, _ = load_all(d, named, "file")
+    return d.spark.read.parquet(master).select(*_COLS)
+
+
+@query("R02_error_log", """
+    SELECT 'xops_daily_' || strftime(date, '%Y-%m-%d') || '.csv.txt' AS file, 'bad_name' AS rule, count(*) AS n FROM event_days
+    WHERE isodow(date) = 7 GROUP BY 1""")
+def r02b(d: Domain):
+    sunday = F.weekday("date") == 6
+    named = event_days(d).withColumn("file", F.when(sunday, F.concat(F.lit("x"), daily_name(), F.lit(".txt"))).otherwise(daily_name()))
+    _, errors = load_all(d, named, "file")
+    return d.spark.read.parquet(errors)
+
+
+@query("R03_late_correction", """
+    SELECT depot, date, passengers_per_day, CASE WHEN day(date) > 20 THEN actual_kms * 2 ELSE actual_kms END AS actual_kms, occupancy_ratio
+    FROM event_days""", "actual_kms occupancy_ratio")
+def r03(d: Domain):
+    first = event_days(d).withColumn("file", daily_name("r1_"))
+    again = event_days(d).filter(F.dayofmonth("date") > 20).withColumn("actual_kms", F.col("actual_kms") * 2).withColumn("file", daily_name("r2_"))
+    drop, base = work_dir(d.spark, "drop"), work_dir(d.spark, "ingest")
+    drop_files(first.unionByName(again), drop)
+
+    def handle(batch, epoch):
+        st.correct(batch, f"{base}/master", ["depot", "date"])
+
+    st.ingest(st.file_stream(d.spark, drop, _FILE_SCHEMA), handle, f"{base}/checkpoint").awaitTermination()
+    return d.spark.read.parquet(f"{base}/master").select(*_COLS)
+
+
+def _events(d: Domain):
+    schema = d.raw("events").schema
+    return st.event_stream(d.spark, d.folder, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "amount", F.round(F.col("value") * 100).cast("bigint"))
+
+
+@query("R04_daily_stream", """
+    SELECT event_type, ts::DATE AS day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY 1, 2
+    HAVING (ts::DATE + INTERVAL 1 DAY) <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+def r04(d: Domain):
+    out = work_dir(d.spark, "daily-stream")
+    return st.run_to_table(st.daily_rollup(_events(d), ["event_type"], "amount"), f"{out}/table", f"{out}/checkpoint")
+
+
+@query("R05_rolling_stream", """
+    SELECT event_type, first_day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total
+    FROM (SELECT *, unnest(generate_series(ts::DATE - INTERVAL 6 DAY, ts::DATE, INTERVAL 1 DAY))::DATE AS first_day FROM events) GROUP BY 1, 2
+    HAVING first_day + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+def r05(d: Domain):
+    out = work_dir(d.spark, "rolling-stream")
+    return st.run_to_table(st.rolling_rollup(_events(d), ["event_type"], "amount"), f"{out}/table", f"{out}/checkpoint")
+
+
+@query("R06_close_stream", """
+    SELECT depot, date AS prediction_date, 'completed' AS status, passengers_per_day * 2.0::DOUBLE AS predicted_passenger_kms,
+           occupancy_ratio * actual_kms * 45 AS actual_passenger_kms FROM event_days WHERE day(date) <= 20
+    UNION ALL SELECT depot, date, 'pending', passengers_per_day * 2.0::DOUBLE, NULL FROM event_days WHERE day(date) > 20""",
+       "predicted_passenger_kms actual_passenger_kms")
+def r06(d: Domain):
+    base = work_dir(d.spark, "closing")
+    days = event_days(d)
+    predictions = days.select(
+        "depot", F.col("date").alias("prediction_date"), (F.col("passengers_per_day") * 2.0).alias("predicted_passenger_kms"),
+        F.lit("pending").alias("status"), (F.col("passengers_per_day") / 20.0).alias("estimated_kms"),
+        *[F.lit(None).cast(t).alias(c) for c, t in st.lg.ACTUALS.items()], F.trunc("date", "MM").alias("month"))
+    predictions.write.mode("overwrite").partitionBy("month").parquet(f"{base}/ledger")
+    drop_files(days.filter(F.dayofmonth("date") <= 20).withColumn("file", daily_name()), f"{base}/drop")
+    stream = st.file_stream(d.spark, f"{base}/drop", _FILE_SCHEMA).withColumn(
+        "passenger_kms", F.col("occupancy_ratio") * F.col("actual_kms") * 45)
+    st.ingest(stream, st.close_handler(f"{base}/ledger"), f"{base}/checkpoint").awaitTermination()
+    return d.spark.read.parquet(f"{base}/ledger").select(
+        "depot", "prediction_date", "status", "predicted_passenger_kms", "actual_passenger_kms")

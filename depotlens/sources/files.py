@@ -22,7 +22,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def scan_arrivals(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Every row of a drop folder with its file's name, kind and date."""
-    rows = spark.read.schema(schema).option("header", True).csv(path).withColumn("file", F.col("_metadata.file_name"))
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).withColumn("file", F.col("_metadata.file_name"))
     return rows.withColumns(classify_file(F.col("file")))
 
 
