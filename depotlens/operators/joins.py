@@ -181,8 +181,10 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: str = "
 
 
 def with_global(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
-    """Attach one-row statistics as scalar sub-queries: no join and no single-task window."""
-    return df.withColumns({name: df.select(stat).scalar() for name, stat in stats.items()})
+    """Attach one-row statistics, computed in one aggregate, as a scalar sub-query: no join
+    and no single-task window."""
+    row = df.agg(F.struct(*[stat.alias(name) for name, stat in stats.items()])).scalar()
+    return df.withColumn("_g", row).select(*df.columns, *[F.col(f"_g.{name}").alias(name) for name in stats])
 
 
 def actual_vs_predicted(actual: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depotlens.functions.numbers import half_even
 from depotlens.operators.quantiles import exact_quantiles
+from depotlens.session import materialise
 
 KM_PER_BUS = 250.0
 KEYS = ["depot", "prediction_date"]
@@ -74,13 +75,14 @@ def accuracy_table(ledger: DataFrame, kind: str) -> DataFrame:
 def accuracy_metrics(table: DataFrame, col: str = "error_pct") -> DataFrame:
     """n, mean, mean absolute, median absolute and share within 10 % / 20 %, rounded to one place."""
     rows = table.select(F.col(col).alias("e"), F.abs(col).alias("a")).filter("e IS NOT NULL")
-    basic = rows.groupBy(F.lit(1).alias("_k")).agg(
+    rows = materialise(rows, "errors")
+    basic = rows.agg(
         F.count("*").alias("records"), half_even(F.avg("e"), 1).alias("mean_error"), half_even(F.avg("a"), 1).alias("mean_abs_error"),
         half_even(F.avg((F.col("a") <= 10).cast("double")) * 100, 1).alias("within_10"),
         half_even(F.avg((F.col("a") <= 20).cast("double")) * 100, 1).alias("within_20"),
     )
-    median = exact_quantiles(rows, [], "a", [0.5], ["m"]).select(F.lit(1).alias("_k"), half_even(F.col("m"), 1).alias("median_abs_error"))
-    return basic.join(median, "_k").drop("_k")
+    median = exact_quantiles(rows, [], "a", [0.5], ["m"], stage=False)
+    return basic.withColumn("median_abs_error", median.select(half_even(F.col("m"), 1)).scalar())
 
 
 def prediction_rows(predictions: DataFrame, loads: DataFrame, assumed_or: float = 0.85, capacity: int = 45) -> DataFrame:

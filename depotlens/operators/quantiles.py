@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depotlens.session import materialise
+
 ACCURACY = 1000
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
-    """Linear-interpolated quantiles per group, equal to a full sort of each group.
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str], stage: bool = True
+) -> DataFrame:
+    """Linear-interpolated quantiles per group (or overall), equal to a full sort of each group.
+
+    The values are read three times; ``stage`` writes them once first, which pays off
+    unless the input is a plain table scan.
 
     1. a mergeable sketch brackets each quantile between two values;
     2. one pass counts what lies below the bracket and keeps the values inside it,
        already combined to (value, count);
     3. only the bracket, a few thousandths of the group, is ordered.
     """
-    if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, names).drop("_all")
     eps = 4.0 / ACCURACY
     edges = [e for p in probs for e in (max(p - eps, 0.0), min(p + eps, 1.0))]
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value)
+    if stage:
+        rows = materialise(rows, "quantiles")
     sketch = rows.groupBy(*by).agg(
         F.percentile_approx(value, edges, ACCURACY).alias("e"), F.count("*").alias("n"),
         F.min(value).alias("lo"), F.max(value).alias("hi"),
@@ -37,7 +44,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         ])).alias("q", "w"),
     ).select(*by, "q", "w.*")
     freq = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    joined = freq.join(wanted, by)
+    if by:
+        joined = freq.join(wanted, by)
+    else:
+        # A handful of brackets, attached as one scalar value.
+        brackets = wanted.agg(F.collect_list(F.struct("q", "a", "b", "pos"))).scalar()
+        joined = freq.withColumn("w", F.explode(brackets)).select("v", "c", "w.*")
     slot = [*by, "q"]
     below = joined.groupBy(*slot).agg(
         F.sum(F.when(F.col("v") < F.col("a"), F.col("c")).otherwise(0)).alias("below"),

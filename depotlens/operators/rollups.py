@@ -14,6 +14,7 @@ from depotlens.functions.numbers import half_even
 from depotlens.functions.timeparts import month_start
 from depotlens.operators.joins import dense_months, with_hours
 from depotlens.operators.quantiles import exact_quantiles
+from depotlens.session import materialise
 
 MEASURES = ["total_km", "total_hours", "total_earnings"]
 
@@ -178,10 +179,10 @@ def day_night(ops: DataFrame, start: str, end: str) -> DataFrame:
     return dense_months(counts, ["employee_id"], start, end, ["day_duties", "night_duties"])
 
 
-def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
+def five_numbers(df: DataFrame, group: str, value: str, stage: bool = True) -> DataFrame:
     """Box-plot numbers per group."""
     names = ["low", "q1", "median", "q3", "high"]
-    return exact_quantiles(df, [group], value, [0.0, 0.25, 0.5, 0.75, 1.0], names)
+    return exact_quantiles(df, [group], value, [0.0, 0.25, 0.5, 0.75, 1.0], names, stage)
 
 
 def dedupe_duties(ops: DataFrame) -> DataFrame:
@@ -317,8 +318,10 @@ def driver_performance(ops: DataFrame, services: DataFrame, absences: DataFrame)
 def driver_score(perf: DataFrame) -> DataFrame:
     """Sum of min-max scaled km, earnings and hours less scaled leave; a flat measure counts 0.
 
-    The four minima and maxima come from one aggregate used as a scalar sub-query.
+    The limits come from one aggregate used as a scalar sub-query; the per-driver
+    table is written once because it is read for both.
     """
+    perf = materialise(perf, "performance")
     cols = ["km", "earnings", "hours", "leaves"]
     limits = perf.agg(F.struct(*[f(c).alias(f"{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))])).scalar()
     scaled = perf.withColumn("_l", limits)

@@ -55,15 +55,22 @@ def recent_or(ops: DataFrame, target, days: int) -> DataFrame:
         F.round(F.avg("occupancy_ratio"), 9).alias("recent_or"))
 
 
+def _per_pkm() -> Column:
+    pkm = F.col("passenger_kms")
+    return F.when(pkm > 0, F.try_divide(F.col("revenue"), pkm))
+
+
 def rev_per_pkm(ops: DataFrame, target, days: int) -> DataFrame:
     """Mean of daily revenue per passenger-km."""
     rows = lookback(ops, target, days).filter("passenger_kms > 0")
-    return rows.groupBy("depot", "service_number").agg(F.avg(F.col("revenue") / F.col("passenger_kms")).alias("rev_per_pkm"))
+    return rows.groupBy("depot", "service_number").agg(F.avg(_per_pkm()).alias("rev_per_pkm"))
 
 
-def service_weights(ops: DataFrame, target, days: int) -> DataFrame:
-    per = lookback(ops, target, days).groupBy("depot", "service_number").agg(F.sum("passenger_kms").alias("pkm"))
-    return share(per, "depot", "pkm", "weight").select("depot", "service_number", "weight")
+def service_economics(ops: DataFrame, target, days: int) -> DataFrame:
+    """Each service's share of its depot's passenger-km and its revenue per passenger-km, from one grouping."""
+    per = lookback(ops, target, days).groupBy("depot", "service_number").agg(
+        F.sum("passenger_kms").alias("pkm"), F.avg(_per_pkm()).alias("rev_per_pkm"))
+    return share(per, "depot", "pkm", "weight").drop("pkm")
 
 
 def resolve_forecast(ledger: DataFrame, ops: DataFrame, target: str | None = None, policy: TripPolicy = TripPolicy()) -> DataFrame:
@@ -121,32 +128,43 @@ def candidates(services: DataFrame, recent: DataFrame, policy: TripPolicy = Trip
     })
 
 
+def trip_changes(gap: DataFrame, cands: DataFrame, policy: TripPolicy = TripPolicy()) -> DataFrame:
+    """Services to change: a depot is either short or in excess, so one pass serves both.
+
+    Short depots add from the fullest peak services with the shortest trips; depots in
+    excess cut the emptiest off-peak services with the longest trips.  The two orders
+    mirror each other, hence the sign.
+    """
+    acting = gap.filter("act").select(
+        "depot", F.abs("delta_kms").alias("need"), F.when(F.col("delta_kms") > 0, 1).otherwise(-1).alias("sign"))
+    pool = cands.join(acting, "depot")
+    stop = F.col("recent_or") < policy.stop_below_or
+    adding = F.col("sign") > 0
+    trips = F.when(adding, F.lit(policy.trips_per_change)).when(stop, F.col("planned_trips")).otherwise(
+        F.least(F.lit(policy.trips_per_change), F.col("planned_trips")))
+    can_add = (F.col("recent_or") >= policy.add_from_or) & (F.col("km_per_trip") > 0)
+    can_cut = (F.col("is_protected") == 0) & (F.col("can_be_cancelled") == 1) & (F.col("planned_trips") > 0)
+    pool = pool.filter(F.when(adding, can_add).otherwise(can_cut)).withColumn("trips", trips).withColumn(
+        "gain", F.col("km_per_trip") * F.col("trips"))
+    sign = F.col("sign")
+    order = [-sign * F.col("is_peak"), -sign * F.col("recent_or"), sign * F.col("km_per_trip"), F.asc("service_number")]
+    taken = capped_allocation(pool, order, "gain", "need", policy.per_route, policy.per_depot)
+    two = F.round("recent_or", 2)
+    reason = (
+        F.when(adding, F.format_string("Add %d trip(s), OR=%.2f", "trips", two))
+        .when(stop, F.format_string("Stop service, very low OR=%.2f", two))
+        .otherwise(F.format_string("Cut %d trip(s), OR=%.2f", "trips", two))
+    )
+    action = F.when(adding, "INCREASE").when(stop, "STOP").otherwise("DECREASE")
+    return taken.select("depot", "service_number", (sign * F.col("trips")).alias("trip_change"), action.alias("action"), reason.alias("reason"))
+
+
 def add_trips(gap: DataFrame, cands: DataFrame, policy: TripPolicy = TripPolicy()) -> DataFrame:
-    short = gap.filter("act AND delta_kms > 0").select("depot", "delta_kms")
-    gain = F.col("km_per_trip") * policy.trips_per_change
-    pool = cands.filter(F.col("recent_or") >= policy.add_from_or).withColumn("gain", gain).filter("gain > 0").join(short, "depot")
-    order = [F.desc("is_peak"), F.desc("recent_or"), F.asc("km_per_trip"), F.asc("service_number")]
-    taken = capped_allocation(pool, order, "gain", "delta_kms", policy.per_route, policy.per_depot)
-    reason = F.format_string(f"Add {policy.trips_per_change} trip(s), OR=%.2f", F.round("recent_or", 2))
-    return taken.select("depot", "service_number", F.lit(policy.trips_per_change).alias("trip_change"),
-                        F.lit("INCREASE").alias("action"), reason.alias("reason"))
+    return trip_changes(gap.filter("delta_kms > 0"), cands, policy)
 
 
 def cut_trips(gap: DataFrame, cands: DataFrame, policy: TripPolicy = TripPolicy()) -> DataFrame:
-    over = gap.filter("act AND delta_kms <= 0").select("depot", (-F.col("delta_kms")).alias("excess"))
-    stop = F.col("recent_or") < policy.stop_below_or
-    removed = F.when(stop, F.col("planned_trips")).otherwise(F.least(F.lit(policy.trips_per_change), F.col("planned_trips")))
-    pool = (
-        cands.filter("is_protected = 0 AND can_be_cancelled = 1 AND planned_trips > 0")
-        .withColumn("removed", removed).withColumn("gain", F.col("km_per_trip") * F.col("removed")).join(over, "depot")
-    )
-    order = [F.asc("is_peak"), F.asc("recent_or"), F.desc("km_per_trip"), F.asc("service_number")]
-    taken = capped_allocation(pool, order, "gain", "excess", policy.per_route, policy.per_depot)
-    two = F.round("recent_or", 2)
-    reason = F.when(stop, F.format_string("Stop service, very low OR=%.2f", two)).otherwise(
-        F.format_string("Cut %d trip(s), OR=%.2f", "removed", two))
-    return taken.select("depot", "service_number", (-F.col("removed")).alias("trip_change"),
-                        F.when(stop, "STOP").otherwise("DECREASE").alias("action"), reason.alias("reason"))
+    return trip_changes(gap.filter("delta_kms <= 0"), cands, policy)
 
 
 def impact(cands: DataFrame, changes: DataFrame) -> DataFrame:
@@ -167,7 +185,7 @@ def impact(cands: DataFrame, changes: DataFrame) -> DataFrame:
 def trip_schedule(services: DataFrame, ops: DataFrame, forecast: DataFrame, shares: DataFrame, target, policy: TripPolicy = TripPolicy()) -> DataFrame:
     cands = candidates(services, recent_or(ops, target, policy.lookback_days), policy)
     gap = depot_gap(services, forecast, shares, policy)
-    return impact(cands, add_trips(gap, cands, policy).unionByName(cut_trips(gap, cands, policy)))
+    return impact(cands, trip_changes(gap, cands, policy))
 
 
 TRIP_ACTIONS = ["STOP", "DECREASE", "INCREASE", "NO_CHANGE"]
@@ -201,11 +219,7 @@ def quadrant(epk: Column, cpk: Column, load: Column, edge: float = SlotPolicy.qu
 def epk(services: DataFrame, ops: DataFrame, forecast: DataFrame, target, policy: SlotPolicy = SlotPolicy()) -> DataFrame:
     """Forecast spread over services, and what each earns per kilometre."""
     keys = ["depot", "service_number"]
-    base = (
-        services.join(forecast, "depot")
-        .join(service_weights(ops, target, policy.lookback_days), keys, "left")
-        .join(rev_per_pkm(ops, target, policy.lookback_days), keys, "left")
-    )
+    base = services.join(forecast, "depot").join(service_economics(ops, target, policy.lookback_days), keys, "left")
     km = F.col("planned_kms")
     return (
         base.withColumn("allocated_pkm", F.col("predicted_pkm") * F.coalesce("weight", F.lit(0.0)))

@@ -148,7 +148,7 @@ STEPS["fresh"] = """
 def fresh(d: Domain):
     preds = d.weather.filter("daily_rainfall IS NOT NULL").select(
         "depot", F.col("date").alias("prediction_date"), (F.col("max_temp") * 1000).alias("predicted_passenger_kms"))
-    return lg.prediction_rows(preds, rollups.rolling_or(d.gold, least=12))
+    return lg.prediction_rows(preds, rollups.rolling_or(d.daily, least=12))
 
 
 @query("F09_prediction_rows", """
@@ -173,7 +173,7 @@ def f09(d: Domain):
 def f10(d: Domain):
     actual = d.gold.select("depot", F.col("date").alias("prediction_date"), F.col("passenger_kms").alias("actual_passenger_kms"), "actual_kms")
     tested = fresh(d).select("depot", "prediction_date", "predicted_passenger_kms").join(actual, ["depot", "prediction_date"])
-    out = lg.backfill(d.ledger, tested, rollups.rolling_or(d.gold, least=12))
+    out = lg.backfill(d.ledger, tested, rollups.rolling_or(d.daily, least=12))
     return out.drop("actual_kms", "assumed_or", "bus_capacity")
 
 

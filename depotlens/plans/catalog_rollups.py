@@ -202,7 +202,7 @@ def a15(d: Domain):
 
 @query("A15_earnings_by_depot", _five("daily_earnings", "operations", "depot"), "low q1 median q3 high")
 def a15b(d: Domain):
-    return rollups.five_numbers(d.operations, "depot", "daily_earnings")
+    return rollups.five_numbers(d.operations, "depot", "daily_earnings", stage=False)
 
 
 @query("A26_dedupe_duties", """
@@ -272,7 +272,7 @@ def a32(d: Domain):
                        THEN round_even(round(avg(occupancy_ratio) FILTER (WHERE date >= cut), 9), 4) ELSE 0.85 END AS rolling_or
     FROM gold, (SELECT max(date) - 30 AS cut FROM gold) GROUP BY 1""", "rolling_or")
 def a33(d: Domain):
-    return rollups.rolling_or(d.gold, least=12)
+    return rollups.rolling_or(d.daily, least=12)
 
 
 @query("A35_monthly_fit", """
