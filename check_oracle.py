@@ -41,8 +41,10 @@ def table(columns, rows):
     return names, sorted(tuple(normal(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, q, folder: str) -> str:
+def compare(spark, con, q, folder: str, inspect=None) -> str:
     df = q.run(spark, folder)
+    if inspect:
+        inspect(df)
     got = table(df.columns, [tuple(r) for r in df.collect()])
     sql = q.oracle()
     if sql is None:

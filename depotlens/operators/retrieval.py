@@ -42,7 +42,8 @@ def _block_topk(docs: DataFrame, ids: list, matrix: np.ndarray, k: int, cosine:
 
 
 def vector_topk(
-    docs: DataFrame, queries: DataFrame, k: int = 5, cosine: bool = False, filter_mode: str = "none", max_queries: int = MAX_QUERIES
+    docs: DataFrame, queries: DataFrame, k: int = 5, cosine: bool = False, filter_mode: str = "none", max_queries: int = MAX_QUERIES,
+    _level: int = 0,
 ) -> DataFrame:
     """(query_id, doc_id, score, place): exact nearest documents by inner product.
 
@@ -56,22 +57,26 @@ def vector_topk(
     some = queries.select("query_id", "vector").limit(max_queries + 1).collect()
     if len(some) > max_queries:
         parts = -(-queries.count() // (max_queries // 2))
-        bucket = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        bucket = F.pmod(F.xxhash64("query_id", F.lit(_level)), F.lit(parts))
         out = None
         for i in range(parts):
-            hits = vector_topk(docs, queries.filter(bucket == i), k, cosine, filter_mode, max_queries)
+            hits = vector_topk(docs, queries.filter(bucket == i), k, cosine, filter_mode, max_queries, _level + 1)
             out = hits if out is None else out.unionByName(hits)
         return out
+    if not some:
+        empty = f"query_id bigint, doc_id {dict(docs.dtypes)['doc_id']}, score double, place int"
+        return docs.sparkSession.createDataFrame([], empty)
     ids = [r["query_id"] for r in some]
-    matrix = np.array([r["vector"] for r in some], dtype="float64").reshape(len(ids), -1)
-    if cosine and ids:
+    matrix = np.array([r["vector"] for r in some], dtype="float64")
+    if cosine:
         matrix = _unit(matrix)
 
     if filter_mode == "pre":
-        tagged = queries.select("query_id", "tag").collect()
+        # As many rows as there are queries, which is bounded above.
+        tag_of = {r["query_id"]: r["tag"] for r in queries.select("query_id", "tag").collect()}
         found = None
-        for tag in sorted({r["tag"] for r in tagged}, key=str):
-            own = [i for i, q in enumerate(ids) if any(r["query_id"] == q and r["tag"] == tag for r in tagged)]
+        for tag in sorted(set(tag_of.values()), key=str):
+            own = [i for i, q in enumerate(ids) if tag_of[q] == tag]
             part = _block_topk(docs.filter(F.col("tag") == F.lit(tag)), [ids[i] for i in own], matrix[own], k, cosine)
             found = part if found is None else found.unionByName(part)
     else:

@@ -167,7 +167,7 @@ def p19(d: Domain):
              timeparts.period_range("Monthly", 1998, 7)]
     kinds = ["Yearly", "Quarterly", "Monthly"]
     first, last = min(s[0] for s in spans), max(s[1] for s in spans)
-    base = d.operations.filter(timeparts.between_days(F.col("operations_date"), first, last))
+    base = d.operations_between(str(first), str(last))
     hits = F.array_compact(F.array(*[
         F.when(timeparts.between_days(F.col("operations_date"), *s), F.lit(k)) for k, s in zip(kinds, spans)]))
     return base.select("depot", "opd_kms", F.explode(hits).alias("period")).groupBy("period", "depot").agg(F.sum("opd_kms").alias("km"))

@@ -50,7 +50,7 @@ def s05(d: Domain):
     SELECT depot, operations_date, sum(opd_kms) AS km FROM operations
     WHERE depot IN ('NATION_3', 'NATION_8') AND operations_date BETWEEN DATE '1998-01-01' AND DATE '1999-06-30' GROUP BY 1, 2""")
 def s06(d: Domain):
-    rows = files.scan_table(d.operations, "operations_date", ["NATION_3", "NATION_8"], "1998-01-01", "1999-06-30")
+    rows = files.scan_table(d.operations_between("1998-01-01", "1999-07-01"), "operations_date", ["NATION_3", "NATION_8"])
     return rows.groupBy("depot", "operations_date").agg(F.sum("opd_kms").alias("km"))
 
 

@@ -24,7 +24,7 @@ SL_REASONS = [
 
 def cents(column: str) -> Column:
     """Exact integer sum of a two-decimal amount, so totals do not depend on row order."""
-    return F.sum(F.round(F.col(column) * 100).cast("bigint"))
+    return F.sum(F.floor(F.col(column) * 100 + 0.5))
 
 
 class Domain:
@@ -72,8 +72,17 @@ class Domain:
     # ---- facts ------------------------------------------------------------
     @cached_property
     def operations(self) -> DataFrame:
+        return self._operations(self.raw("lineitem"))
+
+    def operations_between(self, first: str, after: str) -> DataFrame:
+        """Operations of a half-open date range; the range is stated on the stored column so that the scan prunes by it."""
+        day = F.col("l_shipdate")
+        low, high = (F.lit(x).cast("timestamp_ntz") for x in (first, after))
+        return self._operations(self.raw("lineitem").filter((day >= low) & (day < high)))
+
+    def _operations(self, lineitem: DataFrame) -> DataFrame:
         return (
-            self.raw("lineitem")
+            lineitem
             .join(self.drivers, F.col("l_suppkey") == F.col("employee_id"))
             .select(
                 "depot",
