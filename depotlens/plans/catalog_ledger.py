@@ -140,9 +140,10 @@ STEPS["loads"] = """
                        THEN round_even(round(avg(occupancy_ratio) FILTER (WHERE date >= cut), 9), 4) ELSE 0.85 END::DOUBLE AS rolling_or
     FROM gold, (SELECT max(date) - 30 AS cut FROM gold) GROUP BY 1"""
 STEPS["fresh"] = """
-    SELECT w.depot, w.date AS prediction_date, max_temp * 1000 AS predicted_passenger_kms, rolling_or AS assumed_or, 45 AS bus_capacity,
-           max_temp * 1000 / (rolling_or * 45) AS estimated_kms, ceil(max_temp * 1000 / (rolling_or * 45) / 250)::BIGINT AS estimated_buses, 'pending' AS status
-    FROM weather w JOIN loads l ON l.depot = w.depot WHERE w.daily_rainfall IS NOT NULL"""
+    SELECT depot, prediction_date, p AS predicted_passenger_kms, load AS assumed_or, 45 AS bus_capacity, p / (load * 45) AS estimated_kms,
+           ceil(p / (load * 45) / 250)::BIGINT AS estimated_buses, 'pending' AS status
+    FROM (SELECT w.depot, w.date AS prediction_date, max_temp * 1000 AS p, coalesce(rolling_or, 0.85::DOUBLE) AS load
+          FROM weather w LEFT JOIN loads l ON l.depot = w.depot WHERE w.daily_rainfall IS NOT NULL)"""
 
 
 def fresh(d: Domain):
