@@ -15,7 +15,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group (or overall), equal to a full sort of each group.
 
-    The values are read three times; ``stage`` writes them once first, which pays off
+    The values are read twice more after the sketch; ``stage`` writes them once first, which pays off
     unless the input is a plain table scan.
 
     1. a mergeable sketch brackets each quantile between two values;
@@ -43,6 +43,9 @@ def exact_quantiles(
             for i, p in enumerate(probs)
         ])).alias("q", "w"),
     ).select(*by, "q", "w.*")
+    # A sketch depends on the order its parts are merged in, so it must not be computed
+    # twice: counting below and looking inside have to use the same bracket.
+    wanted = materialise(wanted, "brackets")
     freq = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     if by:
         joined = freq.join(wanted, by)

@@ -273,9 +273,11 @@ def ranked(df: DataFrame, by: str, tie: list[str], name: str = "rank", bins: int
     Sketch cut points split the order into ranges; each range is numbered on its
     own and shifted by the rows of the ranges before it.
     """
-    cuts = df.agg(F.percentile_approx(by, [i / bins for i in range(1, bins)], 1000)).scalar()
-    placed = df.withColumn("_cuts", cuts).withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda c: c > F.col(by)))
+    # At most ``bins`` numbers, fixed once: a sketch computed again could cut elsewhere.
+    cuts = df.agg(F.percentile_approx(by, [i / bins for i in range(1, bins)], 1000)).first()[0] or []
+    listed = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    placed = df.withColumn("_cuts", listed).withColumn(
+        "_bin", F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(F.size(F.filter("_cuts", lambda c: c > F.col(by))))
     ).drop("_cuts")
     sizes = placed.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = sizes.select(

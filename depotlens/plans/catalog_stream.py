@@ -52,6 +52,17 @@ def r01(d: Domain):
     return d.spark.read.parquet(master).select(*_COLS)
 
 
+@query("S14_archive_files")
+def s14(d: Domain):
+    """Files are archived as later batches of the stream complete, so the last ones may still be waiting."""
+    drop, base = work_dir(d.spark, "drop"), work_dir(d.spark, "ingest")
+    drop_files(event_days(d).withColumn("file", daily_name()), drop)
+    stream = st.file_stream(d.spark, drop, _FILE_SCHEMA, archive=f"{base}/archive", max_files=10)
+    handler = st.load_handler(f"{base}/master", d.depots, "2024-02-01", f"{base}/errors")
+    st.ingest(stream, handler, f"{base}/checkpoint").awaitTermination()
+    return st.archived_rows(d.spark, f"{base}/archive").groupBy("date").agg(F.count("*").alias("n"))
+
+
 @query("R02_gate_quarantine", """
     SELECT depot, date, passengers_per_day, actual_kms, occupancy_ratio FROM event_days WHERE isodow(date) <> 7""", "actual_kms occupancy_ratio")
 def r02(d: Domain):

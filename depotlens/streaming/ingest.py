@@ -40,11 +40,20 @@ def ingest(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _stored(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(empty.schema).parquet(path) if fs.exists(place) else empty.limit(0)
+    return spark.read.schema(empty.schema).parquet(path) if exists(spark, path) else empty.limit(0)
+
+
+def archived_rows(spark: SparkSession, archive: str, schema: str = DROP_SCHEMA) -> DataFrame:
+    """Rows of every file the stream has moved to its archive."""
+    if not exists(spark, archive):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(archive)
 
 
 def newest_per_key(batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,6 +46,23 @@ def test_depot_windows_share_one_shuffle(spark, folder):
     assert text.count("Exchange hashpartitioning") == 2
 
 
+def test_hot_group_is_not_gathered(spark):
+    """A third of two million rows in one group: quantiles, ranks and first rows still agree with plain counting."""
+    from depotlens.operators.quantiles import exact_quantiles
+
+    n = 2_000_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 1000).cast("string"))).alias("k"),
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_003))).cast("double").alias("v"), "id")
+    got = exact_quantiles(df, ["k"], "v", [0.5], ["m"]).filter("k = 'hot'").collect()[0].m
+    want = df.filter("k = 'hot'").agg(F.percentile("v", F.lit(0.5))).collect()[0][0]
+    assert got == want
+    top = rollups.top_bottom(df, "v", ["id"], n=3, keys=["k"]).filter("k = 'hot' AND side = 'top'")
+    best = df.filter("k = 'hot'").orderBy(F.desc("v"), "id").limit(3)
+    assert [r.id for r in top.orderBy("place").collect()] == [r.id for r in best.collect()]
+    assert joins.first_per_key(df, ["k"], ["id"]).filter("k = 'hot'").collect()[0].id == 0
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     from depotlens.session import shared_dir
 
