@@ -15,22 +15,26 @@ from pyspark.sql import functions as F
 MAX_QUERIES = 512
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-
-
 def _block_topk(docs: DataFrame, ids: list, matrix: np.ndarray, k: int, cosine: bool) -> DataFrame:
     """Best k of every Arrow batch per query: only k rows per query and batch leave a task."""
     names = np.array(ids)
 
+    # Everything the tasks run is local to this function, so executors need numpy and
+    # pandas but not this package.
+    def unit(rows):
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+    if cosine:
+        matrix = unit(matrix)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
             doc_ids = batch["doc_id"].to_numpy()
             rows = np.stack(batch["vector"].to_numpy()).astype("float64")
-            scores = (_unit(rows) if cosine else rows) @ matrix.T
+            scores = (unit(rows) if cosine else rows) @ matrix.T
             keep = min(k, len(doc_ids))
             # Every row tied with the k-th score stays, so that ties are settled by id later on.
             edge = np.partition(scores, len(doc_ids) - keep, axis=0)[len(doc_ids) - keep]
@@ -68,8 +72,6 @@ def vector_topk(
         return docs.sparkSession.createDataFrame([], empty)
     ids = [r["query_id"] for r in some]
     matrix = np.array([r["vector"] for r in some], dtype="float64")
-    if cosine:
-        matrix = _unit(matrix)
 
     if filter_mode == "pre":
         # As many rows as there are queries, which is bounded above.
