@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import toxicity
+from depotlens.llm import near, toxicity
 from depotlens.llm.text import crc_of
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near.joined(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, folder, "labels"))
@@ -21,5 +25,5 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op8_toxicity,)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_toxicity)}
 ORACLES: dict[str, str] = {}
