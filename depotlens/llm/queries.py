@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import near, toxicity
+from depotlens.llm import bpe, decontam, near, toxicity
 from depotlens.llm.text import crc_of
 
 
@@ -13,6 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near.joined(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -25,5 +31,12 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_toxicity)}
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontam.matched(docs, table(spark, folder, "benchmark")).select(
+        "doc_id", F.transform("found", lambda f: f["item_id"]).alias("item_ids"), F.size("found").alias("n_items"),
+        (F.size("found") > 0).alias("contaminated"), "found")
+
+
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_ngram_jaccard_join, op8_toxicity, op10_decontamination)}
 ORACLES: dict[str, str] = {}
