@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import bpe, decontam, near, toxicity
+from depotlens.llm import bpe, decontam, near, pii, toxicity
 from depotlens.llm.text import crc_of
 
 
@@ -23,6 +23,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near.joined(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.detected(docs, pii.train(docs))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, folder, "labels"))
@@ -38,5 +43,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.size("found") > 0).alias("contaminated"), "found")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_ngram_jaccard_join, op8_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_ngram_jaccard_join, op6_personal_data, op8_toxicity, op10_decontamination)}
 ORACLES: dict[str, str] = {}
