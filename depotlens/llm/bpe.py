@@ -210,8 +210,8 @@ def decoded(tokens: DataFrame, ranks: dict[bytes, int], column: str = "ids", to:
     return own.mapInArrow(run, StructType([*own.schema.fields, StructField(to, BinaryType())]))
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, n_bytes, decoded_sha256) of every row: ids and their decoding, each as a digest, without passing them on."""
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings = Settings(), keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, n_bytes, decoded_sha256[, ids]) of every row: ids and their decoding, each as a digest."""
     size = max(ranks.values(), default=-1) + 1
 
     def run(batches):
@@ -225,10 +225,11 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings
                     back = joined_pieces(ids, pieces)
                     out.append((len(ids), hashlib.sha256("".join([written[i] for i in ids])[1:].encode()).hexdigest(), len(back), hashlib.sha256(back).hexdigest()))
                 n, first, size_, second = zip(*out, strict=True)
+                ids = [pa.array(rows, pa.list_(pa.int32()))] if keep_ids else []
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(n, pa.int64()), pa.array(first), pa.array(size_, pa.int64()), pa.array(second)],
-                    ["doc_id", "n_tokens", "ids_sha256", "n_bytes", "decoded_sha256"])
+                    [own, pa.array(n, pa.int64()), pa.array(first), pa.array(size_, pa.int64()), pa.array(second), *ids],
+                    ["doc_id", "n_tokens", "ids_sha256", "n_bytes", "decoded_sha256", "ids"][:5 + keep_ids])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return encoded_blocks(only(docs, id="doc_id", text="text"), ranks, pattern, s).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, n_bytes long, decoded_sha256 string")
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, n_bytes long, decoded_sha256 string" + ", ids array<int>" * keep_ids)
