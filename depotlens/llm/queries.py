@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import bpe, decontam, near, pii, toxicity
+from depotlens.llm import bpe, decontam, lm, near, pii, toxicity
 from depotlens.llm.text import crc_of
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"), lambda doc_id: crc_of(doc_id, 7) == 2)
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -43,5 +47,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.size("found") > 0).alias("contaminated"), "found")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_ngram_jaccard_join, op6_personal_data, op8_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_byte_bpe, op4_ngram_jaccard_join, op6_personal_data, op8_toxicity, op10_decontamination)}
 ORACLES: dict[str, str] = {}
