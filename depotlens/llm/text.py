@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Text of one slice: bounds what a task holds at a time, whatever the batch.
-SLICE_BYTES = 24_000_000
+SLICE_BYTES = 12_000_000
 
 # ASCII punctuation, turned to blanks by ``plain``.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
