@@ -38,8 +38,10 @@ def _unpacked(words: np.ndarray, index: np.ndarray, bits: int) -> np.ndarray:
 class Monotone:
     """A non-decreasing sequence of unsigned 64-bit values."""
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, inner: np.ndarray):
+        """ones: set bits before each block; inner: set bits of the block before each word."""
+        self.n, self.bits, self.low, self.high, self.ones, self.inner = n, bits, low, high, ones, inner
+        self._zeros = np.arange(len(ones), dtype=np.int64) * 64 * _BLOCK - ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> Monotone:
@@ -51,36 +53,36 @@ class Monotone:
         place = (values >> U64(bits)).astype(np.int64) + np.arange(n)
         words = np.zeros(((int(place[-1]) if n else 0) // 64 + 2 + _BLOCK) // _BLOCK * _BLOCK, U64)
         np.bitwise_or.at(words, place >> 6, U64(1) << (place & 63).astype(U64))
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words).reshape(-1, _BLOCK).sum(1, dtype=np.int64))])
-        return cls(n, bits, low, words, ones)
+        each = np.cumsum(np.bitwise_count(words).reshape(-1, _BLOCK), axis=1, dtype=np.int64)
+        ones = np.concatenate([[0], np.cumsum(each[:, -1])])
+        inner = np.concatenate([np.zeros((len(each), 1), np.int64), each[:, :-1]], axis=1).astype(np.uint16).ravel()
+        return cls(n, bits, low, words, ones, inner)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Place of the k-th set (or unset) bit."""
-        counts = self.ones if ones else np.arange(len(self.ones), dtype=np.int64) * 64 * _BLOCK - self.ones
+        """Place of the k-th set (or unset) bit: by counts of blocks, of words in a block, then of halves of the word."""
+        counts = self.ones if ones else self._zeros
         block = np.searchsorted(counts, k, "right") - 1
         rest = k - counts[block]
         word = block * _BLOCK
-        last = len(self.high) - 1
-        for _ in range(_BLOCK - 1):
-            here = np.bitwise_count(self.high[np.minimum(word, last)]).astype(np.int64)
-            here = here if ones else 64 - here
-            go = rest >= here  # never true again once the rest lies within a word
-            if not go.any():
-                break
-            rest = rest - np.where(go, here, 0)
-            word = word + go
-        bits = self.high[np.minimum(word, last)]
+        inner = np.zeros(len(k), np.int64)
+        for half in (4, 2, 1):
+            here = self.inner[word + half].astype(np.int64)
+            here = here if ones else 64 * (word + half - block * _BLOCK) - here
+            go = rest >= here
+            word += half * go
+            inner = np.where(go, here, inner)
+        rest -= inner
+        bits = self.high[word]
         bits = bits if ones else ~bits
         place = word * 64
-        done = np.zeros(len(k), bool)
-        for b in range(8):
-            byte = (bits >> U64(8 * b)).astype(np.uint8)
-            n = np.bitwise_count(byte).astype(np.int64)
-            here = ~done & (rest < n)
-            place = np.where(here, place + 8 * b + _IN_BYTE[byte, np.minimum(rest, 7)], place)
-            done |= here
-            rest = np.where(done, rest, rest - n)
-        return place
+        for half in (32, 16, 8):
+            low = bits & U64((1 << half) - 1)
+            n = np.bitwise_count(low)
+            go = rest >= n
+            rest -= n * go
+            place += half * go
+            bits = np.where(go, bits >> U64(half), low)
+        return place + _IN_BYTE[bits.astype(np.int64) & 255, np.minimum(rest, 7)]
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values at these indices."""
@@ -132,7 +134,7 @@ class Trie:
             arrays[name] = np.memmap(source, kind, "r", 8 + size + start, (n,)) if n else np.zeros(0, kind)
         self.arrays, self.shape = arrays, shape
         self.names, self.heads, self.starts, self.tails = (
-            Monotone(*shape["sequences"][s], *(arrays[f"{s}.{a}"] for a in ("low", "high", "ones"))) for s in ("names", "heads", "starts", "tails"))
+            Monotone(*shape["sequences"][s], *(arrays[f"{s}.{a}"] for a in ("low", "high", "ones", "inner"))) for s in ("names", "heads", "starts", "tails"))
 
     @staticmethod
     def write(to: BinaryIO, names: np.ndarray, heads: np.ndarray, tails: np.ndarray, of: np.ndarray, head_values: np.ndarray, values: np.ndarray,
@@ -144,7 +146,7 @@ class Trie:
             "tails": Monotone.of(of.astype(np.int64) * max(len(names), 1) + tails)}
         arrays: dict[str, np.ndarray] = {}
         for s, m in sequences.items():
-            arrays |= {f"{s}.low": m.low, f"{s}.high": m.high, f"{s}.ones": m.ones}
+            arrays |= {f"{s}.low": m.low, f"{s}.high": m.high, f"{s}.ones": m.ones, f"{s}.inner": m.inner}
         for name, v in (("head", head_values), ("tail", values)):
             codes, levels = quantised(v, bits)
             arrays |= {f"{name}.codes": codes, f"{name}.levels": levels}
@@ -164,17 +166,16 @@ class Trie:
     def number(self, hashes: np.ndarray) -> np.ndarray:
         return self.names.index(hashes)
 
-    def find(self, heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(head, pair) places of these hashes, -1 where there is none."""
-        head = self.heads_of(heads)
+    def find(self, head: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """Places of the pairs of these heads (their places, or -1) and tails (hashes), -1 where there is none."""
         tail = self.number(tails)
-        place = np.full(len(heads), -1)
+        place = np.full(len(head), -1)
         at = np.flatnonzero((head >= 0) & (tail >= 0))
         if len(at) and self.tails.n:
             first, last = self.starts.at(head[at]).astype(np.int64), self.starts.at(head[at] + 1).astype(np.int64)
             found = self.tails.index(head[at].astype(U64) * U64(self.names.n) + tail[at].astype(U64))
             place[at] = np.where((found >= first) & (found < last), found, -1)
-        return head, place
+        return place
 
     def heads_of(self, hashes: np.ndarray) -> np.ndarray:
         number = self.number(hashes)

@@ -42,7 +42,7 @@ BLOCK_ROWS = 1 << 16
 class Settings:
     weight: float = 2000.0  # m: occurrences that p(w) counts for
     bits: int = 14  # of a quantised value
-    shard_tokens: int = 2_500_000
+    shard_tokens: int = 1_500_000
     least_shards: int = 48
     hot: float = 1 / 2000  # share of all tokens from which on a token is dealt over all shards
 
@@ -189,14 +189,15 @@ def shard_answers(table: pa.Table, t: Totals, s: Settings, out) -> pa.Table:
     places, texts, times = read("places", np.int32), read("texts", np.uint16), read("times", np.int32)
     # Of each distinct pair of a page: its training count there.
     learned = [np.add.reduceat(np.where(h[x] == 0, m, 0), np.cumsum(p) - p) for h, x, m, p in zip(held, texts, times, places, strict=True)]
-    word = np.concatenate([np.repeat(w, n) for w, n in zip(words, pairs, strict=True)])
-    prior, count = np.concatenate(before), np.concatenate(learned).astype(np.int64)
-    names = distinct(np.concatenate([word[count > 0], prior[count > 0]]))
+    word = np.concatenate([np.repeat(w, n)[c > 0] for w, n, c in zip(words, pairs, learned, strict=True)])
+    prior = np.concatenate([v[c > 0] for v, c in zip(before, learned, strict=True)])
+    count = np.concatenate([c[c > 0] for c in learned]).astype(np.int64)
+    names = distinct(np.concatenate([word, prior]))
     # Counts of the pairs and words that were learned.
-    at = np.flatnonzero(count > 0)
-    key = np.searchsorted(names, word[at]) * max(len(names), 1) + np.searchsorted(names, prior[at])
+    key = np.searchsorted(names, word) * max(len(names), 1) + np.searchsorted(names, prior)
     order = np.argsort(key, kind="stable")
-    key, own = key[order], count[at][order]
+    key, own = key[order], count[order]
+    del word, prior, count, order
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     both = np.add.reduceat(own, start) if len(start) else np.zeros(0, np.int64)
     heads, of = np.unique(key[start] // max(len(names), 1), return_inverse=True)
@@ -207,28 +208,27 @@ def shard_answers(table: pa.Table, t: Totals, s: Settings, out) -> pa.Table:
     share = (total - t.discount) / max(t.tokens, 1)
     trie = mapped(lambda file: Trie.write(
         file, names, heads, key[start] % max(len(names), 1), of, np.log10(s.weight * share), np.log10(both + s.weight * share[of]), {"count": total}, s.bits))
-    # The pages ask.
-    head, tail = trie.find(word, prior)
-    value = np.full(len(word), math.log10(s.weight * t.unknown))
-    value[head >= 0] = trie.value("head", head[head >= 0])
-    value[tail >= 0] = trie.value("tail", tail[tail >= 0])
-    c = np.zeros(len(word))
-    c[head >= 0] = trie.arrays["count"][head[head >= 0]]
-    if len(t.hot):  # a hot token asked beside one it never followed in this shard
-        place = np.minimum(np.searchsorted(t.hot, word), len(t.hot) - 1)
-        hot = (t.hot[place] == word) & (head < 0)
-        c[hot] = t.hot_counts[place[hot]]
-        value[hot] = np.log10(s.weight * (c[hot] - t.discount) / t.tokens)
-    base = np.log10(c + 1)
-    score = value - np.where(word == END, 0.0, np.log10(c + s.weight))
-    parts, first = [], 0
-    for block, place, text, time, own in zip(blocks, places, texts, times, before, strict=True):
-        here = slice(first, first + len(own))
-        first += len(own)
+    # The pages ask, one after another.
+    parts = []
+    for block, w, n, v, place, text, time in zip(blocks, words, pairs, before, places, texts, times, strict=True):
+        head = trie.heads_of(w)
+        known = head >= 0
+        c, value = np.zeros(len(w)), np.full(len(w), math.log10(s.weight * t.unknown))
+        c[known], value[known] = trie.arrays["count"][head[known]], trie.value("head", head[known])
+        if len(t.hot):  # a hot token that was learned in other shards only
+            at = np.minimum(np.searchsorted(t.hot, w), len(t.hot) - 1)
+            hot = (t.hot[at] == w) & ~known
+            c[hot] = t.hot_counts[at[hot]]
+            value[hot] = np.log10(s.weight * (c[hot] - t.discount) / t.tokens)
+        of = np.repeat(np.arange(len(w)), n)
+        tail = trie.find(head[of], v)
+        score = np.where(tail >= 0, trie.value("tail", np.maximum(tail, 0)) if trie.tails.n else 0.0, value[of])
+        score -= np.where(w == END, 0.0, np.log10(c + s.weight))[of]
         size = int(text.max()) + 1
-        sums = [np.bincount(text, np.repeat(x[here], place) * time, size) for x in (c > 0, base, score)]
+        each = np.repeat(np.arange(len(v)), place)
+        known_, base_, score_ = (np.bincount(text, x[each] * time, size) for x in ((c > 0)[of], np.log10(c + 1)[of], score))
         told = np.flatnonzero(np.bincount(text, minlength=size))
-        parts.append(out((int(block) << 16) + told, sums[0][told], sums[1][told], sums[2][told]))
+        parts.append(out((int(block) << 16) + told, known_[told], base_[told], score_[told]))
     return pa.concat_tables(parts)
 
 

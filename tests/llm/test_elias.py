@@ -24,9 +24,10 @@ def test_trie():
     trie = elias.mapped(lambda f: elias.Trie.write(f, names, heads, pairs % 500, of, np.arange(len(heads)) * 1.0, values, {"n": heads}, 16))
     known = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
     h, t = rng.integers(0, 120, 5000), rng.integers(0, len(names), 5000)
-    head, place = trie.find(names[h], names[t])
+    head = trie.heads_of(names[h])
+    place = trie.find(head, names[t])
     assert (place == np.array([known.get(a * 500 + b, -1) for a, b in zip(h.tolist(), t.tolist(), strict=True)])).all()
     assert (head == np.array([np.searchsorted(heads, a) if a in heads else -1 for a in h])).all()
     found = place >= 0
     assert np.abs(trie.value("tail", place[found]) - values[place[found]]).max() < 1e-3
-    assert (trie.find(names[:3] + np.uint64(1), names[:3])[0] == -1).all()
+    assert (trie.heads_of(names[:3] + np.uint64(1)) == -1).all() and (trie.find(head[:3], names[:3] + np.uint64(1)) == -1).all()
