@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import bpe, decontam, lm, near, pii, toxicity
+from depotlens.llm import bpe, decontam, lm, multi_index, near, oracles, pii, revisits, secret_scan, token_counts, toxicity
 from depotlens.llm.text import crc_of
 
 
@@ -18,6 +18,10 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"), lambda doc_id: crc_of(doc_id, 7) == 2)
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.findings(table(spark, folder, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -27,11 +31,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near.joined(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.counted(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.detected(docs, pii.train(docs))
 
 
+def op7_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = revisits.resolved(revisits.captures_of_pages(table(spark, folder, "pages")))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.withColumn("headers", F.array_join(entries, "\n"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, folder, "labels"))
@@ -40,6 +55,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontam.matched(docs, table(spark, folder, "benchmark")).select(
@@ -47,5 +66,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.size("found") > 0).alias("contaminated"), "found")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_byte_bpe, op4_ngram_jaccard_join, op6_personal_data, op8_toxicity, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_byte_bpe, op4_ngram_jaccard_join, op5_token_counts, op6_personal_data, op7_warc_revisits, op8_toxicity, op9_inverted_multi_index, op10_decontamination)}
+ORACLES: dict[str, str] = {"op7_warc_revisits": oracles.OP7}
