@@ -8,6 +8,8 @@ single shuffle on depot.  Frames count rows, so a dense day series is expected.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,21 +260,27 @@ def festival_profiles(feats: DataFrame) -> DataFrame:
 
 
 # ---- other series ---------------------------------------------------------------
-def ewm(df: DataFrame, col: str, span: int = 7, reach: int = 120, name: str = "ewm_7") -> DataFrame:
-    """Exponentially weighted mean of the earlier rows (weights normalised).
+def ewm(df: DataFrame, col: str, span: int = 7, name: str = "ewm_7") -> DataFrame:
+    """Exponentially weighted mean of all earlier rows (weights normalised), whatever the span and length.
 
-    Rows further back than ``reach`` weigh under 1e-14 for a span of 7.
+    Rows are taken in blocks, within which running sums are scaled by powers that a double can hold; a block starts from the sums
+    that the one before it ended with, as whole blocks further back weigh nothing at double precision.
     """
     keep = 1.0 - 2.0 / (span + 1.0)
-    frame = series().rowsBetween(-reach, -1)
-    values = F.collect_list(col).over(frame)
-    step = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    total = F.aggregate(
-        F.col("_v"), step,
-        lambda acc, x: F.struct((acc["s"] * keep + x).alias("s"), (acc["w"] * keep + 1.0).alias("w")),
-        lambda acc: F.try_divide(acc["s"], acc["w"]),
-    )
-    return df.withColumn("_v", values).withColumn(name, total).drop("_v")
+    size = max(1, int(230 / -math.log(keep))) if keep > 0 else 1
+    rows = df.withColumn("_at", F.row_number().over(series()) - 1).withColumns({"_block": F.floor(F.col("_at") / size), "_j": F.col("_at") % size})
+    within = Window.partitionBy("depot", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    past = series().rowsBetween(Window.unboundedPreceding, -1)
+    power = F.pow(F.lit(max(keep, 1e-300)), F.col("_j"))
+
+    def running(value: Column) -> Column:
+        return F.sum(value / power).over(within) * power
+
+    rows = rows.withColumns({"_s": running(F.coalesce(F.col(col).cast("double"), F.lit(0.0))), "_w": running(F.when(F.col(col).isNull(), 0.0).otherwise(1.0))})
+    ended = {f"_e{c}": F.coalesce(F.last(F.when(F.col("_j") == size - 1, F.col(f"_{c}")), ignorenulls=True).over(past), F.lit(0.0)) for c in "sw"}
+    rows = rows.withColumns(ended)
+    whole = F.try_divide(F.col("_s") + F.col("_es") * power * keep, F.nullif(F.col("_w") + F.col("_ew") * power * keep, F.lit(0.0)))
+    return rows.withColumn("_m", whole).withColumn(name, F.lag("_m", 1).over(series())).select(*df.columns, name)
 
 
 def diffs(df: DataFrame, col: str, k: int = 7) -> DataFrame:

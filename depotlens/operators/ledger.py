@@ -62,8 +62,15 @@ def close_pending(ledger: DataFrame, actuals: DataFrame) -> DataFrame:
 
 
 def accuracy_table(ledger: DataFrame, kind: str) -> DataFrame:
+    """Predictions beside actuals; a depot without any passenger-km prediction falls back to its older passenger columns, where the ledger has them."""
     full = with_columns(ledger, ACTUALS)
     if kind == "demand":
+        if "predicted_passengers" in full.columns:
+            new = full.groupBy("depot").agg((F.count("predicted_passenger_kms") > 0).alias("_new"))
+            older = {"predicted_passenger_kms": "predicted_passengers", "actual_passenger_kms": "actual_passengers",
+                     "pkm_error": "passenger_error", "pkm_error_pct": "passenger_error_pct"}
+            full = full.join(new, "depot")
+            full = full.withColumns({c: F.when(F.col("_new"), F.col(c)).otherwise(F.col(o)) for c, o in older.items() if o in full.columns})
         return full.filter(F.col("status").isin("completed", "pending")).select(
             "depot", "prediction_date", F.col("predicted_passenger_kms").alias("predicted"), F.col("actual_passenger_kms").alias("actual"),
             F.col("pkm_error").alias("error"), F.col("pkm_error_pct").alias("error_pct"), "status")

@@ -193,27 +193,23 @@ def dedupe_duties(ops: DataFrame) -> DataFrame:
     )
 
 
-def steering_pivot(duties: DataFrame, months: list[str]) -> DataFrame:
-    """Employee x month hours with a total column and a total row.
+def steering_pivot(duties: DataFrame) -> DataFrame:
+    """Employee x date hours as long rows, with the totals of both sides and of all.
 
-    Column names are given, so no extra pass looks for them; totals come from the
-    same grouping through ``rollup``.
+    Cells are rounded (half-even) before they are totalled.  Dates stay rows: as columns, years of days would be
+    thousands of columns, and a grid of a chosen period is a pivot of the rows it needs.
     """
-    m = F.date_format("operations_date", "yyyy-MM")
-    cells = {f"h_{k.replace('-', '_')}": F.sum(F.when(m == k, F.col("steering_hours")).otherwise(0.0)) for k in months}
-    kept = duties.filter(m.isin(months))
-    return kept.rollup("employee_id").agg(
-        F.grouping("employee_id").alias("is_total"), *[c.alias(n) for n, c in cells.items()],
-        F.sum("steering_hours").alias("total"),
-    )
+    cells = duties.groupBy("employee_id", F.col("operations_date").alias("date")).agg(
+        half_even(F.coalesce(F.sum("steering_hours"), F.lit(0.0)), 0).cast("bigint").alias("h"))
+    whole, by_date = F.grouping("employee_id") == 1, F.grouping("date") == 1
+    return cells.cube("employee_id", "date").agg(
+        F.when(whole & by_date, "total").when(by_date, "employee").when(whole, "date").otherwise("cell").alias("part"), F.sum("h").alias("hours"))
 
 
-def estimated_mask(duties: DataFrame, months: list[str]) -> DataFrame:
-    m = F.date_format("operations_date", "yyyy-MM")
-    est = F.col("hours_source") != "Actual"
-    return duties.filter(m.isin(months)).groupBy("employee_id").agg(
-        *[F.coalesce(F.bool_or(F.when(m == k, est)), F.lit(False)).cast("int").alias(f"e_{k.replace('-', '_')}") for k in months]
-    )
+def estimated_mask(duties: DataFrame) -> DataFrame:
+    """(employee_id, date, estimated): whether any duty of the cell has estimated hours."""
+    return duties.groupBy("employee_id", F.col("operations_date").alias("date")).agg(
+        F.coalesce(F.bool_or(F.col("hours_source") != "Actual"), F.lit(False)).cast("int").alias("estimated"))
 
 
 def entity_averages(ops: DataFrame) -> DataFrame:
@@ -307,29 +303,28 @@ def top_bottom(df: DataFrame, by: str, tie: list[str], n: int = 5, keys: list[st
 
 
 def driver_performance(ops: DataFrame, services: DataFrame, absences: DataFrame) -> DataFrame:
-    """Kilometres, earnings, hours and leave days per driver."""
+    """Kilometres, earnings, hours and leave days per driver of a depot."""
     from depotlens.operators.joins import hours_by_employee
 
-    perf = ops.groupBy("employee_id").agg(F.sum("opd_kms").alias("km"), F.sum("daily_earnings").alias("earnings"))
+    perf = ops.groupBy("depot", "employee_id").agg(F.sum("opd_kms").alias("km"), F.sum("daily_earnings").alias("earnings"))
     leaves = absences.filter(F.col("leave_type").isin("L", "S", "A")).groupBy("employee_id").agg(F.count("*").alias("leaves"))
     return perf.join(hours_by_employee(ops, services), "employee_id", "left").join(leaves, "employee_id", "left").na.fill(
         0, ["hours", "leaves"]
     )
 
 
-def driver_score(perf: DataFrame) -> DataFrame:
-    """Sum of min-max scaled km, earnings and hours less scaled leave; a flat measure counts 0.
+def driver_score(perf: DataFrame, group: str = "depot") -> DataFrame:
+    """Sum of km, earnings and hours less leave, each scaled to 0..1 within the depot; a flat measure counts 0.
 
-    The limits come from one aggregate used as a scalar sub-query; the per-driver
-    table is written once because it is read for both.
+    The limits are a combined aggregate joined back; the per-driver table is written once because it is read for both.
     """
     perf = materialise(perf, "performance")
     cols = ["km", "earnings", "hours", "leaves"]
-    limits = perf.agg(F.struct(*[f(c).alias(f"{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))])).scalar()
-    scaled = perf.withColumn("_l", limits)
+    limits = perf.groupBy(group).agg(*[f(c).alias(f"_{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))])
+    scaled = perf.join(limits, group)
 
     def unit(c: str) -> Column:
-        lo, hi = F.col(f"_l.lo_{c}"), F.col(f"_l.hi_{c}")
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         return F.when(hi == lo, 0.0).otherwise((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0)))
 
-    return scaled.withColumn("score", unit("km") + unit("earnings") + unit("hours") - unit("leaves")).drop("_l")
+    return scaled.withColumn("score", unit("km") + unit("earnings") + unit("hours") - unit("leaves")).select(*perf.columns, "score")

@@ -29,6 +29,7 @@ class TripPolicy:
     per_route: int = 2
     per_depot: int = 25
     protected: tuple[str, ...] = ()
+    km_per_passenger: float = 25.0
 
 
 @dataclass(frozen=True)
@@ -79,10 +80,9 @@ def resolve_forecast(ledger: DataFrame, ops: DataFrame, target: str | None = Non
     Depots fall back to their historical mean only when the date has no prediction at all.
     """
     day = F.lit(target).cast("date") if target else ledger.agg(F.max("prediction_date")).scalar()
-    known = ledger.filter(F.col("prediction_date") == day).select(
-        "depot",
-        F.coalesce("predicted_passenger_kms", F.col("estimated_kms") * F.col("bus_capacity") * policy.target_or).alias("predicted_pkm"),
-    )
+    riders = F.coalesce("predicted_passengers", F.lit(0)) if "predicted_passengers" in ledger.columns else F.lit(0)
+    known = ledger.filter(F.col("prediction_date") == day).select("depot", F.coalesce(
+        "predicted_passenger_kms", F.col("estimated_kms") * F.col("bus_capacity") * policy.target_or, riders * policy.km_per_passenger).alias("predicted_pkm"))
     past = mean_daily(ops, "passenger_kms", "predicted_pkm").withColumn("_n", known.agg(F.count("*")).scalar()).filter("_n = 0")
     return known.unionByName(past.drop("_n"))
 
@@ -199,6 +199,15 @@ def position(col: Column, order: list[str], default: int | None = None) -> Colum
     return rank if default is None else rank.otherwise(default)
 
 
+def action_order(plan: DataFrame, size: str, order: list[str]) -> DataFrame:
+    """Line number of each service of a depot: by the rank of its action, then by ``size``, the largest first.
+
+    A partition holds the services of a depot's master.
+    """
+    by = Window.partitionBy("depot").orderBy(position(F.col("action"), order), F.desc(size), "service_number")
+    return plan.select("depot", "service_number", "action", F.col(size).alias("size"), F.row_number().over(by).alias("line"))
+
+
 def trip_summary(plan: DataFrame) -> DataFrame:
     count = {a: F.count_if(F.col("action") == a) for a in TRIP_ACTIONS}
     return plan.groupBy("depot").agg(

@@ -61,15 +61,20 @@ def p06(d: Domain):
     return typed.groupBy("service_type", "day_night").agg(F.count("*").alias("n"))
 
 
-@query("P07_map_depots", """
+# Depot i of the test tables arrives under the fixed table's name number 4 i.
+_RAW = list(clean.DEPOT_NAMES)
+_NAMES = "(VALUES " + ", ".join(f"({i}, '{raw}', '{name}')" for i, (raw, name) in enumerate(clean.DEPOT_NAMES.items())) + ") AS t(place, raw_name, canonical_name)"
+
+
+@query("P07_map_depots", f"""
     SELECT coalesce(canonical_name, a.depot) AS depot, count(*) AS n FROM arrivals a
-    LEFT JOIN (SELECT upper(depot) AS raw_name, upper(region) || '-' || depot_id AS canonical_name FROM depots
-               WHERE category = 'Rural') m ON m.raw_name = a.depot GROUP BY 1""")
+    LEFT JOIN depots d ON upper(d.depot) = a.depot LEFT JOIN (FROM {_NAMES}) m ON m.place = d.depot_id * 4 % {len(_RAW)} GROUP BY 1""")
 def p07(d: Domain):
-    mapping = d.depots.filter("category = 'Rural'").select(
-        F.upper("depot").alias("raw_name"), F.concat_ws("-", F.upper("region"), "depot_id").alias("canonical_name"))
-    arrivals = clean.clean_operations(d.bronze).groupBy("depot").agg(F.count("*").alias("c"))
-    return clean.map_values(arrivals, "depot", mapping).groupBy("depot").agg(F.sum("c").alias("n"))
+    raw = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("depot_id") * 4 % len(_RAW) + 1).cast("int"))
+    known = d.depots.select(F.upper("depot").alias("depot"), raw.alias("raw"))
+    arrivals = clean.clean_operations(d.bronze).groupBy("depot").agg(F.count("*").alias("c")).join(known, "depot", "left")
+    named = arrivals.select(F.coalesce("raw", "depot").alias("depot"), "c")
+    return clean.map_values(named, "depot", clean.depot_name_table(d.spark)).groupBy("depot").agg(F.sum("c").alias("n"))
 
 
 @query("P08_drop_incomplete", "SELECT depot, count(*) AS n, count(opd_kms) AS with_km FROM arrivals "
@@ -80,26 +85,37 @@ def p08(d: Domain):
 
 
 @query("P09_service_master", """
-    SELECT depot, service_number, coalesce(planned_trips, 0) AS planned_trips, planned_kms,
-           coalesce(planned_kms / nullif(planned_trips, 0), 0) AS km_per_trip, can_be_cancelled FROM services""", "km_per_trip")
+    SELECT depot, service_number, CASE WHEN k % 9 <> 0 THEN planned_trips ELSE 0 END AS planned_trips, planned_kms,
+           CASE WHEN k % 5 <> 0 THEN km_per_trip ELSE 0 END AS km_per_trip, CASE WHEN k % 13 <> 0 THEN avg_seats_per_bus ELSE 45 END AS avg_seats_per_bus,
+           CASE WHEN k % 11 <> 0 THEN can_be_cancelled ELSE 0 END AS can_be_cancelled FROM (SELECT *, service_number::INTEGER AS k FROM services)""", "km_per_trip")
 def p09(d: Domain):
-    return clean_service_master(d.services)
-
-
-def clean_service_master(services):
-    trips = F.coalesce(F.col("planned_trips"), F.lit(0))
-    return services.select(
-        "depot", "service_number", trips.alias("planned_trips"), "planned_kms",
-        F.coalesce(F.try_divide(F.col("planned_kms"), F.nullif(trips, F.lit(0))), F.lit(0.0)).alias("km_per_trip"),
-        F.coalesce("can_be_cancelled", F.lit(1)).alias("can_be_cancelled"),
-    )
+    k = F.col("service_number").cast("int")
+    arrived = d.services.select(
+        F.concat(F.lit(" "), "depot").alias("depot"), F.concat("service_number", F.lit("  ")).alias("service_number"),
+        F.when(k % 9 != 0, F.col("planned_trips").cast("string")).otherwise("n/a").alias("planned_trips"), F.col("planned_kms").cast("string").alias("planned_kms"),
+        F.when(k % 5 != 0, F.col("km_per_trip")).alias("km_per_trip"), F.when(k % 13 != 0, F.col("avg_seats_per_bus")).alias("avg_seats_per_bus"),
+        F.when(k % 11 != 0, F.col("can_be_cancelled")).alias("can_be_cancelled"))
+    return clean.clean_service_master(arrived)
+
+
+@query("P10_clean_daily_ops", """
+    SELECT depot, service_number, CASE WHEN k % 13 <> 0 THEN date END AS date, CASE WHEN k % 7 <> 0 THEN actual_kms END AS actual_kms,
+           CASE WHEN k % 5 <> 0 THEN actual_trips ELSE 0 END::DOUBLE AS actual_trips, seat_kms, passenger_kms, occupancy_ratio, revenue
+    FROM (SELECT *, service_number::INTEGER AS k FROM service_daily)""", "seat_kms passenger_kms occupancy_ratio")
+def p10(d: Domain):
+    k = F.col("service_number").cast("int")
+    arrived = d.service_daily.select(
+        F.concat(F.lit(" "), "depot", F.lit(" ")).alias("depot"), F.concat("service_number", F.lit(" ")).alias("service_number"),
+        F.when(k % 13 == 0, "31-02-2024").when(k % 2 == 0, F.date_format("date", "dd/MM/yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"),
+        F.when(k % 7 == 0, "--").otherwise(F.col("actual_kms").cast("string")).alias("actual_kms"),
+        F.when(k % 5 != 0, F.col("actual_trips").cast("string")).otherwise("").alias("actual_trips"),
+        *[F.col(c).cast("string").alias(c) for c in ("seat_kms", "passenger_kms", "occupancy_ratio", "revenue")])
+    return clean.clean_daily_services(arrived)
 
 
-@query("P10_clean_daily_ops", "SELECT depot, employee_id, service_number, operations_date, opd_kms, count(*) AS n "
-       "FROM arrivals GROUP BY ALL")
-def p10(d: Domain):
-    return clean.clean_operations(d.bronze).groupBy(
-        "depot", "employee_id", "service_number", "operations_date", "opd_kms").agg(F.count("*").alias("n"))
+@query("P02_P06_clean_operations", "SELECT depot, employee_id, service_number, operations_date, opd_kms FROM arrivals")
+def p02_p06(d: Domain):
+    return clean.clean_operations(d.bronze).select("depot", "employee_id", "service_number", "operations_date", "opd_kms")
 
 
 STEPS["target_share"] = """
@@ -142,9 +158,11 @@ def p14(d: Domain):
 
 
 @query("P16_label_key", """
-    SELECT trim(regexp_replace(lower(text), '[^a-z0-9%]+', ' ', 'g')) AS key, count(*) AS n FROM documents GROUP BY 1""")
+    SELECT trim(regexp_replace(strip_accents(lower(replace(text, '<br>', ' '))), '[_.,()%/\\s-]+', ' ', 'g')) AS key, count(*) AS n FROM documents GROUP BY 1""")
 def p16(d: Domain):
-    return d.raw("documents").groupBy(clean.label_key(F.col("text")).alias("key")).agg(F.count("*").alias("n"))
+    # Counted by a hash; one text of each key travels.
+    keys = d.raw("documents").select(clean.label_key(F.col("text")).alias("key"))
+    return keys.groupBy(F.xxhash64("key").alias("h")).agg(F.any_value("key").alias("key"), F.count("*").alias("n")).drop("h")
 
 
 @query("P17_rural_urban", """

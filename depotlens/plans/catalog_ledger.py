@@ -136,7 +136,7 @@ def e05(d: Domain):
 
 # ---- prediction records --------------------------------------------------------------
 STEPS["loads"] = """
-    SELECT depot, CASE WHEN count(*) FILTER (WHERE date >= cut) >= 12
+    SELECT depot, CASE WHEN count(*) FILTER (WHERE date >= cut) >= 5
                        THEN round_even(round(avg(occupancy_ratio) FILTER (WHERE date >= cut), 9), 4) ELSE 0.85 END::DOUBLE AS rolling_or
     FROM gold, (SELECT max(date) - 30 AS cut FROM gold) GROUP BY 1"""
 STEPS["fresh"] = """
@@ -149,17 +149,16 @@ STEPS["fresh"] = """
 def fresh(d: Domain):
     preds = d.weather.filter("daily_rainfall IS NOT NULL").select(
         "depot", F.col("date").alias("prediction_date"), (F.col("max_temp") * 1000).alias("predicted_passenger_kms"))
-    return lg.prediction_rows(preds, rollups.rolling_or(d.daily, least=12))
+    return lg.prediction_rows(preds, rollups.rolling_or(d.daily))
 
 
 @query("F09_prediction_rows", """
     SELECT depot, prediction_date, predicted_passenger_kms, assumed_or, bus_capacity, estimated_kms, NULL::BIGINT AS estimated_buses, status
-    FROM ledger WHERE status = 'completed' UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (
-        FROM ledger l WHERE l.status = 'completed' AND l.depot = f.depot AND l.prediction_date = f.prediction_date)""",
+    FROM ledger UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (
+        FROM ledger l WHERE l.depot = f.depot AND l.prediction_date = f.prediction_date)""",
        "predicted_passenger_kms assumed_or estimated_kms")
 def f09(d: Domain):
-    done = d.ledger.filter("status = 'completed'")
-    return lg.insert_if_absent(done, fresh(d), ["depot", "prediction_date"])
+    return lg.insert_if_absent(d.ledger, fresh(d), ["depot", "prediction_date"])
 
 
 @query("F10_backfill", """
@@ -174,7 +173,7 @@ def f09(d: Domain):
 def f10(d: Domain):
     actual = d.gold.select("depot", F.col("date").alias("prediction_date"), F.col("passenger_kms").alias("actual_passenger_kms"), "actual_kms")
     tested = fresh(d).select("depot", "prediction_date", "predicted_passenger_kms").join(actual, ["depot", "prediction_date"])
-    out = lg.backfill(d.ledger, tested, rollups.rolling_or(d.daily, least=12))
+    out = lg.backfill(d.ledger, tested, rollups.rolling_or(d.daily))
     return out.drop("actual_kms", "assumed_or", "bus_capacity")
 
 

@@ -96,7 +96,7 @@ STEPS["holiday_cells"] = """
     SELECT fes_hol_code, holiday_festival, fes_hol_category, year(date) || '_dates' AS year_col,
            string_agg(strftime(date, '%d-%m-%Y'), '; ' ORDER BY strftime(date, '%d-%m-%Y')) AS date_list
     FROM holidays GROUP BY 1, 2, 3, 4"""
-_YEARS = "(SELECT unnest(range(1995, 2002)) || '_dates' AS year_col)"
+_YEARS = "(SELECT DISTINCT year(date) || '_dates' AS year_col FROM holidays)"
 
 
 @query("U04_melt_dates", f"""
@@ -109,12 +109,12 @@ def u04(d: Domain):
 
 
 @query("U05_split_dates", """
-    SELECT fes_hol_code, year(date) || '_dates' AS year_col, strftime(date, '%d-%m-%Y') AS date_text FROM holidays WHERE year(date) < 2002""")
+    SELECT fes_hol_code, year(date) || '_dates' AS year_col, strftime(date, '%d-%m-%Y') AS date_text FROM holidays""")
 def u05(d: Domain):
     return reshape.split_dates(reshape.melt_dates(d.holiday_wide, ["fes_hol_code"]))
 
 
-@query("U06_holiday_long", "SELECT * FROM holidays WHERE year(date) < 2002")
+@query("U06_holiday_long", "SELECT * FROM holidays")
 def u06(d: Domain):
     return reshape.holiday_long(d.holiday_wide)
 

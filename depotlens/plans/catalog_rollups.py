@@ -212,27 +212,25 @@ def a26(d: Domain):
     return rollups.dedupe_duties(joins.with_steering(d.operations, d.steering))
 
 
-_MONTHS = ["2000-01", "2000-02", "2000-03"]
 STEPS["duties"] = """
-    SELECT employee_id, strftime(operations_date, '%Y-%m') AS m, min(steering_hours) AS h, min(hours_source) AS src
+    SELECT employee_id, operations_date, min(steering_hours) AS h, min(hours_source) AS src
     FROM steered GROUP BY employee_id, operations_date, depot, service_number"""
+STEPS["duty_cells"] = """
+    SELECT employee_id, operations_date AS date, round_even(round(coalesce(sum(h), 0), 9), 0)::BIGINT AS hours FROM duties GROUP BY 1, 2"""
 
 
-@query("A27_steering_pivot", f"""
-    SELECT employee_id, grouping(employee_id)::INTEGER AS is_total, {', '.join(
-        f"coalesce(sum(h) FILTER (WHERE m = '{k}'), 0) AS h_{k.replace('-', '_')}" for k in _MONTHS)}, sum(h) AS total
-    FROM duties WHERE m IN ('2000-01', '2000-02', '2000-03') GROUP BY ROLLUP (employee_id)""",
-       "h_2000_01 h_2000_02 h_2000_03 total")
+@query("A27_steering_pivot", """
+    SELECT employee_id, date, CASE WHEN grouping(employee_id) + grouping(date) = 2 THEN 'total' WHEN grouping(date) = 1 THEN 'employee'
+                                   WHEN grouping(employee_id) = 1 THEN 'date' ELSE 'cell' END AS part, sum(hours)::BIGINT AS hours
+    FROM duty_cells GROUP BY CUBE (employee_id, date)""")
 def a27(d: Domain):
-    duties = rollups.dedupe_duties(joins.with_steering(d.operations, d.steering))
-    return rollups.steering_pivot(duties, _MONTHS).withColumn("is_total", F.col("is_total").cast("int"))
+    return rollups.steering_pivot(rollups.dedupe_duties(joins.with_steering(d.operations, d.steering)))
 
 
-@query("A28_estimated_mask", f"""
-    SELECT employee_id, {', '.join(f"max(CASE WHEN m = '{k}' AND src <> 'Actual' THEN 1 ELSE 0 END) AS e_{k.replace('-', '_')}" for k in _MONTHS)}
-    FROM duties WHERE m IN ('2000-01', '2000-02', '2000-03') GROUP BY 1""")
+@query("A28_estimated_mask", """
+    SELECT employee_id, operations_date AS date, max(CASE WHEN src <> 'Actual' THEN 1 ELSE 0 END) AS estimated FROM duties GROUP BY 1, 2""")
 def a28(d: Domain):
-    return rollups.estimated_mask(rollups.dedupe_duties(joins.with_steering(d.operations, d.steering)), _MONTHS)
+    return rollups.estimated_mask(rollups.dedupe_duties(joins.with_steering(d.operations, d.steering)))
 
 
 @query("A29_entity_averages", """
@@ -260,19 +258,19 @@ def a31(d: Domain):
 
 
 @query("A32_clip_iqr", """
-    SELECT g.depot, date, least(greatest(passenger_kms, q1 - 0.5 * (q3 - q1)), q3 + 0.5 * (q3 - q1)) AS passenger_kms FROM gold g
+    SELECT g.depot, date, least(greatest(passenger_kms, q1 - 3 * (q3 - q1)), q3 + 3 * (q3 - q1)) AS passenger_kms FROM gold g
     JOIN (SELECT depot, quantile_cont(passenger_kms, 0.25) AS q1, quantile_cont(passenger_kms, 0.75) AS q3 FROM gold GROUP BY 1) q
       ON q.depot = g.depot""", "passenger_kms")
 def a32(d: Domain):
-    return rollups.clip_iqr(d.gold, "depot", "passenger_kms", 0.5).select("depot", "date", "passenger_kms")
+    return rollups.clip_iqr(d.gold, "depot", "passenger_kms").select("depot", "date", "passenger_kms")
 
 
 @query("A33_rolling_or", """
-    SELECT depot, CASE WHEN count(*) FILTER (WHERE date >= cut) >= 12
+    SELECT depot, CASE WHEN count(*) FILTER (WHERE date >= cut) >= 5
                        THEN round_even(round(avg(occupancy_ratio) FILTER (WHERE date >= cut), 9), 4) ELSE 0.85 END AS rolling_or
     FROM gold, (SELECT max(date) - 30 AS cut FROM gold) GROUP BY 1""", "rolling_or")
 def a33(d: Domain):
-    return rollups.rolling_or(d.daily, least=12)
+    return rollups.rolling_or(d.daily)
 
 
 @query("A35_monthly_fit", """
@@ -303,21 +301,19 @@ def a38(d: Domain):
 
 
 # ---- rankings -------------------------------------------------------------------
-@query("W24_driver_score", """
-    SELECT employee_id, km, earnings, hours, leaves,
-           coalesce((km - min(km) OVER ()) / nullif(max(km) OVER () - min(km) OVER (), 0), 0)
-         + coalesce((earnings - min(earnings) OVER ()) / nullif(max(earnings) OVER () - min(earnings) OVER (), 0), 0)
-         + coalesce((hours - min(hours) OVER ()) / nullif(max(hours) OVER () - min(hours) OVER (), 0), 0)
-         - coalesce((leaves - min(leaves) OVER ()) / nullif(max(leaves) OVER () - min(leaves) OVER (), 0), 0) AS score FROM performance""",
-       "earnings hours score")
-def w24(d: Domain):
-    return rollups.driver_score(rollups.driver_performance(d.operations, d.services, d.absences))
-
-
 STEPS["performance"] = """
-    SELECT p.employee_id, km, earnings, coalesce(hours, 0) AS hours, coalesce(leaves, 0) AS leaves
-    FROM (SELECT employee_id, sum(opd_kms) AS km, sum(daily_earnings) AS earnings FROM operations GROUP BY 1) p
+    SELECT depot, p.employee_id, km, earnings, coalesce(hours, 0) AS hours, coalesce(leaves, 0) AS leaves
+    FROM (SELECT depot, employee_id, sum(opd_kms) AS km, sum(daily_earnings) AS earnings FROM operations GROUP BY 1, 2) p
     LEFT JOIN driver_hours h ON h.employee_id = p.employee_id LEFT JOIN leave_counts l ON l.employee_id = p.employee_id"""
+_UNIT = "coalesce(({0} - min({0}) OVER w) / nullif(max({0}) OVER w - min({0}) OVER w, 0), 0)".format
+STEPS["scored"] = f"""
+    SELECT depot, employee_id, km, earnings, hours, leaves, {_UNIT('km')} + {_UNIT('earnings')} + {_UNIT('hours')} - {_UNIT('leaves')} AS score
+    FROM performance WINDOW w AS (PARTITION BY depot)"""
+
+
+@query("W24_driver_score", "SELECT * FROM scored", "earnings hours score")
+def w24(d: Domain):
+    return rollups.driver_score(rollups.driver_performance(d.operations, d.services, d.absences))
 
 
 @query("W25_rank", "SELECT employee_id, total_km, row_number() OVER (ORDER BY total_km DESC, employee_id) AS rank FROM driver_totals")
@@ -351,20 +347,12 @@ def t04b(d: Domain):
 
 
 @query("T05_top_bottom_score", """
-    SELECT employee_id, score, place, side FROM (
-        SELECT *, row_number() OVER (ORDER BY score DESC, employee_id) AS place, 'top' AS side FROM scored
-        UNION ALL SELECT *, row_number() OVER (ORDER BY score, employee_id), 'bottom' FROM scored) WHERE place <= 5""", "score")
+    SELECT depot, employee_id, score, place, side FROM (
+        SELECT *, row_number() OVER (PARTITION BY depot ORDER BY round(score, 9) DESC, employee_id) AS place, 'top' AS side FROM scored
+        UNION ALL SELECT *, row_number() OVER (PARTITION BY depot ORDER BY round(score, 9), employee_id), 'bottom' FROM scored) WHERE place <= 5""", "score")
 def t05(d: Domain):
     scored = rollups.driver_score(rollups.driver_performance(d.operations, d.services, d.absences))
-    return rollups.top_bottom(scored.select("employee_id", "score"), "score", ["employee_id"])
-
-
-STEPS["scored"] = """
-    SELECT employee_id,
-           coalesce((km - min(km) OVER ()) / nullif(max(km) OVER () - min(km) OVER (), 0), 0)
-         + coalesce((earnings - min(earnings) OVER ()) / nullif(max(earnings) OVER () - min(earnings) OVER (), 0), 0)
-         + coalesce((hours - min(hours) OVER ()) / nullif(max(hours) OVER () - min(hours) OVER (), 0), 0)
-         - coalesce((leaves - min(leaves) OVER ()) / nullif(max(leaves) OVER () - min(leaves) OVER (), 0), 0) AS score FROM performance"""
+    return rollups.top_bottom(scored.select("depot", "employee_id", F.round("score", 9).alias("score")), "score", ["employee_id"], keys=["depot"])
 
 
 @query("T06_latest_row", """

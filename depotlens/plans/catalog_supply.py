@@ -11,15 +11,13 @@ from depotlens.plans.registry import STEPS, query
 from depotlens.sources.views import Domain
 
 TARGET = "2001-11-05"
-# Long enough a look-back that most services of the test tables have been seen.
-WIDE = supply.TripPolicy(lookback_days=2500)
 
 STEPS["demand"] = """
     SELECT s.depot, sum(passenger_kms) * (1 + depot_id % 4) AS predicted_pkm
     FROM service_daily s JOIN depots d ON d.depot = s.depot GROUP BY s.depot, depot_id"""
 STEPS["recent"] = """
     SELECT depot, service_number, round(avg(occupancy_ratio), 9) AS recent_or FROM service_daily
-    WHERE date >= DATE '2001-11-05' - 2500 AND date < DATE '2001-11-05' GROUP BY 1, 2"""
+    WHERE date >= DATE '2001-11-05' - 7 AND date < DATE '2001-11-05' GROUP BY 1, 2"""
 STEPS["gap"] = """
     SELECT p.depot, planned_kms, predicted_pkm / greatest(target_share, 1e-6) / seats AS target_kms,
            predicted_pkm / greatest(target_share, 1e-6) / seats - planned_kms AS delta_kms, 0.03::DOUBLE * greatest(planned_kms, 1) AS tolerance_kms,
@@ -47,7 +45,7 @@ def gap(d: Domain):
 
 
 def cands(d: Domain):
-    return supply.candidates(d.services, supply.recent_or(d.service_daily, TARGET, 2500), WIDE)
+    return supply.candidates(d.services, supply.recent_or(d.service_daily, TARGET, 7))
 
 
 @query("M01_depot_gap", "SELECT * FROM gap", "planned_kms target_kms delta_kms tolerance_kms")
@@ -67,7 +65,7 @@ STEPS["added"] = f"""
 
 @query("M02_add_trips", "SELECT * FROM added")
 def m02(d: Domain):
-    return supply.add_trips(gap(d), cands(d), WIDE)
+    return supply.add_trips(gap(d), cands(d))
 
 
 _CUT = "ORDER BY is_peak, recent_or, km_per_trip DESC, service_number"
@@ -86,7 +84,7 @@ STEPS["removed_trips"] = f"""
 
 @query("M03_cut_trips", "SELECT * FROM removed_trips")
 def m03(d: Domain):
-    return supply.cut_trips(gap(d), cands(d), WIDE)
+    return supply.cut_trips(gap(d), cands(d))
 
 
 STEPS["plan"] = """
@@ -100,7 +98,7 @@ STEPS["plan"] = """
 
 
 def trip_plan(d: Domain):
-    return supply.trip_schedule(d.services, d.service_daily, demand(d), shares(d), TARGET, WIDE)
+    return supply.trip_schedule(d.services, d.service_daily, demand(d), shares(d), TARGET)
 
 
 @query("M04_trip_schedule", "SELECT * FROM plan", "kms_change planned_kms_day suggested_kms_day")
@@ -229,11 +227,17 @@ def m12b(d: Domain):
 @query("M13_resolve_forecast", """
     SELECT depot, predicted_passenger_kms AS predicted_pkm, 'latest' AS how FROM ledger
     WHERE prediction_date = (SELECT max(prediction_date) FROM ledger)
-    UNION ALL SELECT depot, avg(s), 'history' FROM (SELECT depot, date, sum(passenger_kms) AS s FROM service_daily GROUP BY 1, 2) GROUP BY 1""",
-       "predicted_pkm")
+    UNION ALL SELECT depot, avg(s), 'history' FROM (SELECT depot, date, sum(passenger_kms) AS s FROM service_daily GROUP BY 1, 2) GROUP BY 1
+    UNION ALL SELECT l.depot, CASE depot_id % 3 WHEN 0 THEN predicted_passenger_kms WHEN 1 THEN estimated_kms * 45 * 0.75::DOUBLE ELSE depot_id * 25 END, 'partly empty'
+    FROM ledger l JOIN depots d ON d.depot = l.depot WHERE prediction_date = (SELECT max(prediction_date) FROM ledger)""", "predicted_pkm")
 def m13(d: Domain):
+    k = F.col("depot_id") % 3
+    partly = d.ledger.join(d.depots.select("depot", "depot_id"), "depot").withColumns({
+        "predicted_passenger_kms": F.when(k == 0, F.col("predicted_passenger_kms")), "estimated_kms": F.when(k == 1, F.col("estimated_kms")),
+        "predicted_passengers": F.col("depot_id")})
     return supply.resolve_forecast(d.ledger, d.service_daily).withColumn("how", F.lit("latest")).unionByName(
-        supply.resolve_forecast(d.ledger, d.service_daily, "2030-01-01").withColumn("how", F.lit("history")))
+        supply.resolve_forecast(d.ledger, d.service_daily, "2030-01-01").withColumn("how", F.lit("history"))).unionByName(
+        supply.resolve_forecast(partly, d.service_daily).withColumn("how", F.lit("partly empty")))
 
 
 @query("M14_overview", _SUMMARY_SQL, _SUMMARY_R, 3)
@@ -241,18 +245,18 @@ def m14(d: Domain):
     return supply.overview(slot_plan(d).drop("quadrant", "contribution"))
 
 
-@query("T02_action_order", """
-    SELECT depot, service_number, action, kms_change, row_number() OVER (PARTITION BY depot ORDER BY
-        CASE action WHEN 'STOP' THEN 0 WHEN 'DECREASE' THEN 1 WHEN 'INCREASE' THEN 2 ELSE 3 END, kms_change DESC, service_number) AS line
-    FROM plan WHERE action <> 'NO_CHANGE'""", "kms_change")
-def t02(d: Domain):
-    from pyspark.sql import Window
+_T02 = """
+    SELECT depot, service_number, action, {1} AS size, '{0}' AS engine, row_number() OVER (PARTITION BY depot ORDER BY
+        CASE action {2} END, {1} DESC, service_number) AS line FROM {3}""".format
+_TRIP_RANK = " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(supply.TRIP_ACTIONS))
+_SLOT_RANK = " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(supply.SLOT_ACTIONS))
 
-    # Changed services only, at most the depot cap per depot.
-    changed = trip_plan(d).filter("action <> 'NO_CHANGE'")
-    order = Window.partitionBy("depot").orderBy(
-        supply.position(F.col("action"), supply.TRIP_ACTIONS), F.desc("kms_change"), "service_number")
-    return changed.select("depot", "service_number", "action", "kms_change", F.row_number().over(order).alias("line"))
+
+@query("T02_action_order", _T02("trips", "kms_change", _TRIP_RANK, "plan") + " UNION ALL " + _T02(
+    "slots", "planned_kms", _SLOT_RANK, "slot_plan"), "size")
+def t02(d: Domain):
+    return supply.action_order(trip_plan(d), "kms_change", supply.TRIP_ACTIONS).withColumn("engine", F.lit("trips")).unionByName(
+        supply.action_order(slot_plan(d), "planned_kms", supply.SLOT_ACTIONS).withColumn("engine", F.lit("slots")))
 
 
 _W28 = "ORDER BY planned_kms DESC, service_number"

@@ -208,7 +208,7 @@ def w15(d: Domain):
 
 @query("W20_ewm", f"""
     SELECT depot, date, list_reduce([0] || v, lambda a, x: a * 0.75 + x) / ((1 - power(0.75::DOUBLE, len(v))) / 0.25::DOUBLE) AS ewm_7
-    FROM (SELECT depot, date, list(passenger_kms) {_frame('120 PRECEDING', '1 PRECEDING')} AS v FROM series)""", "ewm_7", 5)
+    FROM (SELECT depot, date, list(passenger_kms) {_frame('UNBOUNDED PRECEDING', '1 PRECEDING')} AS v FROM series)""", "ewm_7", 5)
 def w20(d: Domain):
     return ft.ewm(d.gold.select("depot", "date", Y), Y).drop(Y)
 

@@ -104,7 +104,7 @@ class Domain:
         part = F.col("p_partkey")
         seats = self.depots.select("depot", "avg_seats_per_bus")
         pairs = self.operations.select("depot", "service_number").distinct()
-        master = self.raw("part").filter(F.col("p_size") <= 45).select(
+        master = self.raw("part").select(
             part.cast("string").alias("service_number"),
             F.col("p_brand").alias("route"),
             F.col("p_type").alias("product"),
@@ -124,7 +124,7 @@ class Domain:
     @cached_property
     def steering(self) -> DataFrame:
         part = F.col("p_partkey")
-        master = self.raw("part").filter(F.col("p_size") <= 40).select(
+        master = self.raw("part").select(
             part.cast("string").alias("service_number"),
             (F.lit(4.0) + part % 9).alias("steering_hours"),
             F.when(F.col("p_size") > 3, (F.col("p_size") % 4)).cast("int").alias("no_of_drvs"),
@@ -244,16 +244,15 @@ class Domain:
 
     @cached_property
     def holiday_wide(self) -> DataFrame:
-        """One row per festival code, one text cell of dates per year."""
-        years = [str(y) for y in range(1995, 2002)]
+        """One row per festival code, one text cell of dates per year, for the years that occur."""
         listed = (
             self.holidays.withColumn("y", F.date_format("date", "yyyy"))
             .withColumn("txt", F.date_format("date", "dd-MM-yyyy"))
             .groupBy("fes_hol_code", "holiday_festival", "fes_hol_category")
-            .pivot("y", years)
+            .pivot("y")
             .agg(F.concat_ws("; ", F.sort_array(F.collect_list("txt"))))
         )
-        return listed.withColumnsRenamed({y: f"{y}_dates" for y in years})
+        return listed.withColumnsRenamed({y: f"{y}_dates" for y in listed.columns[3:]})
 
     @cached_property
     def weather(self) -> DataFrame:

@@ -75,13 +75,12 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_partkey % 7 <> 0 THEN 15 + p_size * 0.5::DOUBLE END AS breakeven_cpk,
                avg_seats_per_bus, (p_size % 6) * (5 + p_partkey % 40)::DOUBLE AS planned_kms
         FROM (SELECT DISTINCT depot, service_number FROM operations) o
-        JOIN part ON p_partkey::VARCHAR = o.service_number JOIN depots d ON d.depot = o.depot
-        WHERE p_size <= 45""",
+        JOIN part ON p_partkey::VARCHAR = o.service_number JOIN depots d ON d.depot = o.depot""",
     "steering": """
         SELECT o.depot, o.service_number, (4 + p_partkey % 9)::DOUBLE AS steering_hours,
                CASE WHEN p_size > 3 THEN p_size % 4 END AS no_of_drvs
         FROM (SELECT DISTINCT depot, service_number FROM operations) o
-        JOIN part ON p_partkey::VARCHAR = o.service_number WHERE p_size <= 40""",
+        JOIN part ON p_partkey::VARCHAR = o.service_number""",
     "absences": """
         SELECT d.employee_id, d.depot,
                CASE o_orderpriority[1] WHEN '1' THEN 'L' WHEN '5' THEN 'L' WHEN '2' THEN 'S' WHEN '3' THEN 'A' END
