@@ -240,6 +240,11 @@ def festival_encoding(df: DataFrame, col: str = "passenger_kms") -> DataFrame:
 def features(gold: DataFrame, weather: DataFrame, col: str = "passenger_kms") -> DataFrame:
     """The whole feature table as one lazy plan (training and serving share it)."""
     df = gold.withColumns(calendar_parts(F.col("date")))
+    if "telugu_thithi" in df.columns:
+        # Place among the sorted lunar days, of which there are thirty names at most.
+        known = df.select("telugu_thithi").filter("telugu_thithi IS NOT NULL").distinct()
+        codes = known.agg(F.array_sort(F.collect_set("telugu_thithi"))).scalar()
+        df = df.withColumn("telugu_thithi_encoded", F.nullif(F.array_position(codes, F.col("telugu_thithi")).cast("int") - 1, F.lit(-1)))
     df = df.join(weather.select("depot", "date", "max_temp", "min_temp", "daily_rainfall"), ["depot", "date"], "left")
     df = df.withColumns(weather_parts())
     df = festival_calendar(proximity(df))

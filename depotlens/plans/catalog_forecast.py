@@ -12,14 +12,42 @@ from depotlens.plans.registry import STEPS, query
 from depotlens.session import materialise, work_dir
 from depotlens.sources.views import Domain
 
-# Boosting rounds of the registered queries: enough to exercise the job on test tables.
-ROUNDS = 8
-QUICK = fc.TreeSettings(depth=4).small(ROUNDS)
+# Production settings; a hold-out stops the boosting.
+DEMAND = fc.TreeSettings()
+PASSENGERS = fc.TreeSettings(trees=1000, depth=6)
+ABSENCE = fc.TreeSettings(700, 6, 0.05, 0.9, 1)
+DUTIES = fc.TreeSettings(800, 8, 0.05)
+
+# Where the models that this process has fitted were saved: fitted once for a session and folder, then read by every query.
+_SAVED: dict[tuple, str] = {}
+
+
+def saved(d: Domain, name: str, fit) -> str:
+    """The folder of a model job's results, which ``fit(path)`` writes once."""
+    key = (d.spark.sparkContext.applicationId, d.folder, name, DEMAND, PASSENGERS, ABSENCE, DUTIES)
+    if key not in _SAVED:
+        path = work_dir(d.spark, f"model-{name}")
+        fit(path)
+        _SAVED[key] = path
+    return _SAVED[key]
 
 
 def feature_table(d: Domain):
     """Written once; training, profiles and scoring read it."""
-    return materialise(ft.features(d.gold, d.weather), "features")
+    return materialise(ft.features(materialise(d.gold, "gold"), d.weather), "features")
+
+
+def demand_model(d: Domain):
+    """(model, scored hold-out, medians) of the depot demand."""
+
+    def fit(path):
+        model, scored, medians = fc.train_demand(feature_table(d), 90, DEMAND)
+        model.write().save(f"{path}/model")
+        scored.write.parquet(f"{path}/scored")
+        medians.write.parquet(f"{path}/medians")
+
+    path = saved(d, "demand", fit)
+    return fc.PipelineModel.load(f"{path}/model"), d.spark.read.parquet(f"{path}/scored"), d.spark.read.parquet(f"{path}/medians")
 
 
 @query("F02_select_features")
@@ -37,20 +65,20 @@ def f04(d: Domain):
 
 @query("F05_train_demand")
 def f05(d: Domain):
-    _, scored = fc.train_demand(feature_table(d), 90, QUICK)
+    _, scored, _ = demand_model(d)
     return lg.metrics(scored, "passenger_kms", "predicted", ["depot"])
 
 
 @query("T09_top_features")
 def t09(d: Domain):
-    model, _ = fc.train_demand(feature_table(d), 90, QUICK)
+    model, _, _ = demand_model(d)
     return fc.top_features(model, 30)
 
 
 @query("F16_model_registry")
 def f16(d: Domain):
     path = work_dir(d.spark, "models")
-    model, scored = fc.train_demand(feature_table(d), 90, QUICK)
+    model, scored, _ = demand_model(d)
     scores = lg.metrics(scored.withColumn("scope", F.lit("all")), "passenger_kms", "predicted", ["scope"])
     fc.save_model(model, scores, path, "v1", "2001-11-05")
     again = fc.predict(fc.load_model(path, "v1"), scored.drop("predicted"))
@@ -79,9 +107,8 @@ def f07(d: Domain):
 @query("F09_forecast_future")
 def f09(d: Domain):
     gold = materialise(d.gold, "gold")
-    feats = materialise(ft.features(gold, d.weather), "features")
-    model, _ = fc.train_demand(feats, 90, QUICK)
-    rows = fc.future_rows(gold, d.lunar, d.holidays, d.weather).na.fill(0.0)
+    model, _, medians = demand_model(d)
+    rows = fc.fill_medians(fc.future_rows(gold, d.lunar, d.holidays, d.weather), medians)
     preds = fc.predict(model, rows).select("depot", F.col("date").alias("prediction_date"), F.col("predicted").alias("predicted_passenger_kms"))
     return lg.prediction_rows(preds, rollups.rolling_or(gold))
 
@@ -89,7 +116,8 @@ def f09(d: Domain):
 @query("F11_passengers_2day")
 def f11(d: Domain):
     history = materialise(d.daily.select("depot", "date", "passengers_per_day"), "history")
-    model = fc.train_passengers(history, QUICK)
+    path = saved(d, "passengers", lambda to: fc.train_passengers(history, PASSENGERS).write().save(to))
+    model = fc.PipelineModel.load(path)
     raw = fc.passengers_2day(history, model)
     store = d.depots.select("depot", F.lit(None).cast("double").alias("stored_today"), F.lit(None).cast("double").alias("stored_tomorrow"))
     return lg.blend(raw, store)
@@ -97,27 +125,43 @@ def f11(d: Domain):
 
 @query("F14_absence_7day")
 def f14(d: Domain):
-    sheet = materialise(d.sheet.withColumnRenamed("data_date", "date").select("depot", "date", *fc.ABSENCE_TARGETS), "sheet")
-    calendar = d.holidays.select(F.date_add("date", 8500).alias("date"), "fes_hol_code")
-    models = fc.train_absence(sheet, calendar, least_rows=20, settings=QUICK)
+    kinds = dict(zip(fc.ABSENCE_TARGETS, "LSA", strict=True))
+    sheet = materialise(d.absences.groupBy("depot", "date").agg(*[F.count_if(F.col("leave_type") == k).cast("double").alias(t) for t, k in kinds.items()]), "sheet")
+    calendar = d.holidays.select("date", "fes_hol_code", "fes_hol_category")
+    path = saved(d, "absence", lambda to: [m.write().save(f"{to}/{t}") for t, m in fc.train_absence(sheet, calendar, settings=ABSENCE).items()])
+    models = {t: fc.PipelineModel.load(f"{path}/{t}") for t in fc.ABSENCE_TARGETS}  # years of orders: every target has its model
     return fc.absence_ahead(sheet, calendar, models, 7)
 
 
 def duty_table(d: Domain):
     duties = rollups.dedupe_duties(joins.with_steering(d.operations, d.steering))
-    return materialise(fc.duty_rows(duties, d.health), "duty-rows")
+    return fc.duty_rows(duties, d.health)
+
+
+def duty_models(d: Domain):
+    """(rows, km model, hours model, scored rest)."""
+
+    def fit(path):
+        duty_table(d).write.parquet(f"{path}/rows")
+        km, hours, scored = fc.train_duties(d.spark.read.parquet(f"{path}/rows"), DUTIES)
+        km.write().save(f"{path}/km")
+        hours.write().save(f"{path}/hours")
+        scored.write.parquet(f"{path}/scored")
+
+    path = saved(d, "duties", fit)
+    return (d.spark.read.parquet(f"{path}/rows"), fc.PipelineModel.load(f"{path}/km"), fc.PipelineModel.load(f"{path}/hours"),
+            d.spark.read.parquet(f"{path}/scored"))
 
 
 @query("F15_km_hours_grid")
 def f15(d: Domain):
-    rows = duty_table(d)
-    km, hours, _ = fc.train_duties(rows, QUICK)
+    rows, km, hours, _ = duty_models(d)
     return fc.km_hours_grid(rows, km, hours, "2001-12-01", 6)
 
 
 @query("F15_km_hours_metrics")
 def f15b(d: Domain):
-    _, _, scored = fc.train_duties(duty_table(d), QUICK)
+    scored = duty_models(d)[3]
     km = lg.metrics(scored.withColumn("target", F.lit("km")), "opd_kms", "pred_km", ["target"])
     return km.unionByName(lg.metrics(scored.withColumn("target", F.lit("hours")), "steering_hours", "pred_hours", ["target"]))
 

@@ -10,7 +10,8 @@ from depotlens.plans import QUERIES
 def test_model_queries(spark, folder, name, monkeypatch):
     from depotlens.plans import catalog_forecast
 
-    monkeypatch.setattr(catalog_forecast, "QUICK", fc.TreeSettings(depth=3).small(3))
+    for job in ("DEMAND", "PASSENGERS", "ABSENCE", "DUTIES"):
+        monkeypatch.setattr(catalog_forecast, job, fc.TreeSettings(trees=3, depth=3, step=0.3))
     out = {c: None for c in QUERIES[name].run(spark, folder).columns}
     got = QUERIES[name].run(spark, folder).collect()
     assert got and out

@@ -256,3 +256,68 @@ def test_quantiles_of_skewed_group(frame):
     values = [("hot", float(i % 17)) for i in range(3000)] + [("cold", 1.0), ("cold", 2.0)]
     got = {r.k: (r.a, r.m, r.z) for r in quantiles.exact_quantiles(frame(values, "k string, v double"), ["k"], "v", [0.0, 0.5, 1.0], ["a", "m", "z"]).collect()}
     assert got == {"hot": (0.0, 8.0, 16.0), "cold": (1.0, 1.5, 2.0)}
+
+
+def test_service_master_defaults(frame):
+    raw = frame([(" A ", "7 ", "4", "40", None, None, None), ("B", "8", "x", None, 3.0, "50", 1)],
+                "depot string, service_number string, planned_trips string, planned_kms string, km_per_trip double, avg_seats_per_bus string, can_be_cancelled int")
+    got = {r.depot: r for r in clean.clean_service_master(raw).collect()}
+    assert (got["A"].service_number, got["A"].km_per_trip, got["A"].avg_seats_per_bus, got["A"].can_be_cancelled) == ("7", 0.0, 45.0, 0)
+    assert (got["B"].planned_trips, got["B"].planned_kms, got["B"].km_per_trip, got["B"].can_be_cancelled) == (0, 0.0, 3.0, 1)
+    empty = {r.depot: r for r in clean.clean_service_master(raw.drop("km_per_trip", "can_be_cancelled")).collect()}
+    assert (empty["A"].km_per_trip, empty["B"].km_per_trip, empty["A"].can_be_cancelled) == (10.0, 0.0, 1)
+
+
+def test_daily_services_are_coerced(frame):
+    raw = frame([(" A", "7 ", "2024-01-05", "1,2", "", "3.5"), ("B", "8", "31-02-2024", "12", "4", "x")],
+                "depot string, service_number string, date string, actual_kms string, actual_trips string, revenue string")
+    got = {r.depot: r for r in clean.clean_daily_services(raw).collect()}
+    assert (str(got["A"].date), got["A"].actual_kms, got["A"].actual_trips, got["A"].revenue) == ("2024-01-05", None, 0.0, 3.5)
+    assert (got["B"].date, got["B"].actual_kms, got["B"].actual_trips, got["B"].revenue) == (None, 12.0, 4.0, None)
+
+
+def test_label_key_keeps_other_scripts(frame):
+    got = [r.k for r in frame([("  Été_(No.%) /x ",), ("हिन्दी-A",)], "t string").select(clean.label_key(F.col("t")).alias("k")).collect()]
+    assert got == ["ete no x", "हिन्दी a"]
+
+
+def test_weighted_mean_reaches_all_rows(spark):
+    import pandas as pd
+
+    from depotlens.operators import features as ft
+
+    for span, n in ((180, 400), (7, 3000), (1, 10)):
+        y = pd.Series([(i * 37) % 101 for i in range(n)], dtype=float)
+        df = spark.createDataFrame([("D", i, float(v)) for i, v in enumerate(y)], "depot string, date int, y double")
+        got = [r.ewm_7 for r in ft.ewm(df, "y", span).orderBy("date").collect()]
+        want = y.ewm(span=span, adjust=True).mean().shift(1)
+        assert got[0] is None and got[1:] == pytest.approx(want.tolist()[1:], rel=1e-9)
+
+
+def test_pivot_rounds_cells_before_totals(frame):
+    from depotlens.operators import rollups
+
+    duties = frame([(1, "2024-01-01", 1.4, "Actual"), (1, "2024-01-02", 1.4, "Mean"), (2, "2024-01-01", 2.5, "Actual"), (2, "2024-01-01", 1.0, "Actual")],
+                   "employee_id int, operations_date string, steering_hours double, hours_source string")
+    got = {(r.part, r.employee_id, r.date): r.hours for r in rollups.steering_pivot(duties).collect()}
+    assert got[("cell", 2, "2024-01-01")] == 4 and got[("employee", 1, None)] == 2 and got[("date", None, "2024-01-01")] == 5 and got[("total", None, None)] == 6
+    mask = {(r.employee_id, r.date): r.estimated for r in rollups.estimated_mask(duties).collect()}
+    assert mask == {(1, "2024-01-01"): 0, (1, "2024-01-02"): 1, (2, "2024-01-01"): 0}
+
+
+def test_scores_are_scaled_within_the_depot(frame):
+    from depotlens.operators import rollups
+
+    perf = frame([("A", 1, 0.0, 1.0, 0.0, 0), ("A", 2, 10.0, 1.0, 4.0, 2), ("B", 3, 500.0, 9.0, 1.0, 1)],
+                 "depot string, employee_id int, km double, earnings double, hours double, leaves int")
+    assert {r.employee_id: r.score for r in rollups.driver_score(perf).collect()} == {1: 0.0, 2: 1.0, 3: 0.0}
+
+
+def test_older_prediction_columns(frame):
+    from depotlens.operators import ledger as lg
+
+    rows = frame([("A", "2024-01-01", None, "pending", 7.0, 8.0, -1.0, -12.5), ("B", "2024-01-01", 5.0, "pending", 6.0, None, None, None)],
+                 "depot string, prediction_date string, predicted_passenger_kms double, status string, predicted_passengers double, "
+                 "actual_passengers double, passenger_error double, passenger_error_pct double")
+    got = {r.depot: (r.predicted, r.actual, r.error) for r in lg.accuracy_table(rows, "demand").collect()}
+    assert got == {"A": (7.0, 8.0, -1.0), "B": (5.0, None, None)}
