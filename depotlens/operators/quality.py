@@ -169,32 +169,54 @@ def name_pattern(df: DataFrame, column: str, pattern: str = r"^[A-Za-z][A-Za-z0-
     return df.filter(~F.col(column).rlike(pattern)).select(column).distinct()
 
 
-def preflight(files: DataFrame, master: DataFrame, depots: DataFrame, as_of: str, limits=DEPOT_BOUNDS) -> DataFrame:
-    """All rules for all files at once: (file, rule, n); a file without rows here may load.
+# What tells the two kinds of arriving files apart: key, ranges, and whether each depot stands in a file exactly once.
+FILE_KINDS = {
+    "depot": {"keys": ["depot", "date"], "bounds": DEPOT_BOUNDS, "one_per_depot": True},
+    "service": {"keys": ["depot", "date", "service_number"], "bounds": SERVICE_BOUNDS, "one_per_depot": False},
+}
+# Findings that don't keep a file from loading.
+WARNINGS = ("already_loaded", "date_gap")
+
+
+def preflight(files: DataFrame, master: DataFrame, depots: DataFrame, as_of: str, limits=None, kind: str = "depot") -> DataFrame:
+    """All rules for all files of a kind at once: (file, rule, n); a file without rows here, or with WARNINGS only, may load.
 
     ``files`` holds every arriving row with its ``file`` name, depot, date and measures.
     Everything per file comes from one grouping; only the key duplicates need a second.
     """
+    rules = FILE_KINDS[kind]
     d = F.col("date")
     named = files.withColumns(classify_file(F.col("file")))
-    known = depots.select("depot").withColumn("_known", F.lit(1))
+    known = depots.select("depot").distinct().withColumn("_known", F.lit(1))
     loaded = master.select("date").distinct().withColumn("_loaded", F.lit(1))
     rows = named.join(known, "depot", "left").join(loaded, "date", "left")
+    empty = F.lit(False)
+    for key in rules["keys"]:
+        empty = empty | F.col(key).isNull()
     tests = {
-        "bad_name": F.col("kind") == "unknown",
-        "null_key": F.col("depot").isNull() | d.isNull(),
+        "bad_name": F.col("kind") != kind,
+        "null_key": empty,
         "unknown_depot": F.col("depot").isNotNull() & F.col("_known").isNull(),
         "date_mismatch": F.col("file_date") != d,
         "future_date": d > F.lit(as_of).cast("date"),
         "already_loaded": F.col("_loaded").isNotNull(),
     }
-    for col, (lo, hi) in limits.items():
+    for col, (lo, hi) in (limits or rules["bounds"]).items():
         if col in files.columns:
             tests[f"range_{col}"] = (F.col(col) < lo) | (F.col(col) > hi if hi is not None else F.lit(False))
     row = rows.groupBy("file").agg(
         *[F.count_if(t).alias(r) for r, t in tests.items()],
         (F.when(F.min("date") != F.max("date"), 1).otherwise(0)).cast("bigint").alias("several_dates"),
+        F.count("*").alias("_rows"), F.min("date").alias("_first"),
     )
-    long = row.unpivot("file", [*tests, "several_dates"], "rule", "n").filter("n > 0")
-    twice = duplicate_keys(files, ["file", "depot", "date"]).groupBy("file").agg(F.count("*").alias("n"))
+    # Days between the master's last date and the file's.
+    last = master.agg(F.max("date")).scalar()
+    found = row.withColumn("date_gap", F.greatest(F.datediff("_first", last).cast("bigint") - 1, F.lit(0)))
+    names = [*tests, "several_dates", "date_gap"]
+    if rules["one_per_depot"]:
+        expected = depots.select(F.countDistinct("depot")).scalar()
+        found = found.withColumn("row_count", F.when(F.col("_rows") != expected, F.col("_rows")).otherwise(0))
+        names.append("row_count")
+    long = found.unpivot("file", names, "rule", "n").filter("n > 0")
+    twice = duplicate_keys(files, ["file", *rules["keys"]]).groupBy("file").agg(F.count("*").alias("n"))
     return long.unionByName(twice.select("file", F.lit("duplicate_key").alias("rule"), "n"))

@@ -456,6 +456,21 @@ def v15(d: Domain):
     return quality.name_pattern(names, "name", r"^[A-Za-z][A-Za-z013-9 ._#/\-]*$")
 
 
+STEPS["service_rows"] = """
+    SELECT depot, date, CASE WHEN k % 97 <> 0 THEN service_number END AS service_number, CASE WHEN k % 89 = 0 THEN -1 ELSE revenue END AS revenue,
+           CASE WHEN isodow(date) = 7 THEN 'ops_daily_' ELSE 'ops_daily_service_' END || strftime(date, '%Y-%m-%d') || '.csv' AS file
+    FROM (SELECT *, service_number::INTEGER AS k FROM service_daily)"""
+
+
+def arriving_services(d: Domain):
+    """Service files: some without a number or with a negative revenue, Sunday's under the name of a depot file."""
+    k, day = F.col("service_number").cast("int"), F.date_format("date", "yyyy-MM-dd")
+    name = F.concat(F.when(F.weekday("date") == 6, "ops_daily_").otherwise("ops_daily_service_"), day, F.lit(".csv"))
+    return d.service_daily.select(
+        "depot", "date", F.when(k % 97 != 0, F.col("service_number")).alias("service_number"),
+        F.when(k % 89 == 0, -1.0).otherwise(F.col("revenue")).alias("revenue"), name.alias("file"))
+
+
 _PRE = "DATE '2001-01-01'"
 
 
@@ -472,8 +487,22 @@ STEPS["file_rows"] = """
         SELECT file, 'already_loaded', count(*) FILTER (WHERE date IN (SELECT prediction_date FROM ledger)) FROM file_rows GROUP BY 1 UNION ALL
         SELECT file, 'unknown_depot', count(*) FILTER (WHERE depot NOT IN (SELECT depot FROM depots WHERE region <> 'ASIA')) FROM file_rows GROUP BY 1 UNION ALL
         SELECT file, 'range_occupancy_ratio', count(*) FILTER (WHERE occupancy_ratio > 0.9) FROM file_rows GROUP BY 1 UNION ALL
+        SELECT file, 'date_gap', greatest(min(date) - (SELECT max(prediction_date) FROM ledger) - 1, 0) FROM file_rows GROUP BY 1 UNION ALL
+        SELECT file, 'row_count', CASE WHEN count(*) <> (SELECT count(DISTINCT depot) FROM depots WHERE region <> 'ASIA') THEN count(*) ELSE 0 END FROM file_rows GROUP BY 1 UNION ALL
         SELECT file, 'several_dates', CASE WHEN min(date) <> max(date) THEN 1 ELSE 0 END FROM file_rows GROUP BY 1) WHERE n > 0""")
 def v16(d: Domain):
     master = d.ledger.select("depot", F.col("prediction_date").alias("date"))
     limits = {"actual_kms": (0, None), "occupancy_ratio": (0, 0.9)}
     return quality.preflight(arriving_files(d), master, d.depots.filter("region <> 'ASIA'"), "2001-01-01", limits)
+
+
+@query("V16_preflight_services", """
+    SELECT file, rule, n FROM (
+        SELECT file, 'null_key' AS rule, count(*) FILTER (WHERE service_number IS NULL) AS n FROM service_rows GROUP BY 1 UNION ALL
+        SELECT file, 'bad_name', count(*) FILTER (WHERE isodow(date) = 7) FROM service_rows GROUP BY 1 UNION ALL
+        SELECT file, 'range_revenue', count(*) FILTER (WHERE revenue < 0) FROM service_rows GROUP BY 1 UNION ALL
+        SELECT file, 'duplicate_key', count(*) FILTER (WHERE k > 1) FROM (
+            SELECT file, depot, date, service_number, count(*) AS k FROM service_rows GROUP BY 1, 2, 3, 4) GROUP BY 1) WHERE n > 0""")
+def v16b(d: Domain):
+    master = d.service_daily.select("date").limit(0)
+    return quality.preflight(arriving_services(d), master, d.depots, "2030-01-01", kind="service")

@@ -52,6 +52,34 @@ def r01(d: Domain):
     return d.spark.read.parquet(master).select(*_COLS)
 
 
+STEPS["event_services"] = """
+    SELECT n_name AS depot, ts::DATE AS date, event_type AS service_number, sum(round(value * 100)::BIGINT) / 100::DOUBLE AS actual_kms,
+           count(*)::DOUBLE AS actual_trips, count(DISTINCT user_id)::DOUBLE AS revenue
+    FROM events JOIN nation ON n_nationkey = user_id % 25 GROUP BY 1, 2, 3"""
+
+
+def event_services(d: Domain):
+    """Service-day rows of the events: the type of an event stands for the service."""
+    nation = d.raw("nation").select((F.col("n_nationkey") + 0).alias("k"), F.col("n_name").alias("depot"))
+    rows = d.raw("events").withColumn("k", (F.col("user_id") % 25).cast("int"))
+    return rows.groupBy("k", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("service_number")).agg(
+        (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0).alias("actual_kms"), F.count("*").cast("double").alias("actual_trips"),
+        F.countDistinct("user_id").cast("double").alias("revenue"),
+    ).join(nation, "k").drop("k").withColumns({c: F.lit(1.0) for c in ("seat_kms", "passenger_kms", "occupancy_ratio")})
+
+
+@query("R01_service_files", "SELECT * FROM event_services", "actual_kms")
+def r01b(d: Domain):
+    """Files of daily services through the gate of their kind."""
+    named = event_services(d).withColumn("file", F.concat(F.lit("ops_daily_service_"), F.date_format("date", "yyyy-MM-dd"), F.lit(".csv")))
+    drop, base = work_dir(d.spark, "drop"), work_dir(d.spark, "ingest")
+    columns = [c.split()[0] for c in st.SERVICE_SCHEMA.split(", ")]
+    named.select(*columns, "file").write.mode("append").option("header", True).partitionBy("file").csv(drop)
+    handler = st.load_handler(f"{base}/master", d.depots, "2024-02-01", f"{base}/errors", kind="service")
+    st.ingest(st.file_stream(d.spark, drop, st.SERVICE_SCHEMA + ", file string"), handler, f"{base}/checkpoint").awaitTermination()
+    return d.spark.read.parquet(f"{base}/master").select("depot", "date", "service_number", "actual_kms", "actual_trips", "revenue")
+
+
 @query("S14_archive_files")
 def s14(d: Domain):
     """Files are archived as later batches of the stream complete, so the last ones may still be waiting."""
@@ -79,7 +107,7 @@ def r02b(d: Domain):
     sunday = F.weekday("date") == 6
     named = event_days(d).withColumn("file", F.when(sunday, F.concat(F.lit("x"), daily_name(), F.lit(".txt"))).otherwise(daily_name()))
     _, errors = load_all(d, named, "file")
-    return d.spark.read.parquet(errors)
+    return d.spark.read.parquet(errors).drop("batch_id")
 
 
 @query("R03_late_correction", """

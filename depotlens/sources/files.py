@@ -103,8 +103,9 @@ def write_summaries(summary: DataFrame, path: str) -> str:
     return path
 
 
-def log_rows(rows: DataFrame, path: str) -> str:
-    rows.write.mode("append").parquet(path)
+def log_rows(rows: DataFrame, path: str, batch: int | str = 0) -> str:
+    """Log rows under their batch's key: a batch logged again replaces its rows."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
     return path
 
 

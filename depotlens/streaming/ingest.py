@@ -14,10 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from depotlens.functions.timeparts import month_start
 from depotlens.operators import ledger as lg
-from depotlens.operators.quality import preflight
+from depotlens.operators.quality import FILE_KINDS, WARNINGS, preflight
 from depotlens.operators.reshape import upsert
 from depotlens.session import materialise
 
+SERVICE_SCHEMA = ("depot string, date date, service_number string, actual_kms double, actual_trips double, seat_kms double, "
+                  "passenger_kms double, occupancy_ratio double, revenue double")
 DROP_SCHEMA = "depot string, date date, passengers_per_day bigint, actual_kms double, occupancy_ratio double"
 
 
@@ -68,33 +70,53 @@ def correct(batch: DataFrame, master: str, keys: list[str]) -> None:
     Only the months the batch touches are read and replaced, through a staged copy,
     so a correction of one day costs one month whatever the table's size.
     """
-    inbound = newest_per_key(batch, keys).withColumn("month", month_start(F.col("date")))
-    stored = _stored(batch.sparkSession, master, inbound)
-    touched = stored.join(inbound.select("month").distinct(), "month", "left_semi").select(*inbound.columns)
+    inbound = materialise(newest_per_key(batch, keys).withColumn("month", month_start(F.col("date"))), "inbound")
+    touched = stored_months(batch.sparkSession, master, inbound, "month").select(*inbound.columns)
     staged = materialise(upsert(touched, inbound, keys), "staged")
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(master)
 
 
-def gate(batch: DataFrame, master: DataFrame, depots: DataFrame, as_of: str, error_log: str, reject: str = "batch") -> DataFrame:
-    """Rows that may load.  Violations go to the error log.
+MOST_MONTHS = 1200  # a century: months stated one by one to the scan
+
+
+def stored_months(spark: SparkSession, path: str, rows: DataFrame, month: str) -> DataFrame:
+    """The stored rows of the months in ``rows``, named to the scan as values of the partition column, so that no other month is read."""
+    months = [r[0] for r in rows.select(month).distinct().limit(MOST_MONTHS + 1).collect()]
+    stored = _stored(spark, path, rows)
+    if len(months) > MOST_MONTHS:
+        raise ValueError("a batch that touches more months than a century has isn't a correction")
+    return stored.filter(F.col("month").isin(months))
+
+
+def write_batch(rows: DataFrame, path: str, epoch: int) -> None:
+    """The rows of one micro-batch in its own folder: a batch that is run again replaces what it wrote before."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={epoch}")
+
+
+def gate(
+    batch: DataFrame, master: DataFrame, depots: DataFrame, as_of: str, error_log: str, reject: str = "batch", kind: str = "depot", epoch: int = 0,
+) -> DataFrame:
+    """Rows that may load.  All findings go to the error log, under the batch's number.
 
     ``reject='batch'`` refuses all files when one fails, ``'file'`` only the failing ones.
-    Dates already loaded are corrections and pass.
+    Warnings (dates already loaded, which are corrections, and gaps) refuse nothing.
     """
-    found = materialise(preflight(batch, master.limit(0), depots, as_of).filter("rule <> 'already_loaded'"), "violations")
-    found.write.mode("append").parquet(error_log)
+    found = materialise(preflight(batch, master, depots, as_of, kind=kind), "violations")
+    write_batch(found, error_log, epoch)
+    errors = found.filter(~F.col("rule").isin(*WARNINGS))
     if reject == "batch":
-        clean = found.agg(F.count("*") == 0).scalar()
+        clean = errors.agg(F.count("*") == 0).scalar()
         return batch.filter(clean)
-    return batch.join(found.select("file").distinct(), "file", "left_anti")
+    return batch.join(errors.select("file").distinct(), "file", "left_anti")
 
 
-def load_handler(master: str, depots: DataFrame, as_of: str, error_log: str, keys=("depot", "date"), reject: str = "batch"):
-    """Gate, then correct: the body of the daily ingest."""
+def load_handler(master: str, depots: DataFrame, as_of: str, error_log: str, keys=None, reject: str = "batch", kind: str = "depot"):
+    """Gate, then correct: the body of the daily ingest of one kind of file.  The batch is read from its files once."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
+        batch = materialise(batch, "batch")
         stored = _stored(batch.sparkSession, master, batch)
-        correct(gate(batch, stored, depots, as_of, error_log, reject), master, list(keys))
+        correct(gate(batch, stored, depots, as_of, error_log, reject, kind, epoch), master, list(keys or FILE_KINDS[kind]["keys"]))
 
     return handle
 
@@ -104,9 +126,10 @@ def close_handler(ledger: str):
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        actuals = lg.ledger_actuals(batch)
-        months = actuals.select(month_start(F.col("date")).alias("month")).distinct()
-        stored = spark.read.parquet(ledger).join(months, "month", "left_semi")
+        actuals = materialise(lg.ledger_actuals(batch).withColumn("month", month_start(F.col("date"))), "actuals")
+        months = [r[0] for r in actuals.select("month").distinct().limit(MOST_MONTHS).collect()]
+        stored = spark.read.parquet(ledger).filter(F.col("month").isin(months))
+        actuals = actuals.drop("month")
         staged = materialise(lg.close_pending(stored, actuals), "closed")
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(ledger)
 

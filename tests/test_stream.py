@@ -28,23 +28,24 @@ def run(spark, base, drops, reject="batch", archive=None, max_files=None):
 def test_corrections_replace_and_runs_resume(spark, tmp_path):
     drops = tmp_path / "in"
     drop(drops, "ops_daily_2024-01-01.csv", ["A,2024-01-01,10,5.0,0.5", "B,2024-01-01,10,6.0,0.5"])
-    drop(drops, "ops_daily_2024-01-02.csv", ["A,2024-01-02,10,7.0,0.5"])
+    drop(drops, "ops_daily_2024-01-02.csv", ["A,2024-01-02,10,7.0,0.5", "B,2024-01-02,10,8.0,0.5"])
     first = run(spark, tmp_path, drops, max_files=1)
-    assert first.count() == 3
-    drop(drops, "r2_ops_daily_2024-01-01.csv", ["A,2024-01-01,10,50.0,0.5"])
+    assert first.count() == 4
+    drop(drops, "r2_ops_daily_2024-01-01.csv", ["A,2024-01-01,10,50.0,0.5", "B,2024-01-01,10,6.0,0.5"])
     again = run(spark, tmp_path, drops)
-    day = dt.date(2024, 1, 1)
-    assert rows(again, "date", "depot") == [("A", day, 50.0), ("B", day, 6.0), ("A", day + dt.timedelta(days=1), 7.0)]
+    day, after = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    assert rows(again, "date", "depot") == [("A", day, 50.0), ("B", day, 6.0), ("A", after, 7.0), ("B", after, 8.0)]
+    assert {r.rule for r in spark.read.parquet(str(tmp_path / "errors")).collect()} == {"already_loaded"}
 
 
 def test_failing_file_refuses_batch_or_file(spark, tmp_path):
     for mode in ("batch", "file"):
         base, drops = tmp_path / mode, tmp_path / f"in-{mode}"
         base.mkdir()
-        drop(drops, "ops_daily_2024-01-01.csv", ["A,2024-01-01,10,5.0,0.5"])
+        drop(drops, "ops_daily_2024-01-01.csv", ["A,2024-01-01,10,5.0,0.5", "B,2024-01-01,10,5.0,0.5"])
         drop(drops, "ops_daily_2024-01-02.csv", ["Z,2024-01-02,10,5.0,0.5", "A,2024-01-03,10,-5.0,9.5"])
         out = run(spark, base, drops, mode)
-        assert out.count() == (0 if mode == "batch" else 1)
+        assert out.count() == (0 if mode == "batch" else 2)
         found = {(r.file, r.rule) for r in spark.read.parquet(str(base / "errors")).collect()}
         assert found == {("ops_daily_2024-01-02.csv", rule) for rule in (
             "unknown_depot", "date_mismatch", "several_dates", "range_actual_kms", "range_occupancy_ratio")}
@@ -66,3 +67,41 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     for _ in range(2):
         st.correct(batch, master, ["depot", "date"])
     assert [r.x for r in spark.read.parquet(master).collect()] == [2.0]
+
+
+def test_short_file_is_refused(spark, tmp_path):
+    drops = tmp_path / "in"
+    drop(drops, "ops_daily_2024-01-01.csv", ["A,2024-01-01,10,5.0,0.5"])
+    assert run(spark, tmp_path, drops, "file").count() == 0
+    assert {(r.rule, r.n) for r in spark.read.parquet(str(tmp_path / "errors")).collect()} == {("row_count", 1)}
+
+
+def test_service_rows_have_their_own_key_and_ranges(spark):
+    from depotlens.operators.quality import preflight
+
+    name = "ops_daily_service_2024-01-05.csv"
+    rows_ = [("A", dt.date(2024, 1, 5), "1", 2.5, name), ("A", dt.date(2024, 1, 5), "2", 3.5, name), ("A", dt.date(2024, 1, 5), None, 1.0, name)]
+    files = spark.createDataFrame(rows_, "depot string, date date, service_number string, occupancy_ratio double, file string")
+    master = spark.createDataFrame([(dt.date(2024, 1, 1),)], "date date")
+    got = {(r.rule, r.n) for r in preflight(files, master, dims(spark), "2024-02-01", kind="service").collect()}
+    assert got == {("null_key", 1), ("range_occupancy_ratio", 1), ("date_gap", 3)}
+
+
+def test_batch_run_again_leaves_tables_and_log_unchanged(spark, tmp_path):
+    handler = st.load_handler(str(tmp_path / "master"), dims(spark), "2024-02-01", str(tmp_path / "errors"), reject="file")
+    columns = "depot string, date date, passengers_per_day bigint, actual_kms double, occupancy_ratio double, file string"
+    batch = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1, 1.0, 0.5, "ops_daily_2024-01-01.csv")], columns)
+    for _ in range(2):
+        handler(batch, 7)
+    assert [(r.rule, r.batch_id) for r in spark.read.parquet(str(tmp_path / "errors")).collect()] == [("row_count", 7)]
+
+
+def test_only_the_months_of_a_batch_are_read(spark, tmp_path):
+    master = str(tmp_path / "m")
+    days = [dt.date(2024, m, 3) for m in range(1, 13)]
+    st.correct(spark.createDataFrame([("A", d, 1.0, "f") for d in days], "depot string, date date, x double, file string"), master, ["depot", "date"])
+    late = spark.createDataFrame([("A", days[4], dt.date(2024, 5, 1))], "depot string, date date, month date")
+    stored = st.stored_months(spark, master, late, "month")
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-05-01" in plan or "PartitionFilters: [(month" in plan, plan
+    assert [r.date for r in stored.collect()] == [days[4]]
