@@ -1,10 +1,10 @@
 """Byte-level BPE: encoding by ranks and decoding, as the rank file's own library does.
 
 Tasks cut the texts of a block into the pattern's matches and number the distinct ones; Spark's higher-order
-functions then fold the ranked merges over the bytes of each distinct word of the block (two hex digits a
-byte), looking ranks up in a literal map; tasks put the words' ids back in the places of the texts.  Nothing
-is shuffled.  Words over ``Settings.fold_bytes`` (rare: the fold's steps grow with the square of the length)
-are merged with a heap instead, to the same ids.
+functions then fold the ranked merges over the bytes of each distinct word of the block (a character stands for a
+byte or piece, ordered by rank), looking pairs up in a literal map; tasks put the words' ids back in the places of the
+texts.  Nothing is shuffled.  Words over ``Settings.fold_bytes`` (rare: the fold's work grows with the square of the
+length) are merged with a heap instead, to the same ids.
 
 Defined cases: NULL text counts as empty and has no tokens; rows are never joined, so repeated and NULL ids keep
 their rows; an id outside the vocabulary can't be decoded and raises.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from depotlens.llm.text import only, slices, texts_of
 
-LOOKUP_BUCKETS = 1 << 16
+LOOKUP_BUCKETS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -48,49 +48,61 @@ def compiled(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
 
+def sign(rank: int) -> str:
+    """The character that stands for a rank; their order is that of the ranks."""
+    return chr(rank + 0x100 if rank + 0x100 < 0xD800 else rank + 0x900)
+
+
+def ranks_of(signs: str) -> np.ndarray:
+    code = np.frombuffer(signs.encode("utf-32-le"), np.uint32).astype(np.int32)
+    return code - np.where(code < 0xD800, 0x100, 0x900).astype(np.int32)
+
+
+# After all signs in order: no merge, or, at the end of a word, nothing left to merge.
+END = "\ufffd"
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks by hex piece, in buckets by crc32, as a literal: a map alone would be searched from end to end."""
-    buckets: list[dict[str, int]] = [{} for _ in range(LOOKUP_BUCKETS)]
+    """The rank of each pair of pieces that make a piece, as a literal: lists of (END, pair, piece) in buckets by crc32.
+
+    A map alone would be searched from end to end.
+    """
+    buckets = [""] * LOOKUP_BUCKETS
     for piece, rank in ranks.items():
-        key = piece.hex()
-        buckets[zlib.crc32(key.encode()) % LOOKUP_BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                pair = sign(a) + sign(b)
+                buckets[zlib.crc32(pair.encode()) % LOOKUP_BUCKETS] += END + pair + sign(rank)
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)), "array<string>")
 
 
 def folded(word: Column, ranks: Column) -> Column:
-    """Ids of a word given as hex: the leftmost pair of least rank is merged until no pair has a rank."""
+    """Signs of a word's pieces, from those of its bytes: the leftmost pair of least rank is merged until no pair has a rank.
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.get(ranks, F.pmod(F.crc32(piece.cast("binary")), F.lit(LOOKUP_BUCKETS)).cast("int")), piece)
+    A word that ends with END is merged already.
+    """
 
     def let(value: Column, then: Callable[[Column], Column]) -> Column:
         return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    none = F.lit(None).cast("int")
-    n = (F.length(word) / 2).cast("int")
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i * 2 - 1, F.lit(2)))
-
-    def begin(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(F.concat(x, F.get(p, i + 1)))).alias("r"))
+    def merge(pair: Column) -> Column:
+        """The sign that the pair merges to; END or NULL if it doesn't."""
+        bucket = F.get(ranks, (F.crc32(pair.cast("binary")) % LOOKUP_BUCKETS).cast("int"))
+        return F.substring(F.call_function("substring_index", bucket, F.concat(F.lit(END), pair), F.lit(-1)), 1, 1)
 
     def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        pairs = F.transform(F.sequence(F.lit(1), F.length(state) - 1), lambda i: merge(F.substring(state, i, F.lit(2))))
 
-        def merged(at: Column) -> Column:  # place of the pair, from 0
-            both = F.concat(F.get(p, at), F.get(p, at + 1))
-            before = F.when(at > 0, F.array(rank(F.concat(F.get(p, at - 1), both)))).otherwise(F.slice(F.array(none), 1, 0))
-            after = F.when(at + 2 < F.size(p), F.array(rank(F.concat(both, F.get(p, at + 2))))).otherwise(F.slice(F.array(none), 1, 0))
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at), F.array(both), F.slice(p, at + 3, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), before, after, F.slice(r, at + 3, F.size(p))).alias("r"))
+        def merged(found: Column) -> Column:
+            least = F.array_min(found)
+            at = F.array_position(found, least).cast("int")
+            return F.when(least < END, F.concat(F.substring(state, F.lit(1), at - 1), least, F.substring(state, at + 2, F.length(state)))).otherwise(
+                F.concat(state, F.lit(END)))
 
-        least = F.array_min(r)
-        return F.when(least.isNull(), state).otherwise(let((F.array_position(r, least) - 1).cast("int"), merged))
+        return F.when(F.endswith(state, F.lit(END)) | (F.length(state) < 2), state).otherwise(let(pairs, merged))
 
-    whole = rank(word)
-    steps = F.slice(F.sequence(F.lit(0), n), 1, n - 1)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(
-        let(pieces, lambda p: F.aggregate(steps, begin(p), step, lambda state: F.transform(state["p"], rank))))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), word, step)
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -122,12 +134,20 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p]
 
 
-def blocks(docs: DataFrame, pattern: str, s: Settings) -> DataFrame:
-    """One row of each block: the ids of its rows, its distinct words as hex, the words' numbers in order and each text's count."""
+def blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings) -> DataFrame:
+    """One row of each block: the ids of its rows, its distinct words as signs of their bytes, the words' numbers in order and each text's count."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        cut = compiled(pattern)
+        cut, of_byte = compiled(pattern), {b: sign(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks}
+
+        def signs(word: bytes) -> str:
+            if word in ranks:
+                return sign(ranks[word]) + END
+            if len(word) > s.fold_bytes:
+                return "".join(map(sign, merged_by_heap(word, ranks))) + END
+            return word.decode("latin-1").translate(of_byte)
+
         for batch in batches:
             for part in slices(batch, most=s.block_bytes):
                 number: dict[str, int] = {}
@@ -137,34 +157,26 @@ def blocks(docs: DataFrame, pattern: str, s: Settings) -> DataFrame:
                     counts.append(len(found))
                     places.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
                 own = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
-                words = [w.encode().hex() for w in number]
+                words = pa.array([[signs(w.encode()) for w in number]], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array([words], pa.list_(pa.string())), pa.array([np.concatenate(places).tobytes()]), pa.array([np.array(counts, np.int64).tobytes()])],
+                    [own, words, pa.array([np.concatenate(places).tobytes()]), pa.array([np.array(counts, np.int64).tobytes()])],
                     ["id", "words", "places", "counts"])
 
     return docs.mapInArrow(run, f"id array<{kind}>, words array<string>, places binary, counts binary")
 
 
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings) -> DataFrame:
-    limit = 2 * s.fold_bytes
-    return blocks(docs, pattern, s).withColumn("pieces", F.get(F.transform(F.array(rank_map(ranks)), lambda map_: F.transform(
-        "words", lambda w: F.when(F.length(w) <= limit, folded(w, map_)))), F.lit(0))).withColumn(
-        "words", F.filter("words", lambda w: F.length(w) > limit))
+    """The blocks with their words merged."""
+    merged = F.transform(F.array(rank_map(ranks)), lambda map_: F.transform("words", lambda w: folded(w, map_)))
+    return blocks(docs, ranks, pattern, s).withColumn("words", F.get(merged, F.lit(0)))
 
 
-def texts_ids(batch: pa.RecordBatch, ranks: dict[bytes, int]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def texts_ids(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Of each block in a batch: its rows' ids, and the token ids of each row."""
     for k in range(batch.num_rows):
-        pieces = batch.column("pieces")[k].values
-        sizes = pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = pieces.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        long = batch.column("words")[k].as_py()
-        if long:
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            lists = [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            for at, word in zip(np.flatnonzero(sizes == 0), long, strict=True):
-                lists[at] = np.array(merged_by_heap(bytes.fromhex(word), ranks), np.int32)
-            sizes, flat = np.array([len(x) for x in lists]), np.concatenate(lists)
+        words = [w.rstrip(END) for w in batch.column("words")[k].values.to_pylist()]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = ranks_of("".join(words))
         starts = np.concatenate([[0], np.cumsum(sizes)])
         places = np.frombuffer(batch.column("places")[k].as_py(), np.int32)
         counts = np.frombuffer(batch.column("counts")[k].as_py(), np.int64)
@@ -183,7 +195,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: s
 
     def run(batches):
         for batch in batches:
-            for own, rows in texts_ids(batch, ranks):
+            for own, rows in texts_ids(batch):
                 yield pa.RecordBatch.from_arrays([own, pa.array(rows, pa.list_(pa.int32()))], [id_column, "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -219,7 +231,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings
         for piece, rank in ranks.items():
             pieces[rank] = piece
         for batch in batches:
-            for own, rows in texts_ids(batch, ranks):
+            for own, rows in texts_ids(batch):
                 out = []
                 for ids in map(np.ndarray.tolist, rows):
                     back = joined_pieces(ids, pieces)
