@@ -63,11 +63,11 @@ END = "\ufffd"
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The rank of each pair of pieces that make a piece, as a literal: lists of (END, pair, piece) in buckets by crc32.
+    """The rank of each pair of pieces that make a piece, as a literal: END and lists of (END, pair, piece) in buckets by crc32.
 
     A map alone would be searched from end to end.
     """
-    buckets = [""] * LOOKUP_BUCKETS
+    buckets = [END] * LOOKUP_BUCKETS  # what a pair finds that is in none
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
@@ -87,7 +87,7 @@ def folded(word: Column, ranks: Column) -> Column:
         return F.get(F.transform(F.array(value), then), F.lit(0))
 
     def merge(pair: Column) -> Column:
-        """The sign that the pair merges to; END or NULL if it doesn't."""
+        """The sign that the pair merges to; END if it merges to none."""
         bucket = F.get(ranks, (F.crc32(pair.cast("binary")) % LOOKUP_BUCKETS).cast("int"))
         return F.substring(F.call_function("substring_index", bucket, F.concat(F.lit(END), pair), F.lit(-1)), 1, 1)
 
