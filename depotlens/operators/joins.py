@@ -216,13 +216,28 @@ def _substrings(df: DataFrame, col: str, longest: Column, name: str) -> DataFram
     return sized.withColumn(name, F.col(col).substr(F.col("_s"), F.col("_n"))).drop("_s", "_n").distinct()
 
 
+def token_set_score(a: Column, b: Column) -> Column:
+    """0..100: the best likeness among the shared tokens, and these with the rest of either side, each in sorted order.
+
+    Likeness is 100 less the edits per letter of the longer text.  All tokens of one side in the other give 100.
+    """
+    x, y = F.array_sort(_tokens(a)), F.array_sort(_tokens(b))
+    both = F.array_join(F.array_intersect(x, y), " ")
+    left = F.trim(F.concat(both, F.lit(" "), F.array_join(F.array_except(x, y), " ")))
+    right = F.trim(F.concat(both, F.lit(" "), F.array_join(F.array_except(y, x), " ")))
+
+    def alike(p: Column, q: Column) -> Column:
+        return F.lit(100.0) - F.levenshtein(p, q) * 100.0 / F.greatest(F.length(p), F.length(q), F.lit(1))
+
+    return F.when(both == "", alike(left, right)).otherwise(F.greatest(alike(both, left), alike(both, right), alike(left, right)))
+
+
 def fuzzy_depot(names: DataFrame, depots: DataFrame, threshold: int = 70) -> DataFrame:
-    """Match free-text ``name`` to a depot: equal, then containment, then token overlap.
+    """Match free-text ``name`` to a depot: equal, then containment, then alike by their sets of tokens.
 
     Names are de-duplicated first and every class is an equi-join: containment
-    joins the substrings of one side to the other, and token overlap (Jaccard x 100)
-    uses an exact prefix filter on rare-first tokens, so no all-pairs comparison
-    is made.
+    joins the substrings of one side to the other, and names that may be alike meet
+    through shared letter pairs, so no all-pairs comparison is made.
     """
     names = names.select("name").distinct().filter("name IS NOT NULL").withColumn("key", F.upper(F.trim("name")))
     names = names.filter("key <> ''")
@@ -242,30 +257,19 @@ def fuzzy_depot(names: DataFrame, depots: DataFrame, threshold: int = 70) -> Dat
         .select("key", F.lit(1).alias("cls"), F.lit(100.0).alias("score"), "depot")
     )
 
-    left = keys.withColumn("toks", _tokens(F.col("key"))).filter(F.size("toks") > 0)
-    right = dim.select("depot", _tokens(F.col("key")).alias("dtoks")).filter(F.size("dtoks") > 0)
-    rarity = right.select(F.explode("dtoks").alias("t")).groupBy("t").count()
-
-    def prefixes(df: DataFrame, keep: list[str], toks: str) -> DataFrame:
-        spread = df.select(*keep, toks, F.explode(toks).alias("t")).join(rarity, "t", "left")
-        ranked = spread.groupBy(*keep, toks).agg(
-            F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "t"))).alias("s")
-        )
-        size = F.size(toks)
-        kept = size - F.ceil(size * threshold / 100.0).cast("int") + 1
-        return ranked.select(*keep, toks, F.explode(F.slice("s", F.lit(1), kept)).alias("x")).select(
-            *keep, toks, F.col("x.t").alias("t")
-        )
-
-    overlap = (
-        prefixes(left, ["key"], "toks").join(prefixes(right, ["depot"], "dtoks"), "t")
-        .select("key", "toks", "depot", "dtoks").distinct()
-        .withColumn("score", F.size(F.array_intersect("toks", "dtoks")) * 100.0 / F.size(F.array_union("toks", "dtoks")))
-        .filter(F.col("score") >= threshold)
+    def grams(df: DataFrame, col: str) -> DataFrame:
+        """Padded letter pairs: names alike enough for the threshold share one."""
+        padded = F.concat(F.lit(" "), F.array_join(_tokens(F.col(col)), " "), F.lit(" "))
+        return df.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: padded.substr(i, F.lit(2))))))
+
+    pairs = grams(keys.filter(F.size(_tokens(F.col("key"))) > 0), "key").join(grams(dim.select("depot", F.col("key").alias("dkey")), "dkey"), "g")
+    alike = (
+        pairs.select("key", "depot", "dkey").distinct()
+        .withColumn("score", token_set_score(F.col("key"), F.col("dkey"))).filter(F.col("score") >= threshold)
         .select("key", F.lit(2).alias("cls"), "score", "depot")
     )
     best = (
-        equal.unionByName(inside).unionByName(around).unionByName(overlap)
+        equal.unionByName(inside).unionByName(around).unionByName(alike)
         .groupBy("key")
         .agg(F.min(F.struct("cls", (-F.col("score")).alias("neg"), "depot")).alias("b"))
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.operators.ranges import running_total
 from depotlens.session import materialise
 
 ACCURACY = 1000
@@ -21,7 +22,7 @@ def exact_quantiles(
     1. a mergeable sketch brackets each quantile between two values;
     2. one pass counts what lies below the bracket and keeps the values inside it,
        already combined to (value, count);
-    3. only the bracket, a few thousandths of the group, is ordered.
+    3. only the bracket, a few thousandths of the group, is ordered, in ranges of a bounded number of rows.
     """
     eps = 4.0 / ACCURACY
     edges = [e for p in probs for e in (max(p - eps, 0.0), min(p + eps, 1.0))]
@@ -59,11 +60,8 @@ def exact_quantiles(
         F.max(F.when(F.col("v") < F.col("a"), F.col("v"))).alias("prev"),
         F.min(F.when(F.col("v") > F.col("b"), F.col("v"))).alias("next"),
     )
-    order = Window.partitionBy(*slot).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (
-        joined.filter("v BETWEEN a AND b").join(below, slot)
-        .withColumn("upto", F.col("below") + F.sum("c").over(order))
-    )
+    inside = running_total(joined.filter("v BETWEEN a AND b").join(below, slot), slot, [F.asc("v")], F.col("c"), "_upto")
+    inside = inside.withColumn("upto", F.col("below") + F.col("_upto"))
     low, high = F.floor("pos"), F.ceil("pos")
 
     def at(rank):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.functions.clean import parse_date
 from depotlens.operators.joins import exists_flag, first_per_key
+from depotlens.operators.ranges import running_total
 
 
 def upsert(master: DataFrame, inbound: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,12 +69,9 @@ def transpose(df: DataFrame, key: str, columns: list[str], values: list[str]) ->
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): codes 0.. in sorted order of the distinct values of a model category.
-
-    The window runs over distinct categories only.
-    """
+    """(value, code): codes 0.. in sorted order of the distinct values of a model category, numbered by ranges of them."""
     values = df.select(column).distinct().filter(F.col(column).isNotNull())
-    return values.withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1)
+    return running_total(values, [], [F.asc(column)], F.lit(1), "code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, name: str, unseen: Column | None = None) -> DataFrame:

@@ -8,16 +8,20 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 512
+# Of query vectors sent to tasks at a time, and of queries scored against a batch at a time.
+QUERY_BYTES = 64_000_000
+SCORED = 512
 
 
-def _block_topk(docs: DataFrame, ids: list, matrix: np.ndarray, k: int, cosine: bool) -> DataFrame:
+def _block_topk(docs: DataFrame, queries: list, k: int, cosine: bool, own_tag: bool) -> DataFrame:
     """Best k of every Arrow batch per query: only k rows per query and batch leave a task."""
-    names = np.array(ids)
+    shared = docs.sparkSession.sparkContext.broadcast((
+        np.array([q["query_id"] for q in queries]), np.array([q["vector"] for q in queries], dtype="float64"), np.array([q["tag"] for q in queries], object)))
 
     # Everything the tasks run is local to this function, so executors need numpy and
     # pandas but not this package.
@@ -25,29 +29,33 @@ def _block_topk(docs: DataFrame, ids: list, matrix: np.ndarray, k: int, cosine:
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
         return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
-    if cosine:
-        matrix = unit(matrix)
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, matrix, tags = shared.value
+        matrix = unit(matrix) if cosine else matrix
         for batch in batches:
             if batch.empty:
                 continue
-            doc_ids = batch["doc_id"].to_numpy()
+            doc_ids, doc_tags = batch["doc_id"].to_numpy(), batch["tag"].to_numpy()
             rows = np.stack(batch["vector"].to_numpy()).astype("float64")
-            scores = (unit(rows) if cosine else rows) @ matrix.T
+            rows = unit(rows) if cosine else rows
             keep = min(k, len(doc_ids))
-            # Every row tied with the k-th score stays, so that ties are settled by id later on.
-            edge = np.partition(scores, len(doc_ids) - keep, axis=0)[len(doc_ids) - keep]
-            doc_at, query_at = np.nonzero(scores >= edge)
-            yield pd.DataFrame({"query_id": names[query_at], "doc_id": doc_ids[doc_at], "score": scores[doc_at, query_at]})
+            for at in range(0, len(names), SCORED):
+                scores = rows @ matrix[at:at + SCORED].T
+                if own_tag:
+                    scores = np.where(doc_tags[:, None] == tags[None, at:at + SCORED], scores, -np.inf)
+                # Every row tied with the k-th score stays, so that ties are settled by id later on.
+                edge = np.partition(scores, len(doc_ids) - keep, axis=0)[len(doc_ids) - keep]
+                doc_at, query_at = np.nonzero((scores >= edge) & (scores > -np.inf))
+                yield pd.DataFrame({
+                    "query_id": names[at + query_at], "doc_id": doc_ids[doc_at], "score": scores[doc_at, query_at],
+                    "same_tag": np.equal(doc_tags[doc_at], tags[at + query_at]).astype(bool)})
 
     types = {**dict(docs.dtypes)}
-    return docs.select("doc_id", "vector").mapInPandas(score, f"query_id bigint, doc_id {types['doc_id']}, score double")
+    return docs.select("doc_id", "vector", "tag").mapInPandas(score, f"query_id bigint, doc_id {types['doc_id']}, score double, same_tag boolean")
 
 
 def vector_topk(
-    docs: DataFrame, queries: DataFrame, k: int = 5, cosine: bool = False, filter_mode: str = "none", max_queries: int = MAX_QUERIES,
-    _level: int = 0,
+    docs: DataFrame, queries: DataFrame, k: int = 5, cosine: bool = False, filter_mode: str = "none", query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """(query_id, doc_id, score, place): exact nearest documents by inner product.
 
@@ -55,48 +63,32 @@ def vector_topk(
     ``filter_mode='post'`` hits of another tag are dropped after k, so a query may
     get fewer; ``'pre'`` searches only its own tag.
 
-    Queries travel with the tasks, at most ``max_queries`` at a time (checked);
-    a larger set is searched in as many passes over the documents.
+    The documents are read once for each block of queries.  A block is what ``query_bytes`` allows to be sent to tasks, some
+    hundred thousand queries; the plan of a block is the same whatever it holds.
     """
-    some = queries.select("query_id", "vector").limit(max_queries + 1).collect()
-    if len(some) > max_queries:
-        parts = -(-queries.count() // (max_queries // 2))
-        bucket = F.pmod(F.xxhash64("query_id", F.lit(_level)), F.lit(parts))
-        out = None
-        for i in range(parts):
-            hits = vector_topk(docs, queries.filter(bucket == i), k, cosine, filter_mode, max_queries, _level + 1)
-            out = hits if out is None else out.unionByName(hits)
-        return out
-    if not some:
+    named = [df if "tag" in df.columns else df.withColumn("tag", F.lit(None).cast("bigint")) for df in (docs, queries)]
+    docs, queries = named
+    n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n * (dims or 0) * 8 // query_bytes))
+    found = None
+    for b in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        some = own.select("query_id", "vector", "tag").collect()  # query_bytes bounds it
+        if some:
+            part = _block_topk(docs, some, k, cosine, filter_mode == "pre")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
         empty = f"query_id bigint, doc_id {dict(docs.dtypes)['doc_id']}, score double, place int"
         return docs.sparkSession.createDataFrame([], empty)
-    ids = [r["query_id"] for r in some]
-    matrix = np.array([r["vector"] for r in some], dtype="float64")
-
-    if filter_mode == "pre":
-        # As many rows as there are queries, which is bounded above.
-        tag_of = {r["query_id"]: r["tag"] for r in queries.select("query_id", "tag").collect()}
-        found = None
-        for tag in sorted(set(tag_of.values()), key=str):
-            own = [i for i, q in enumerate(ids) if tag_of[q] == tag]
-            part = _block_topk(docs.filter(F.col("tag") == F.lit(tag)), [ids[i] for i in own], matrix[own], k, cosine)
-            found = part if found is None else found.unionByName(part)
-    else:
-        found = _block_topk(docs, ids, matrix, k, cosine)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     top = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    if filter_mode == "post":
-        top = top.join(docs.select("doc_id", F.col("tag").alias("_d")), "doc_id").join(
-            queries.select("query_id", F.col("tag").alias("_q")), "query_id").filter("_d = _q").drop("_d", "_q")
-    return top
+    return (top.filter("same_tag") if filter_mode == "post" else top).drop("same_tag")
 
 
 def centroids(docs: DataFrame, group: str) -> DataFrame:
-    """Mean vector per group, averaged dimension by dimension with combined aggregates."""
-    spread = docs.select(group, F.posexplode("vector").alias("at", "x"))
-    means = spread.groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    packed = means.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))
-    return packed.select(F.col(group).alias("query_id"), F.transform("v", lambda s: s["x"]).alias("vector"))
+    """Mean vector per group, summed within tasks first; no row is made for an element."""
+    mean = Summarizer.mean(array_to_vector(F.col("vector")))
+    return docs.groupBy(F.col(group).alias("query_id")).agg(vector_to_array(mean).alias("vector"))
 
 
 def embed(docs: DataFrame, dims: int = 256) -> DataFrame:

@@ -14,6 +14,7 @@ from depotlens.functions.numbers import half_even
 from depotlens.functions.timeparts import month_start
 from depotlens.operators.joins import dense_months, with_hours
 from depotlens.operators.quantiles import exact_quantiles
+from depotlens.operators.ranges import ROWS_PER_RANGE, running_total
 from depotlens.session import materialise
 
 MEASURES = ["total_km", "total_hours", "total_earnings"]
@@ -263,27 +264,9 @@ def compare_depots(monthly: DataFrame, a: str, b: str) -> DataFrame:
 
 
 # ---- rankings ----------------------------------------------------------------
-def ranked(df: DataFrame, by: str, tie: list[str], name: str = "rank", bins: int = 64) -> DataFrame:
-    """1..n over a whole table without a single-task window.
-
-    Sketch cut points split the order into ranges; each range is numbered on its
-    own and shifted by the rows of the ranges before it.
-    """
-    # At most ``bins`` numbers, fixed once: a sketch computed again could cut elsewhere.
-    cuts = df.agg(F.percentile_approx(by, [i / bins for i in range(1, bins)], 1000)).first()[0] or []
-    listed = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    placed = df.withColumn("_cuts", listed).withColumn(
-        "_bin", F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(F.size(F.filter("_cuts", lambda c: c > F.col(by))))
-    ).drop("_cuts")
-    sizes = placed.groupBy("_bin").agg(F.count("*").alias("_n"))
-    before = sizes.select(
-        "_bin", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bin")) - F.col("_n")).alias("_shift")
-    )
-    within = Window.partitionBy("_bin").orderBy(F.desc(by), *tie)
-    return (
-        placed.withColumn("_rn", F.row_number().over(within)).join(before, "_bin")
-        .withColumn(name, (F.col("_rn") + F.col("_shift")).cast("bigint")).drop("_bin", "_rn", "_shift")
-    )
+def ranked(df: DataFrame, by: str, tie: list[str], name: str = "rank", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """1..n over a whole table without a single-task window, whatever its size and ties."""
+    return running_total(df, [], [F.desc(by), *map(F.asc, tie)], F.lit(1).cast("bigint"), name, rows_per_range)
 
 
 def top_bottom(df: DataFrame, by: str, tie: list[str], n: int = 5, keys: list[str] | None = None, low_is_best: bool = False) -> DataFrame:

@@ -173,17 +173,21 @@ def j18(d: Domain):
 
 STEPS["typed_names"] = """
     SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'Depot ' || n_name
-        WHEN 2 THEN replace(n_name, '_', ' ') || ' bus' WHEN 3 THEN split_part(n_name, '_', 2) || ' nation' ELSE c_mktsegment END AS name
+        WHEN 2 THEN replace(n_name, '_', ' ') || ' bus' WHEN 3 THEN split_part(n_name, '_', 2) || ' nation' ELSE replace(n_name, 'NATION', 'NATOIN') END AS name
     FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 STEPS["name_pairs"] = """
-    SELECT name, upper(trim(name)) AS k, depot, upper(depot) AS dk,
-           list_filter(list_distinct(regexp_split_to_array(upper(name), '[^A-Z0-9]+')), lambda x: x <> '') AS a,
-           list_filter(list_distinct(regexp_split_to_array(upper(depot), '[^A-Z0-9]+')), lambda x: x <> '') AS b
-    FROM typed_names, (SELECT DISTINCT depot FROM depots)"""
-STEPS["name_scores"] = """
+    SELECT name, depot, k, dk, array_to_string(list_filter(a, lambda t: list_contains(b, t)), ' ') AS common,
+           trim(common || ' ' || array_to_string(list_filter(a, lambda t: NOT list_contains(b, t)), ' ')) AS l,
+           trim(common || ' ' || array_to_string(list_filter(b, lambda t: NOT list_contains(a, t)), ' ')) AS r, len(a) AS n
+    FROM (SELECT name, upper(trim(name)) AS k, depot, upper(depot) AS dk,
+                 list_sort(list_filter(list_distinct(regexp_split_to_array(upper(name), '[^A-Z0-9]+')), lambda x: x <> '')) AS a,
+                 list_sort(list_filter(list_distinct(regexp_split_to_array(upper(depot), '[^A-Z0-9]+')), lambda x: x <> '')) AS b
+          FROM typed_names, (SELECT DISTINCT depot FROM depots))"""
+_ALIKE = "100 - levenshtein({0}, {1}) * 100::DOUBLE / greatest(length({0}), length({1}), 1)".format
+STEPS["name_scores"] = f"""
     SELECT name, depot, CASE WHEN k = dk THEN 0 WHEN contains(k, dk) OR contains(dk, k) THEN 1 ELSE 2 END AS cls,
-           CASE WHEN k = dk OR contains(k, dk) OR contains(dk, k) THEN 100
-                ELSE len(list_intersect(a, b)) * 100::DOUBLE / len(list_distinct(list_concat(a, b))) END AS score FROM name_pairs"""
+           CASE WHEN k = dk OR contains(k, dk) OR contains(dk, k) THEN 100 WHEN n = 0 THEN 0 WHEN common = '' THEN {_ALIKE('l', 'r')}
+                ELSE greatest({_ALIKE('common', 'l')}, {_ALIKE('common', 'r')}, {_ALIKE('l', 'r')}) END AS score FROM name_pairs"""
 
 
 @query("J19_fuzzy_depot", """
@@ -197,7 +201,7 @@ def j19(d: Domain):
         F.when(k == 0, F.lower("n_name")).when(k == 1, F.concat(F.lit("Depot "), "n_name"))
         .when(k == 2, F.concat(F.regexp_replace("n_name", "_", " "), F.lit(" bus")))
         .when(k == 3, F.concat(F.split_part(F.col("n_name"), F.lit("_"), F.lit(2)), F.lit(" nation")))
-        .otherwise(F.col("c_mktsegment"))
+        .otherwise(F.replace(F.col("n_name"), F.lit("NATION"), F.lit("NATOIN")))
     )
     typed = d.raw("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(name.alias("name"))
     return joins.fuzzy_depot(typed, d.depots)

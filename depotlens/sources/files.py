@@ -88,10 +88,10 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
 def write_schedule(plan: DataFrame, target: str, path: str) -> str:
     """All depots of a target date in one write; the consolidated schedule is the table itself.
 
-    Rows of a depot are spread over several files by route so that no task writes a whole depot.
+    Rows of a depot are spread over several files by service so that no task writes a whole depot.
     """
     dated = plan.withColumn("target_date", F.lit(target).cast("date"))
-    spread = dated.repartition("target_date", "depot", "route")
+    spread = dated.repartition("target_date", "depot", F.pmod(F.xxhash64("service_number"), F.lit(16)))
     spread.write.mode("overwrite").partitionBy("target_date", "depot").parquet(path)
     return path
 

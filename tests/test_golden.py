@@ -239,7 +239,7 @@ def test_vector_search_in_chunks_and_with_filters(spark):
     docs = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], i % 3) for i in range(60)], "doc_id bigint, vector array<double>, tag bigint")
     queries = spark.createDataFrame([(i, [1.0, float(i), 0.5], i % 3) for i in range(9)], "query_id bigint, vector array<double>, tag bigint")
     whole = rows(retrieval.vector_topk(docs, queries, 4), "query_id", "place")
-    assert whole == rows(retrieval.vector_topk(docs, queries, 4, max_queries=4), "query_id", "place")
+    assert whole == rows(retrieval.vector_topk(docs, queries, 4, query_bytes=64), "query_id", "place")
     own = retrieval.vector_topk(docs, queries, 4, filter_mode="pre").join(docs, "doc_id").join(queries.select("query_id", F.col("tag").alias("qt")), "query_id")
     assert own.filter("tag <> qt").count() == 0 and own.count() == 36
     assert retrieval.vector_topk(docs, queries, 4, filter_mode="post").count() < 36
@@ -321,3 +321,33 @@ def test_older_prediction_columns(frame):
                  "actual_passengers double, passenger_error double, passenger_error_pct double")
     got = {r.depot: (r.predicted, r.actual, r.error) for r in lg.accuracy_table(rows, "demand").collect()}
     assert got == {"A": (7.0, 8.0, -1.0), "B": (5.0, None, None)}
+
+
+def test_names_with_typos_are_matched(frame):
+    depots = frame([("HANAMKONDA",), ("NIZAMABAD-I",), ("MIYAPUR-I",), ("MIYAPUR-II",), ("UPPAL",)], "depot string")
+    typed = frame([("HANAMKODA",), ("NIZAMABAD DEPOT",), ("miyapur 1",), ("zzz",), (None,), ("uppal",), ("depot uppal",)], "name string")
+    got = {r.name: r.depot for r in joins.fuzzy_depot(typed, depots).collect()}
+    assert got == {"HANAMKODA": "HANAMKONDA", "NIZAMABAD DEPOT": "NIZAMABAD-I", "miyapur 1": "MIYAPUR-I", "zzz": None, "uppal": "UPPAL", "depot uppal": "UPPAL"}
+
+
+def test_ranges_split_ties_and_hot_groups(spark):
+    n = 40_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
+    got = rollups.ranked(df, "v", ["id"], rows_per_range=2_000)
+    want = df.orderBy(F.desc("v"), "id").collect()
+    assert [r.id for r in got.orderBy("rank").collect()] == [r.id for r in want]
+    assert [r["rank"] for r in got.select("rank").orderBy("rank").collect()] == list(range(1, n + 1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "_range" in plan
+
+
+def test_search_has_one_plan_for_any_number_of_queries(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("vector"), (F.col("id") % 3).alias("tag"))
+
+    def plan(n, mode):
+        queries = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("vector"), (F.col("id") % 3).alias("tag"))
+        text = retrieval.vector_topk(docs, queries, 3, filter_mode=mode)._jdf.queryExecution().executedPlan().toString()
+        return text.count("MapInPandas"), text.count("Range ("), text.count("Exchange")
+
+    for mode in ("none", "pre", "post"):
+        assert plan(10, mode) == plan(10_000, mode) and plan(10, mode)[1] == 1
