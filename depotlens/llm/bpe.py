@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -134,6 +135,12 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p]
 
 
+def as_binary(values: array) -> pa.Array:
+    """One cell that holds the array's bytes, not copied."""
+    data = pa.py_buffer(values)
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(array("i", [0, data.size])), data])
+
+
 def blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings) -> DataFrame:
     """One row of each block: the ids of its rows, its distinct words as signs of their bytes, the words' numbers in order and each text's count."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -148,19 +155,21 @@ def blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings)
                 return "".join(map(sign, merged_by_heap(word, ranks))) + END
             return word.decode("latin-1").translate(of_byte)
 
+        def block(part: pa.RecordBatch) -> pa.RecordBatch:
+            number: dict[str, int] = {}
+            places, counts = array("i"), array("q")
+            for text in texts_of(part):
+                found = cut.findall(text.as_py())
+                counts.append(len(found))
+                places.extend([number.setdefault(w, len(number)) for w in found])
+            words = pa.array([signs(w.encode()) for w in number], pa.string())
+            own = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
+            words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            return pa.RecordBatch.from_arrays([own, words, as_binary(places), as_binary(counts)], ["id", "words", "places", "counts"])
+
         for batch in batches:
             for part in slices(batch, most=s.block_bytes):
-                number: dict[str, int] = {}
-                places, counts = [], []
-                for text in texts_of(part).to_pylist():
-                    found = cut.findall(text)
-                    counts.append(len(found))
-                    places.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
-                own = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
-                words = pa.array([[signs(w.encode()) for w in number]], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [own, words, pa.array([np.concatenate(places).tobytes()]), pa.array([np.array(counts, np.int64).tobytes()])],
-                    ["id", "words", "places", "counts"])
+                yield block(part)
 
     return docs.mapInArrow(run, f"id array<{kind}>, words array<string>, places binary, counts binary")
 
@@ -171,23 +180,25 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Se
     return blocks(docs, ranks, pattern, s).withColumn("words", F.get(merged, F.lit(0)))
 
 
-def texts_ids(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """Of each block in a batch: its rows' ids, and the token ids of each row."""
+def texts_ids(batch: pa.RecordBatch, most: int = 1000) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Rows' ids and the token ids of each, for ``most`` rows of a block at a time."""
     for k in range(batch.num_rows):
         words = [w.rstrip(END) for w in batch.column("words")[k].values.to_pylist()]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = ranks_of("".join(words))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.frombuffer(batch.column("places")[k].as_py(), np.int32)
-        counts = np.frombuffer(batch.column("counts")[k].as_py(), np.int64)
-        rows, at = [], 0
-        for count in counts:
-            own = places[at:at + count]
-            at += count
-            n = sizes[own]
-            total = int(n.sum())
-            rows.append(flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.zeros(0, np.int32))
-        yield batch.column("id")[k].values, rows
+        del words
+        starts = np.cumsum(sizes) - sizes
+        places = np.frombuffer(batch.column("places")[k].as_buffer(), np.int32)
+        counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
+        ends, own_ids = np.cumsum(counts), batch.column("id")[k].values
+        for a in range(0, len(counts), most):
+            rows = []
+            for end, count in zip(ends[a:a + most], counts[a:a + most], strict=True):
+                own = places[end - count:end]
+                n = sizes[own]
+                total = int(n.sum())
+                rows.append(flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.zeros(0, np.int32))
+            yield own_ids.slice(a, most), rows
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", s: Settings = Settings()) -> DataFrame:
