@@ -61,9 +61,8 @@ def op9_inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return decontam.matched(docs, table(spark, folder, "benchmark")).select(
-        "doc_id", F.transform("found", lambda f: f["item_id"]).alias("item_ids"), F.size("found").alias("n_items"),
-        (F.size("found") > 0).alias("contaminated"), "found")
+    found = decontam.matched(docs, table(spark, folder, "benchmark")).select("doc_id", F.explode("found").alias("hit"))
+    return found.select("doc_id", "hit.item_id", F.col("hit.first").alias("first_word"), F.col("hit.words").alias("n_words"), F.col("hit.equal").alias("n_equal"))
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_byte_bpe, op4_ngram_jaccard_join, op5_token_counts, op6_personal_data, op7_warc_revisits, op8_toxicity, op9_inverted_multi_index, op10_decontamination)}
