@@ -34,7 +34,7 @@ def saved(d: Domain, name: str, fit) -> str:
 
 def feature_table(d: Domain):
     """Written once; training, profiles and scoring read it."""
-    return materialise(ft.features(materialise(d.gold, "gold"), d.weather), "features")
+    return materialise(ft.features(d.written("gold"), d.weather), "features")
 
 
 def demand_model(d: Domain):
@@ -52,7 +52,7 @@ def demand_model(d: Domain):
 
 @query("F02_select_features")
 def f02(d: Domain):
-    feats = ft.features(d.gold, d.weather)
+    feats = ft.features(d.written("gold"), d.weather)
     cols = fc.select_features(feats)
     return feats.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], cols, "feature", "present")
 
@@ -100,13 +100,13 @@ STEPS["ahead"] = """
           WHERE age <= 7 GROUP BY 1) r ON r.depot = a.depot
     ASOF LEFT JOIN weather w ON w.depot = a.depot AND a.date >= w.date""", "pkm_lag_2 pkm_roll7_mean depot_te max_temp")
 def f07(d: Domain):
-    rows = fc.future_rows(d.gold, d.lunar, d.holidays, d.weather)
+    rows = fc.future_rows(d.written("gold"), d.lunar, d.holidays, d.weather)
     return rows.select("depot", "date", "dow", "is_fes_hol", "pkm_lag_2", "pkm_roll7_mean", "depot_te", "max_temp")
 
 
 @query("F09_forecast_future")
 def f09(d: Domain):
-    gold = materialise(d.gold, "gold")
+    gold = d.written("gold")
     model, _, medians = demand_model(d)
     rows = fc.fill_medians(fc.future_rows(gold, d.lunar, d.holidays, d.weather), medians)
     preds = fc.predict(model, rows).select("depot", F.col("date").alias("prediction_date"), F.col("predicted").alias("predicted_passenger_kms"))

@@ -79,7 +79,7 @@ STEPS["matched"] = """
 
 
 def matched(d: Domain):
-    ran = d.service_daily.filter(F.col("date") >= F.lit("2001-10-21").cast("date")).groupBy("depot", "service_number").agg(
+    ran = d.written("service_daily").filter(F.col("date") >= F.lit("2001-10-21").cast("date")).groupBy("depot", "service_number").agg(
         F.sum("passenger_kms").alias("actual_pkm"), F.sum("revenue").alias("actual_revenue"))
     plan = slot_plan(d).select("depot", "service_number", "action", "allocated_pkm", "revenue")
     return lg.match_schedule(plan, ran, ["depot", "service_number"])

@@ -31,7 +31,7 @@ STEPS["cands"] = """
 
 
 def demand(d: Domain, scale: float = 1.0):
-    total = d.service_daily.groupBy("depot").agg(F.sum("passenger_kms").alias("t"))
+    total = d.written("service_daily").groupBy("depot").agg(F.sum("passenger_kms").alias("t"))
     return total.join(d.depots.select("depot", "depot_id"), "depot").select(
         "depot", (F.col("t") * (1 + F.col("depot_id") % 4) / scale).alias("predicted_pkm"))
 
@@ -41,11 +41,11 @@ def shares(d: Domain):
 
 
 def gap(d: Domain):
-    return supply.depot_gap(d.services, demand(d), shares(d))
+    return supply.depot_gap(d.written("services"), demand(d), shares(d))
 
 
 def cands(d: Domain):
-    return supply.candidates(d.services, supply.recent_or(d.service_daily, TARGET, 7))
+    return supply.candidates(d.written("services"), supply.recent_or(d.written("service_daily"), TARGET, 7))
 
 
 @query("M01_depot_gap", "SELECT * FROM gap", "planned_kms target_kms delta_kms tolerance_kms")
@@ -98,7 +98,7 @@ STEPS["plan"] = """
 
 
 def trip_plan(d: Domain):
-    return supply.trip_schedule(d.services, d.service_daily, demand(d), shares(d), TARGET)
+    return supply.trip_schedule(d.written("services"), d.written("service_daily"), demand(d), shares(d), TARGET)
 
 
 @query("M04_trip_schedule", "SELECT * FROM plan", "kms_change planned_kms_day suggested_kms_day")
@@ -162,11 +162,11 @@ STEPS["slot_plan"] = """
 
 
 def epk_plan(d: Domain):
-    return supply.epk(d.services, d.service_daily, demand(d, 25.0), TARGET)
+    return supply.epk(d.written("services"), d.written("service_daily"), demand(d, 25.0), TARGET)
 
 
 def slot_plan(d: Domain):
-    return supply.slot_schedule(d.services, d.service_daily, demand(d, 25.0), TARGET)
+    return supply.slot_schedule(d.written("services"), d.written("service_daily"), demand(d, 25.0), TARGET)
 
 
 @query("M08_epk", 'SELECT depot, service_number, allocated_pkm, revenue, epk, "or" AS load, cpk, contribution FROM earned',
@@ -235,9 +235,9 @@ def m13(d: Domain):
     partly = d.ledger.join(d.depots.select("depot", "depot_id"), "depot").withColumns({
         "predicted_passenger_kms": F.when(k == 0, F.col("predicted_passenger_kms")), "estimated_kms": F.when(k == 1, F.col("estimated_kms")),
         "predicted_passengers": F.col("depot_id")})
-    return supply.resolve_forecast(d.ledger, d.service_daily).withColumn("how", F.lit("latest")).unionByName(
-        supply.resolve_forecast(d.ledger, d.service_daily, "2030-01-01").withColumn("how", F.lit("history"))).unionByName(
-        supply.resolve_forecast(partly, d.service_daily).withColumn("how", F.lit("partly empty")))
+    return supply.resolve_forecast(d.ledger, d.written("service_daily")).withColumn("how", F.lit("latest")).unionByName(
+        supply.resolve_forecast(d.ledger, d.written("service_daily"), "2030-01-01").withColumn("how", F.lit("history"))).unionByName(
+        supply.resolve_forecast(partly, d.written("service_daily")).withColumn("how", F.lit("partly empty")))
 
 
 @query("M14_overview", _SUMMARY_SQL, _SUMMARY_R, 3)

@@ -239,7 +239,7 @@ def w22(d: Domain):
     JOIN rolled ON rolled.depot = s.depot AND rolled.date = s.date LEFT JOIN weather w ON w.depot = s.depot AND w.date = s.date""",
        "temp_range pkm_roll14_mean pkm_same_dow_3med pkm_lag_2 depot_te depot_dow_te")
 def f01(d: Domain):
-    return ft.features(d.gold, d.weather).select(
+    return ft.features(d.written("gold"), d.weather).select(
         "depot", "date", "days_to_next_festival", "festival_cluster_len", "pre_festival_weekend", "temp_range", "is_rainy",
         "pkm_roll14_mean", "pkm_same_dow_3med", "pkm_lag_2", "depot_te", "depot_dow_te", "day_counter")
 

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depotlens.session import materialise
+
 EPOCH = "1995-01-01"
 
 # Sheet columns filled from event counts, in sheet order.
@@ -33,6 +35,16 @@ class Domain:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._written: dict[str, DataFrame] = {}
+
+    def written(self, name: str) -> DataFrame:
+        """A domain table written once for this job: what reads it several times doesn't go back to the facts."""
+        if name not in self._written:
+            if name == "services":
+                self.written("service_daily")  # the master's pairs come from there
+                self.__dict__.pop("services", None)
+            self._written[name] = materialise(getattr(self, name), name)
+        return self._written[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -103,7 +115,7 @@ class Domain:
     def services(self) -> DataFrame:
         part = F.col("p_partkey")
         seats = self.depots.select("depot", "avg_seats_per_bus")
-        pairs = self.operations.select("depot", "service_number").distinct()
+        pairs = self._written.get("service_daily", self.operations).select("depot", "service_number").distinct()
         master = self.raw("part").select(
             part.cast("string").alias("service_number"),
             F.col("p_brand").alias("route"),
