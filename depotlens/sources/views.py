@@ -43,6 +43,10 @@ class Domain:
             if name == "services":
                 self.written("service_daily")  # the master's pairs come from there
                 self.__dict__.pop("services", None)
+            if name == "gold":
+                self.written("days")  # both calendars come from there
+                for built in ("lunar", "holidays", "gold"):
+                    self.__dict__.pop(built, None)
             self._written[name] = materialise(getattr(self, name), name)
         return self._written[name]
 
@@ -219,7 +223,7 @@ class Domain:
     @cached_property
     def holidays(self) -> DataFrame:
         code = (F.lit(1) + F.floor(F.col("n") / 29) % 7).cast("int")
-        return self.days.filter((F.col("n") % 29).isin(0, 1, 2)).select(
+        return self._written.get("days", self.days).filter((F.col("n") % 29).isin(0, 1, 2)).select(
             "date",
             code.alias("fes_hol_code"),
             F.concat(F.lit("FEST_"), code).alias("holiday_festival"),
@@ -230,7 +234,7 @@ class Domain:
     @cached_property
     def lunar(self) -> DataFrame:
         n = F.col("n")
-        return self.days.select(
+        return self._written.get("days", self.days).select(
             "date",
             F.concat(F.lit("T"), (n % 15).cast("string")).alias("telugu_thithi"),
             F.when(n % 30 < 15, "SHUKLA").otherwise("KRISHNA").alias("telugu_paksham"),
