@@ -11,6 +11,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 from depotlens.plans import QUERIES
@@ -22,7 +23,7 @@ HEADLINE = [
     "J19_fuzzy_depot", "U01_upsert", "V16_preflight", "P10_clean_daily_ops", "W03_rolling", "W05_same_dow_median",
     "W13_festival_intensity", "W17_festival_runs", "W24_driver_score", "W25_rank", "M04_trip_schedule", "M11_suggest_slot",
     "M12_slot_summary", "E01_close_pending", "E03_accuracy_metrics", "F01_features", "D01_kpi_documents", "T04_top_bottom",
-    "T07_vector_topk",
+    "T07_vector_topk", "W25_rank_days", "R03_late_correction", "F07_future_rows",
 ]
 
 
@@ -39,7 +40,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(
         f"local[{cpus}]", app="bench",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")},
+        **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"), "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")},
     )
     times = {}
     for name in names:

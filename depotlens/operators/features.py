@@ -264,6 +264,15 @@ def festival_profiles(feats: DataFrame) -> DataFrame:
     return own.join(overall, "fes_hol_code")
 
 
+def phase_profiles(feats: DataFrame) -> DataFrame:
+    """(depot, post, pre): median intensity of a depot's rebound days and of the days before its festivals.
+
+    Days on which nothing is known (1.0) don't count; a depot without any has NULL, for which 1.0 stands.
+    """
+    told = lambda c: median(F.when(F.col(c) != 1.0, F.col(c)))
+    return feats.groupBy("depot").agg(told("post_festival_intensity").alias("post"), told("pre_festival_intensity").alias("pre"))
+
+
 # ---- other series ---------------------------------------------------------------
 def ewm(df: DataFrame, col: str, span: int = 7, name: str = "ewm_7") -> DataFrame:
     """Exponentially weighted mean of all earlier rows (weights normalised), whatever the span and length.

@@ -253,6 +253,20 @@ def f08(d: Domain):
     return ft.festival_profiles(ft.festival_intensity(ft.baseline(series(d), Y), Y))
 
 
+STEPS["post_rated"] = f"""
+    SELECT depot, date, CASE WHEN is_post = 1 THEN median(ratio) {_frame('UNBOUNDED PRECEDING', '1 PRECEDING', 'depot, is_post')} ELSE 1 END AS post FROM rated"""
+STEPS["pre_rated"] = f"""
+    SELECT depot, date, CASE WHEN is_pre = 1 THEN median(ratio) {_frame('UNBOUNDED PRECEDING', '1 PRECEDING', 'depot, is_pre')} ELSE 1 END AS pre FROM rated"""
+
+
+@query("F08_phase_profiles", """
+    SELECT a.depot, post, pre FROM (SELECT depot, median(post) FILTER (WHERE post <> 1) AS post FROM post_rated GROUP BY 1) a
+    JOIN (SELECT depot, median(pre) FILTER (WHERE pre <> 1) AS pre FROM pre_rated GROUP BY 1) b ON b.depot = a.depot""", "post pre")
+def f08b(d: Domain):
+    rows = ft.proximity(ft.post_days(ft.baseline(series(d), Y)))
+    return ft.phase_profiles(ft.pre_intensity(ft.post_intensity(rows, Y), Y))
+
+
 @query("S12_weather_table", """
     SELECT w.depot, w.date, max_temp, min_temp, daily_rainfall FROM weather w JOIN depots d ON d.depot = w.depot
     WHERE region = 'EUROPE' AND w.date >= DATE '1999-01-01' AND w.date < DATE '2000-01-01'""", "max_temp min_temp")
