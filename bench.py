@@ -15,7 +15,7 @@ import tempfile
 import time
 
 from depotlens.plans import QUERIES
-from depotlens.session import build_session
+from depotlens.session import build_session, release
 
 HEADLINE = [
     "A01_monthly_rollup", "A01_driver_rollup", "A03_region_per_depot_month", "A11_driver_vs_depot", "A15_earnings_by_depot",
@@ -51,6 +51,7 @@ def main() -> None:
         "metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": float(scale.group(1)) if scale else None,
     }), flush=True)
+    release(spark)
     spark.stop()
 
 

@@ -16,7 +16,7 @@ import duckdb
 import pandas as pd
 
 from depotlens.plans import QUERIES
-from depotlens.session import build_session
+from depotlens.session import build_session, release
 
 
 def connect(folder: str):
@@ -80,6 +80,7 @@ def main() -> int:
         failed += verdict.startswith("FAIL")
         print(f"{name:34s} {time.time() - start:6.2f}s {verdict}", flush=True)
     print(f"{failed} failed")
+    release(spark)
     return 1 if failed else 0
 
 

@@ -52,11 +52,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# Folders that this process has made in the shared folder.
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this process, at the end of a job: what was read from them lazily can't be read after that."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _MADE:
+        path = files.Path(_MADE.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder (never reused, so never cleared)."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     if "://" not in path and _is_local(spark):
         os.makedirs(os.path.dirname(path), exist_ok=True)
+    _MADE.append(path)
     return path
 
 

@@ -74,3 +74,15 @@ def test_shared_tables_are_read_back_instead_of_the_facts(spark, folder):
 
     for name in ("M04_trip_schedule", "M11_suggest_slot", "J10_match_schedule", "E04_schedule_vs_actual", "F01_features", "F07_future_rows"):
         assert "lineitem.parquet" not in plan(QUERIES[name].build(Domain(spark, folder))), name
+
+
+def test_intermediate_tables_can_be_released(spark, monkeypatch):
+    import os
+
+    from depotlens import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    made = session.materialise(spark.range(3), "gone")
+    path = session._MADE[0]
+    assert made.count() == 3 and os.path.isdir(path)
+    assert session.release(spark) == 1 and not os.path.exists(path)
