@@ -10,20 +10,25 @@ from depotlens.sources.views import Domain
 from depotlens.streaming import ingest as st
 
 STEPS["event_days"] = """
-    SELECT n_name AS depot, ts::DATE AS date, count(*) * 45 AS passengers_per_day, sum(round(value * 100)::BIGINT) / 100::DOUBLE AS actual_kms,
-           count(*) FILTER (WHERE event_type = 'purchase') / count(*)::DOUBLE AS occupancy_ratio
-    FROM events JOIN nation ON n_nationkey = user_id % 25 GROUP BY 1, 2"""
+    SELECT n_name AS depot, date, coalesce(n, 0) * 45 AS passengers_per_day, coalesce(v, 0) / 100::DOUBLE AS actual_kms, coalesce(p / n::DOUBLE, 0) AS occupancy_ratio
+    FROM (SELECT DISTINCT ts::DATE AS date FROM events), nation LEFT JOIN (
+        SELECT user_id % 25 AS k, ts::DATE AS day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS v, count(*) FILTER (WHERE event_type = 'purchase') AS p
+        FROM events GROUP BY 1, 2) ON k = n_nationkey AND day = date"""
 _COLS = ["depot", "date", "passengers_per_day", "actual_kms", "occupancy_ratio"]
 _FILE_SCHEMA = st.DROP_SCHEMA + ", file string"
 
 
 def event_days(d: Domain):
-    nation = d.raw("nation").select((F.col("n_nationkey") + 0).alias("k"), F.col("n_name").alias("depot"))
-    rows = d.raw("events").withColumn("k", (F.col("user_id") % 25).cast("int"))
-    return rows.groupBy("k", F.col("ts").cast("date").alias("date")).agg(
-        (F.count("*") * 45).alias("passengers_per_day"), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0).alias("actual_kms"),
-        (F.count_if(F.col("event_type") == "purchase") / F.count("*")).alias("occupancy_ratio"),
-    ).join(nation, "k").drop("k")
+    """Every depot on every day of the events, so that a day's file is complete."""
+    nation = d.raw("nation").select((F.col("n_nationkey") + 0).cast("int").alias("k"), F.col("n_name").alias("depot"))
+    rows = d.raw("events").withColumns({"k": (F.col("user_id") % 25).cast("int"), "date": F.col("ts").cast("date")})
+    days = rows.select("date").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    sums = rows.groupBy("k", "date").agg(
+        F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("v"), F.count_if(F.col("event_type") == "purchase").alias("p"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return days.join(nation, "k").join(sums, ["k", "date"], "left").select(
+        "depot", "date", (zero(F.col("n")) * 45).alias("passengers_per_day"), (zero(F.col("v")) / 100.0).alias("actual_kms"),
+        F.coalesce(F.col("p") / F.col("n"), F.lit(0.0)).alias("occupancy_ratio"))
 
 
 def drop_files(rows, path: str) -> str:
