@@ -34,7 +34,7 @@ LOOKUP_BUCKETS = 1 << 17
 
 @dataclass(frozen=True)
 class Settings:
-    block_bytes: int = 24_000_000  # text whose distinct words are merged together
+    block_bytes: int = 40_000_000  # text whose distinct words are merged together
     fold_bytes: int = 64
 
 
@@ -92,18 +92,30 @@ def folded(word: Column, ranks: Column) -> Column:
         bucket = F.get(ranks, (F.crc32(pair.cast("binary")) % LOOKUP_BUCKETS).cast("int"))
         return F.substring(F.call_function("substring_index", bucket, F.concat(F.lit(END), pair), F.lit(-1)), 1, 1)
 
+    def part(text: Column, first: Column, n: Column) -> Column:
+        return F.substring(text, first, n)
+
+    def begin(text: Column) -> Column:
+        """The word's signs, and what each pair of neighbours merges to."""
+        pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: merge(part(text, i, F.lit(2))))
+        done = F.endswith(text, F.lit(END)) | (F.length(text) < 2)
+        return F.struct(text.alias("s"), F.when(done, F.lit("")).otherwise(F.array_join(pairs, "")).alias("r"))
+
     def step(state: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(state) - 1), lambda i: merge(F.substring(state, i, F.lit(2))))
+        s, r = state["s"], state["r"]
 
-        def merged(found: Column) -> Column:
-            least = F.array_min(found)
-            at = F.array_position(found, least).cast("int")
-            return F.when(least < END, F.concat(F.substring(state, F.lit(1), at - 1), least, F.substring(state, at + 2, F.length(state)))).otherwise(
-                F.concat(state, F.lit(END)))
+        def merged(least: Column) -> Column:
+            at = F.call_function("locate", least, r)
+            before = F.when(at > 1, merge(F.concat(part(s, at - 1, F.lit(1)), least))).otherwise(F.lit(""))
+            after = F.when(at < F.length(r), merge(F.concat(least, part(s, at + 2, F.lit(1))))).otherwise(F.lit(""))
+            rest = F.length(s)
+            return F.when(least == END, F.struct(s.alias("s"), F.lit("").alias("r"))).otherwise(F.struct(
+                F.concat(part(s, F.lit(1), at - 1), least, part(s, at + 2, rest)).alias("s"),
+                F.concat(part(r, F.lit(1), at - 2), before, after, part(r, at + 2, rest)).alias("r")))
 
-        return F.when(F.endswith(state, F.lit(END)) | (F.length(state) < 2), state).otherwise(let(pairs, merged))
+        return F.when(r == "", state).otherwise(let(F.array_min(F.split(r, "")), merged))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), word, step)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), begin(word), step, lambda state: state["s"])
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -180,25 +192,41 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Se
     return blocks(docs, ranks, pattern, s).withColumn("words", F.get(merged, F.lit(0)))
 
 
-def texts_ids(batch: pa.RecordBatch, most: int = 1000) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """Rows' ids and the token ids of each, for ``most`` rows of a block at a time."""
-    for k in range(batch.num_rows):
+class MergedBlock:
+    """A block whose words are merged: the token ids of its distinct words, and the words of its texts."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
         words = [w.rstrip(END) for w in batch.column("words")[k].values.to_pylist()]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = ranks_of("".join(words))
-        del words
-        starts = np.cumsum(sizes) - sizes
-        places = np.frombuffer(batch.column("places")[k].as_buffer(), np.int32)
-        counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
-        ends, own_ids = np.cumsum(counts), batch.column("id")[k].values
-        for a in range(0, len(counts), most):
-            rows = []
-            for end, count in zip(ends[a:a + most], counts[a:a + most], strict=True):
-                own = places[end - count:end]
-                n = sizes[own]
-                total = int(n.sum())
-                rows.append(flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.zeros(0, np.int32))
-            yield own_ids.slice(a, most), rows
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.flat = ranks_of("".join(words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.places = np.frombuffer(batch.column("places")[k].as_buffer(), np.int32)
+        self.counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
+        self.ends, self.ids = np.cumsum(self.counts), batch.column("id")[k].values
+
+    def slices(self, most: int = 1000) -> Iterator[tuple[int, pa.Array]]:
+        """The rows' ids, ``most`` rows at a time, and where they begin."""
+        for a in range(0, len(self.counts), most):
+            yield a, self.ids.slice(a, most)
+
+    def words_of(self, a: int, n: int) -> Iterator[np.ndarray]:
+        """Numbers of the words of each of n rows."""
+        for end, count in zip(self.ends[a:a + n], self.counts[a:a + n], strict=True):
+            yield self.places[end - count:end]
+
+    def ids_of(self, a: int, n: int) -> list[np.ndarray]:
+        """Token ids of each of n rows."""
+        rows = []
+        for own in self.words_of(a, n):
+            size = self.sizes[own]
+            total = int(size.sum())
+            rows.append(self.flat[np.repeat(self.starts[own] - (np.cumsum(size) - size), size) + np.arange(total)] if total else np.zeros(0, np.int32))
+        return rows
+
+
+def merged_blocks(batch: pa.RecordBatch) -> Iterator[MergedBlock]:
+    for k in range(batch.num_rows):
+        yield MergedBlock(batch, k)
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", s: Settings = Settings()) -> DataFrame:
@@ -206,8 +234,9 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: s
 
     def run(batches):
         for batch in batches:
-            for own, rows in texts_ids(batch):
-                yield pa.RecordBatch.from_arrays([own, pa.array(rows, pa.list_(pa.int32()))], [id_column, "ids"])
+            for block in merged_blocks(batch):
+                for a, own in block.slices():
+                    yield pa.RecordBatch.from_arrays([own, pa.array(block.ids_of(a, len(own)), pa.list_(pa.int32()))], [id_column, "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return encoded_blocks(only(docs, id=id_column, text="text"), ranks, pattern, s).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
@@ -242,16 +271,22 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings
         for piece, rank in ranks.items():
             pieces[rank] = piece
         for batch in batches:
-            for own, rows in texts_ids(batch):
-                out = []
-                for ids in map(np.ndarray.tolist, rows):
-                    back = joined_pieces(ids, pieces)
-                    out.append((len(ids), hashlib.sha256("".join([written[i] for i in ids])[1:].encode()).hexdigest(), len(back), hashlib.sha256(back).hexdigest()))
-                n, first, size_, second = zip(*out, strict=True)
-                ids = [pa.array(rows, pa.list_(pa.int32()))] if keep_ids else []
-                yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(n, pa.int64()), pa.array(first), pa.array(size_, pa.int64()), pa.array(second), *ids],
-                    ["doc_id", "n_tokens", "ids_sha256", "n_bytes", "decoded_sha256", "ids"][:5 + keep_ids])
+            for block in merged_blocks(batch):
+                # Written and decoded once for a distinct word, and joined in the order of the text.
+                own = [block.flat[a:b].tolist() for a, b in zip(block.starts, block.starts + block.sizes, strict=True)]
+                texts, backs = ["".join([written[i] for i in ids]) for ids in own], [joined_pieces(ids, pieces) for ids in own]
+                del own
+                for a, ids in block.slices():
+                    out = []
+                    for at in block.words_of(a, len(ids)):
+                        back = b"".join([backs[w] for w in at.tolist()])
+                        ids_text = "".join([texts[w] for w in at.tolist()])[1:].encode()
+                        out.append((int(block.sizes[at].sum()), hashlib.sha256(ids_text).hexdigest(), len(back), hashlib.sha256(back).hexdigest()))
+                    n, first, size_, second = zip(*out, strict=True)
+                    kept = [pa.array(block.ids_of(a, len(ids)), pa.list_(pa.int32()))] if keep_ids else []
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array(n, pa.int64()), pa.array(first), pa.array(size_, pa.int64()), pa.array(second), *kept],
+                        ["doc_id", "n_tokens", "ids_sha256", "n_bytes", "decoded_sha256", "ids"][:5 + keep_ids])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return encoded_blocks(only(docs, id="doc_id", text="text"), ranks, pattern, s).mapInArrow(
