@@ -18,6 +18,7 @@ import heapq
 import json
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -168,12 +169,13 @@ def blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings)
             return word.decode("latin-1").translate(of_byte)
 
         def block(part: pa.RecordBatch) -> pa.RecordBatch:
-            number: dict[str, int] = {}
+            number: defaultdict[str, int] = defaultdict()
+            number.default_factory = number.__len__  # a new word gets the next number
             places, counts = array("i"), array("q")
             for text in texts_of(part):
                 found = cut.findall(text.as_py())
                 counts.append(len(found))
-                places.extend([number.setdefault(w, len(number)) for w in found])
+                places.extend(map(number.__getitem__, found))
             words = pa.array([signs(w.encode()) for w in number], pa.string())
             own = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
             words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
@@ -243,7 +245,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: s
 
 
 def joined_pieces(ids, pieces: list[bytes]) -> bytes:
-    return b"".join([pieces[i] for i in ids])
+    return b"".join(map(pieces.__getitem__, ids))
 
 
 def decoded(tokens: DataFrame, ranks: dict[bytes, int], column: str = "ids", to: str = "bytes") -> DataFrame:
@@ -274,13 +276,14 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings
             for block in merged_blocks(batch):
                 # Written and decoded once for a distinct word, and joined in the order of the text.
                 own = [block.flat[a:b].tolist() for a, b in zip(block.starts, block.starts + block.sizes, strict=True)]
-                texts, backs = ["".join([written[i] for i in ids]) for ids in own], [joined_pieces(ids, pieces) for ids in own]
+                texts, backs = ["".join(map(written.__getitem__, ids)) for ids in own], [joined_pieces(ids, pieces) for ids in own]
                 del own
                 for a, ids in block.slices():
                     out = []
                     for at in block.words_of(a, len(ids)):
-                        back = b"".join([backs[w] for w in at.tolist()])
-                        ids_text = "".join([texts[w] for w in at.tolist()])[1:].encode()
+                        places = at.tolist()
+                        back = b"".join(map(backs.__getitem__, places))
+                        ids_text = "".join(map(texts.__getitem__, places))[1:].encode()
                         out.append((int(block.sizes[at].sum()), hashlib.sha256(ids_text).hexdigest(), len(back), hashlib.sha256(back).hexdigest()))
                     n, first, size_, second = zip(*out, strict=True)
                     kept = [pa.array(block.ids_of(a, len(ids)), pa.list_(pa.int32()))] if keep_ids else []
