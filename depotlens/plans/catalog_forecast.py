@@ -12,7 +12,7 @@ from depotlens.plans.registry import STEPS, query
 from depotlens.session import materialise, work_dir
 from depotlens.sources.views import Domain
 
-# Production settings; a hold-out stops the boosting.
+# Production settings; only the demand has a hold-out that chooses the round.
 DEMAND = fc.TreeSettings()
 PASSENGERS = fc.TreeSettings(trees=1000, depth=6)
 ABSENCE = fc.TreeSettings(700, 6, 0.05, 0.9, 1)

@@ -34,3 +34,18 @@ def test_split_does_not_depend_on_partitioning(spark):
     a = {r.id for r in hash_split(df, ["id"]).filter("is_test = 1").collect()}
     b = {r.id for r in hash_split(df.repartition(7), ["id"]).filter("is_test = 1").collect()}
     assert a == b and 120 < len(a) < 280
+
+
+def test_boosting_goes_on_while_the_holdout_error_falls(spark):
+    """Small gains in a round stop nothing; the round kept is the best of all that patience allows."""
+    import random
+
+    assert fc.chosen_round([5.0, 4.0, 4.5, 3.9, 4.0, 4.1], 2) == (4, True)
+    assert fc.chosen_round([5.0, 4.0, 4.5, 4.6, 1.0], 2) == (2, True)
+    assert fc.chosen_round([3.0, 2.9, 2.89], 2) == (3, False)
+    rng = random.Random(3)
+    rows = [(x, 10 * x + rng.gauss(0, 0.3), i % 4 == 0) for i in range(400) for x in (rng.random(),)]
+    df = spark.createDataFrame(rows, "x double, y double, hold boolean").coalesce(1)
+    settings = fc.TreeSettings(trees=30, depth=2, step=0.03, patience=4)
+    assert fc.fit(df, ["x"], "y", settings, holdout="hold").stages[-1].getNumTrees == 30
+    assert fc.fit(df, ["x"], "y", settings).stages[-1].getNumTrees == 30
