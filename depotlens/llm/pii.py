@@ -3,32 +3,34 @@
 Base spans (fixed patterns and checks) always stay.  Generators propose many more spans, which may overlap: broken-up
 addresses, numbers without a plus, other separators.  Trees learn from a bounded sample of candidates which of
 them look and stand like the base spans of their kind (features leave out the very marks by which the base patterns
-tell), and a threshold for each kind is calibrated on a held-out part to the precision wanted.  Of overlapping
+tell), and a threshold for each kind is calibrated to the precision wanted on all candidates that were not fitted on.  Of overlapping
 proposals above it the surest stays, beside the base.
 
 Defined cases: NULL text counts as empty and has no spans.  Offsets are code points, the end exclusive.  Kinds without base
-spans in the sample add nothing.  Rows are never joined by id, so repeated and NULL ids keep their rows.
+spans add nothing.  Copies of a text count once in training.  Rows are never joined by id, so repeated and NULL ids keep their rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.llm.boost import Forest, boosted
 from depotlens.llm.text import slices, texts_of
+from depotlens.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -56,7 +58,7 @@ Span = tuple[int, int, int]  # start, place of the kind, end
 @dataclass(frozen=True)
 class Settings:
     sample: int = 20_000  # candidates the trees are fitted on, at most
-    precision: float = 0.98  # of added spans, on the held-out quarter of the sample
+    precision: float = 0.98  # of added spans, on the candidates that were not fitted on
     least: int = 20  # base-like candidates of a kind before it may add spans
 
 
@@ -119,12 +121,29 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def training_rows(text: str) -> Iterator[tuple[list[float], float, Span]]:
-    """Features and label of each candidate: 1 for a base span or most of one of its kind, 0 for the rest."""
+def labelled(text: str) -> list[tuple[Span, int]]:
+    """Each candidate with its label: 1 for a base span or most of one of its kind, 0 for the rest."""
     base = base_spans(text)
+    starts, ends = [[s for s, k, _ in base if k == kind] for kind in range(4)], [[e for _, k, e in base if k == kind] for kind in range(4)]
+    out = []
     for span in candidates(text):
-        alike = any(k == span[1] and min(e, span[2]) - max(s, span[0]) >= 0.7 * (e - s) for s, k, e in base)
-        yield features(text, span), float(alike), span
+        own, i = starts[span[1]], bisect_right(ends[span[1]], span[0])  # spans of a kind lie apart from each other
+        alike = False
+        while i < len(own) and own[i] < span[2] and not alike:
+            s, e = own[i], ends[span[1]][i]
+            alike = min(e, span[2]) - max(s, span[0]) >= 0.7 * (e - s)
+            i += 1
+        out.append((span, int(alike)))
+    return out
+
+
+def text_key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
+def span_key(key: int, span: Span) -> int:
+    """Hash of a text's key and a span of it: copies of a text have the same."""
+    return xxhash.xxh3_64_intdigest("%d:%d:%d" % span, seed=key) >> 1
 
 
 @dataclass(frozen=True)
@@ -170,42 +189,102 @@ class Taken:
         self.ends.insert(at, span[2])
 
 
-def train(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Fit on the candidates of a bounded number of texts, the first by a hash of the text among those that can hold spans."""
+def able(docs: DataFrame) -> DataFrame:
+    return docs.select("text").filter(F.col("text").rlike(_ANY))
+
+
+def sampled(docs: DataFrame, s: Settings) -> DataFrame:
+    """(kind, y, place, key, x) of the candidates to fit on, three quarters of the texts giving them: of each kind and label the first by
+    (place, key), the place being that among those of its text.  So no text comes again before all others have; copies of a text are one."""
+    n = max(s.sample // 8, 1)
 
     def run(batches):
+        best: dict[tuple[int, int], list] = {(k, y): [] for k in range(4) for y in range(2)}  # heaps, the last on top
+        held: set[int] = set()
         for batch in batches:
             for part in slices(batch):
                 for text in texts_of(part).to_pylist():
-                    rows = list(islice(training_rows(text), 200))  # one text fills no more of the sample
-                    if rows:
-                        held = int(hashlib.md5(text.encode()).hexdigest(), 16) % 4 == 0
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2][1] for r in rows], pa.int32()), pa.array([held] * len(rows))],
-                            ["x", "y", "kind", "held"])
-
-    able = docs.select("text").filter(F.col("text").rlike(_ANY))
-    share = min(1.0, s.sample / 4 / max(able.count(), 1))
-    picked = able.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = picked.mapInArrow(run, "x array<double>, y double, kind int, held boolean").limit(s.sample).toPandas()
-    if not len(rows) or rows.y.nunique() < 2:
-        return Model(None, (2.0,) * 4)
-    rows = rows.assign(key=[tuple(x) for x in rows.x]).sort_values(["key", "y"], kind="stable")  # not in order of arrival
-    x, y, kind, held = np.array(rows.x.tolist()), rows.y.to_numpy(), rows.kind.to_numpy(), rows.held.to_numpy()
-    if len(set(y[~held])) < 2:
+                    if (own := text_key(text)) % 4 == 0:
+                        continue
+                    groups: dict[tuple[int, int], list] = {}
+                    for span, y in labelled(text):
+                        groups.setdefault((span[1], y), []).append((span_key(own, span), span))
+                    for group, found in groups.items():
+                        heap = best[group]
+                        for place, (key, span) in enumerate(sorted(found)[:n]):
+                            if len(heap) == n and (-place, -key) <= heap[0][:2]:
+                                break
+                            if key not in held:
+                                held.add(key)
+                                row = (-place, -key, features(text, span))
+                                if len(heap) < n:
+                                    heapq.heappush(heap, row)
+                                else:
+                                    held.discard(-heapq.heapreplace(heap, row)[1])
+        for (kind, y), heap in best.items():
+            if heap:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([kind] * len(heap), pa.int32()), pa.array([y] * len(heap), pa.int32()), pa.array([-r[0] for r in heap], pa.int64()),
+                    pa.array([-r[1] for r in heap], pa.int64()), pa.array([r[2] for r in heap], pa.list_(pa.float64()))], ["kind", "y", "place", "key", "x"])
+
+    rows = able(docs).mapInArrow(run, "kind int, y int, place long, key long, x array<double>")
+    once = materialise(rows.dropDuplicates(["key"]), "pii-candidates")
+    return reduce(DataFrame.union, [once.filter((F.col("kind") == k) & (F.col("y") == y)).orderBy("place", "key").limit(n) for k in range(4) for y in range(2)])
+
+
+BINS = 4096  # of scores, a power of two so that bins and thresholds agree
+
+
+def counted(docs: DataFrame, forest: Forest, fitted: frozenset[int]) -> DataFrame:
+    """(kind, y, bin, n): the candidates of all distinct texts by their score, those of the fit under bin -1."""
+    shared = docs.sparkSession.sparkContext.broadcast((forest, fitted))
+
+    def scored(rows):
+        forest, fitted = shared.value
+        bins = np.minimum((forest.score(np.array([r[0] for r in rows])) * BINS).astype(np.int64), BINS - 1)
+        bins[[r[3] in fitted for r in rows]] = -1
+        return pa.RecordBatch.from_arrays([
+            pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(bins.astype(np.int32)),
+            pa.array([r[3] for r in rows], pa.int64())], ["kind", "y", "bin", "key"])
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for part in slices(batch):
+                for text in texts_of(part).to_pylist():
+                    own = text_key(text)
+                    for span, y in labelled(text):
+                        rows.append((features(text, span), span[1], y, span_key(own, span)))
+                        if len(rows) == 8192:
+                            yield scored(rows)
+                            rows = []
+        if rows:
+            yield scored(rows)
+
+    rows = able(docs).mapInArrow(run, "kind int, y int, bin int, key long")
+    return rows.dropDuplicates(["key"]).groupBy("kind", "y", "bin").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, s: Settings = Settings()) -> Model:
+    """Fit on a bounded sample that depends on the set of distinct texts only; thresholds from all candidates that were not fitted on."""
+    rows = sorted(sampled(docs, s).collect(), key=lambda r: (r.kind, r.y, r.place, r.key))  # sample bounds it
+    if len({r.y for r in rows}) < 2:
         return Model(None, (2.0,) * 4)
-    forest = boosted(x[~held], y[~held])
-    scores = forest.score(x)
-    return Model(forest, tuple(calibrated(scores[held & (kind == k)], y[held & (kind == k)], s) if y[kind == k].sum() >= s.least else 2.0 for k in range(4)))
-
-
-def calibrated(scores: np.ndarray, y: np.ndarray, s: Settings) -> float:
-    """The lowest score from which on the precision holds; 2 (none) if it never does."""
-    order = np.argsort(-scores, kind="stable")
-    precision = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.append(scores[order][1:] != scores[order][:-1], True) if len(y) else np.zeros(0, bool)
-    good = np.flatnonzero((precision >= s.precision) & last)
-    return float(max(scores[order][good[-1]], 0.5)) if len(good) else 2.0
+    forest = boosted(np.array([r.x for r in rows]), np.array([float(r.y) for r in rows]))
+    n = np.zeros((4, 2, BINS), np.int64)
+    known = np.zeros(4, np.int64)
+    for r in counted(docs, forest, frozenset(r.key for r in rows)).collect():  # at most 8 (BINS + 1)
+        known[r.kind] += r.n * r.y
+        if r.bin >= 0:
+            n[r.kind, r.y, r.bin] += r.n
+    return Model(forest, tuple(calibrated(n[k, 1], n[k, 0], s) if known[k] >= s.least else 2.0 for k in range(4)))
+
+
+def calibrated(good: np.ndarray, bad: np.ndarray, s: Settings) -> float:
+    """The lower end of the last bin of scores, from the highest on, to which the precision holds; 2 (none) if it never does."""
+    right, every = np.cumsum(good[::-1])[::-1], np.cumsum((good + bad)[::-1])[::-1]
+    holds = np.flatnonzero((every > 0) & (good + bad > 0) & (right >= s.precision * every))
+    return max(float(holds[0]) / BINS, 0.5) if len(holds) else 2.0
 
 
 def shown(spans: list[Span]) -> str:

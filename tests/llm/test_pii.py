@@ -87,3 +87,32 @@ def test_empty_table_and_no_candidates(spark, docs):
 
 def test_overlaps_are_replaced_once():
     assert pii.without("ab 123 cd", [(3, 2, 6), (3, 3, 5), (4, 1, 8)]) == "ab [CARD]d"
+
+
+def test_copies_and_order_of_rows_change_no_model(spark, docs):
+    """A group of copies that alone would fill the sample leaves trees and thresholds as one of them does."""
+    text = " ".join(f"+1 (743) 555-{1000 + i}, 12{i}.300.1.7;" for i in range(40))
+    others = [(2001 + i, f"Part {300 + i}.1.{i}.400 and order 12-{i % 90 + 10}-{i}.", 1, "x", "en") for i in range(200)]
+    once = docs.union(spark.createDataFrame([(2000, text, 1, "x", "en"), *others], SCHEMA))
+    copies = spark.createDataFrame([(3000 + i, text, 1, "x", "en") for i in range(1500)], SCHEMA)
+    plain, full = pii.train(once), pii.train(copies.union(once).repartition(5))
+    assert min(plain.thresholds) < 1 and plain.thresholds == full.thresholds
+    x = np.random.default_rng(1).random((50, pii.FEATURES)) * 20
+    assert (plain.forest.score(x) == full.forest.score(x)).all()
+
+
+def test_labels_agree_with_all_pairs():
+    rng = random.Random(2)
+    marks = ["a", "@", ".", "-", "+", " ", "1", "25", "4111111111111111", "b@c.de", "+1 (743) 555-3824", "1.2.3.4", "743 555 3824"]
+    for _ in range(2000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 25)))
+        base = pii.base_spans(text)
+        for span, y in pii.labelled(text):
+            assert y == any(k == span[1] and min(e, span[2]) - max(s, span[0]) >= 0.7 * (e - s) for s, k, e in base)
+
+
+def test_threshold_is_where_the_precision_still_holds():
+    good, bad = np.zeros(pii.BINS, int), np.zeros(pii.BINS, int)
+    good[[4000, 3000, 2500]], bad[[3000, 2500]] = [980, 10, 5], [10, 500]
+    assert pii.calibrated(good, bad, pii.Settings()) == 3000 / pii.BINS
+    assert pii.calibrated(bad * 0, bad, pii.Settings()) == 2.0
