@@ -81,18 +81,21 @@ class Items:
         self.present = np.zeros(1 << self.bits, bool)
         self.present[(self.seeds >> U64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, per_word: np.ndarray) -> np.ndarray:
-        """Distinct (item, word of the text less word of the item) of all seed hits, as rows."""
+    def hits(self, per_word: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, word of all texts less word of the item) of the seed hits within a text, as rows."""
         found = []
+        text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         for k, mask in enumerate(self.masks):
             own = seed_hashes(per_word, mask, self.factors) ^ U64(k)
             at = np.flatnonzero(self.present[(own >> U64(64 - self.bits)).view(np.int64)])
+            at = at[text_of[at] == text_of[at + mask[-1]]]  # a window over two texts is in neither
             first, last = np.searchsorted(self.seeds, own[at], "left"), np.searchsorted(self.seeds, own[at], "right")
             n = last - first
             entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            found.append(np.stack([self.owner[entry], np.repeat(at, n) - self.place[entry], np.repeat(at, n)], axis=1))
+            where = np.repeat(at, n)
+            found.append(np.stack([text_of[where], self.owner[entry], where - self.place[entry]], axis=1))
         every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        return pd.DataFrame(every).drop_duplicates([0, 1]).sort_values([0, 1]).to_numpy() if len(every) else every
+        return pd.DataFrame(every).drop_duplicates().sort_values([0, 1, 2]).to_numpy() if len(every) else every
 
     def search(self, words: Words) -> list[list[tuple[int, int, int, int]]]:
         """Of each text: (item, first word, words, equal words) of the best verified stretch of each item."""
@@ -100,8 +103,7 @@ class Items:
         if not words.words or not len(self.seeds):
             return out
         per_word = mixed(words.hashes())[words.ids]
-        hits = self.hits(per_word)
-        for text, (item, shift, _) in zip(np.searchsorted(words.starts, hits[:, 2], "right") - 1, hits, strict=True):
+        for text, item, shift in self.hits(per_word, words.starts):
             own = self.words[item]
             a = max(words.starts[text], shift)
             b = min(words.starts[text + 1], shift + len(own))

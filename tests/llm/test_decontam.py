@@ -50,3 +50,13 @@ def test_empty_tables(spark, case):
     docs, benchmark, _ = case
     assert decontam.matched(docs.limit(0), benchmark).count() == 0
     assert decontam.kept(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_pieces_of_an_item_in_neighbouring_rows(spark):
+    """Both rows of a passage cut in two are found, also on one diagonal; a passage of neither row is not."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:20]), " ".join(words[20:]), "other text", " ".join(["x", *words[:6]]), " ".join([*words[6:12], "y"])]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: [(f.item_id, f.first, f.words) for f in r.hits] for r in decontam.matched(docs, benchmark, column="hits").collect()}
+    assert got == {0: [(1, 0, 20)], 1: [(1, 0, 20)], 2: [], 3: [], 4: []}
