@@ -85,14 +85,17 @@ def r01b(d: Domain):
     return d.spark.read.parquet(f"{base}/master").select("depot", "date", "service_number", "actual_kms", "actual_trips", "revenue")
 
 
-@query("S14_archive_files")
+@query("S14_archive_files", "SELECT date, count(*) AS n FROM event_days GROUP BY 1")
 def s14(d: Domain):
-    """Files are archived as later batches of the stream complete, so the last ones may still be waiting."""
+    """Every file is archived: a closing batch follows the last."""
     drop, base = work_dir(d.spark, "drop"), work_dir(d.spark, "ingest")
     drop_files(event_days(d).withColumn("file", daily_name()), drop)
-    stream = st.file_stream(d.spark, drop, _FILE_SCHEMA, archive=f"{base}/archive", max_files=10)
     handler = st.load_handler(f"{base}/master", d.depots, "2024-02-01", f"{base}/errors")
-    st.ingest(stream, handler, f"{base}/checkpoint").awaitTermination()
+
+    def run():
+        return st.ingest(st.file_stream(d.spark, drop, _FILE_SCHEMA, archive=f"{base}/archive", max_files=10), handler, f"{base}/checkpoint")
+
+    st.archive_all(d.spark, drop, f"{base}/archive", _COLS, run)
     return st.archived_rows(d.spark, f"{base}/archive").groupBy("date").agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,7 @@ after a failure leaves the same table.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,37 @@ def _stored(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
     return spark.read.schema(empty.schema).parquet(path) if exists(spark, path) else empty.limit(0)
 
 
+def data_files(spark: SparkSession, path: str) -> set[str]:
+    """Names (folder and file) of the data files anywhere under a folder, which may be missing."""
+    if not exists(spark, path):
+        return set()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+    out = set()
+    while files.hasNext():
+        own = files.next().getPath()
+        if own.getName()[0] not in "._":
+            out.add(f"{own.getParent().getName()}/{own.getName()}")
+    return out
+
+
+def archive_all(spark: SparkSession, drops: str, archive: str, columns: list[str], run: Callable[[], StreamingQuery], seconds: float = 120) -> None:
+    """Run the stream until every dropped file is in the archive.
+
+    A batch's files are moved when the next batch begins, so a file without rows follows the others as the closing
+    batch; it stays where it was dropped.  They are moved in the background, which is waited for.
+    """
+    dropped = data_files(spark, drops)
+    run().awaitTermination()
+    spark.createDataFrame([(",".join(columns),)], "value string").coalesce(1).write.mode("append").text(f"{drops}/file=closing")
+    run().awaitTermination()
+    end = time.monotonic() + seconds
+    while missing := dropped - data_files(spark, archive):
+        if time.monotonic() > end:
+            raise TimeoutError(f"{len(missing)} of {len(dropped)} files are not archived, such as {min(missing)}")
+        time.sleep(0.2)
+
+
 def archived_rows(spark: SparkSession, archive: str, schema: str = DROP_SCHEMA) -> DataFrame:
     """Rows of every file the stream has moved to its archive."""
     if not exists(spark, archive):

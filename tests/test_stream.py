@@ -105,3 +105,19 @@ def test_only_the_months_of_a_batch_are_read(spark, tmp_path):
     plan = stored._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "2024-05-01" in plan or "PartitionFilters: [(month" in plan, plan
     assert [r.date for r in stored.collect()] == [days[4]]
+
+
+def test_a_closing_batch_archives_every_file(spark, tmp_path):
+    from depotlens.plans.catalog_stream import _FILE_SCHEMA
+
+    drops, archive = tmp_path / "in", tmp_path / "done"
+    drops.mkdir()
+    for day in range(1, 6):
+        drop(drops / f"file=ops_daily_2024-01-0{day}.csv", "part-0.csv", [f"{depot},2024-01-0{day},10,5.0,0.5" for depot in "AB"])
+    handler = st.load_handler(str(tmp_path / "master"), dims(spark), "2024-02-01", str(tmp_path / "errors"))
+
+    def again():
+        return st.ingest(st.file_stream(spark, str(drops), _FILE_SCHEMA, archive=str(archive), max_files=2), handler, str(tmp_path / "checkpoint"))
+
+    st.archive_all(spark, str(drops), str(archive), HEADER.strip().split(","), again)
+    assert len(list(archive.rglob("part-0.csv"))) == 5 and st.archived_rows(spark, str(archive)).count() == 10
