@@ -6,8 +6,11 @@ benchmark items; around each hit, text and item are laid over each other and the
 by word, with substitutions.  The benchmark is taken in blocks of bounded size, each sent to all tasks, and every
 text meets every block; nothing is shuffled.
 
-Defined cases: NULL text counts as empty and has no match.  Items shorter than ``span`` words have one seed, all of their
-words; items under ``least_words`` words, empty or NULL ones have none and are never found.  Texts and items are
+Beside the masks, ``least_words`` equal words on end are a seed.  Items shorter than a mask have masks of their own length, by
+which every stretch of the whole item that passes the verification is found.
+
+Defined cases: NULL text counts as empty and has no match.  Items under ``least_words`` words are found where all of their words
+stand in a row, even a single one; empty or NULL ones are never found.  Texts and items are
 compared in lower case without ASCII punctuation.  Rows are never joined by id, so repeated and NULL ids keep their rows.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -49,6 +53,17 @@ def seed_hashes(per_word: np.ndarray, mask: tuple[int, ...], factors: np.ndarray
     return mixed(out)
 
 
+def masks_of_length(n: int, s: Settings) -> list[tuple[int, ...]]:
+    """Masks for items of ``n`` words, one of which fits whichever words are substituted, as far as the verification allows.
+
+    With d substitutions at most, the words fall into 2 d + 1 blocks, and each mask leaves d of them out.
+    """
+    d = max(0, n - max(s.least_words, math.ceil(s.identity * n - 1e-9)))
+    blocks = np.array_split(np.arange(n), min(2 * d + 1, n))
+    counted = [np.concatenate([b for j, b in enumerate(blocks) if j not in out]) for out in combinations(range(len(blocks)), d)]
+    return sorted({tuple((m - m[0]).tolist()) for m in counted})
+
+
 class Items:
     """The seeds and words of a block of benchmark items."""
 
@@ -59,14 +74,16 @@ class Items:
         hashes = mixed(words.hashes())[words.ids] if words.words else np.zeros(0, U64)
         self.words = [hashes[a:b] for a, b in zip(words.starts[:-1], words.starts[1:], strict=True)]
         masks = [tuple(np.flatnonzero(np.array(list(m)) == "1").tolist()) for m in s.masks]
-        span = min(m[-1] + 1 for m in masks)
-        short = sorted({len(w) for w in self.words if s.least_words <= len(w) < max(m[-1] + 1 for m in masks)})
-        self.factors = odd_numbers(max(m[-1] + 1 for m in masks), 31)
-        self.masks = masks + [tuple(range(n)) for n in short]
+        span = max(m[-1] + 1 for m in masks)
+        masks.append(tuple(range(s.least_words)))
+        # Each mask with the number of words of the items it is for; 0: all of least_words.
+        of = [(m, 0) for m in masks] + [(m, n) for n in sorted({len(w) for w in self.words if 0 < len(w) < span}) for m in masks_of_length(n, s)]
+        self.factors = odd_numbers(max(m[-1] + 1 for m, _ in of), 31)
+        self.masks = [m for m, _ in of]
         seeds, owner, place = [], [], []
-        for k, mask in enumerate(self.masks):
+        for k, (mask, n) in enumerate(of):
             for i, w in enumerate(self.words):
-                if k >= len(masks) and len(w) != mask[-1] + 1 or len(w) < min(s.least_words, span):
+                if len(w) != n if n else len(w) < s.least_words:
                     continue
                 own = seed_hashes(w, mask, self.factors) ^ U64(k)
                 seeds.append(own)
@@ -108,10 +125,11 @@ class Items:
             a = max(words.starts[text], shift)
             b = min(words.starts[text + 1], shift + len(own))
             same = per_word[a:b] == own[a - shift:b - shift]
-            first, last = best_stretch(same, self.s.identity)
-            equal = int(same[first:last].sum())
-            if equal >= self.s.least_words and equal >= self.s.identity * (last - first):
-                out[text].append((item, int(a + first - words.starts[text]), int(last - first), equal))
+            for first, last in (best_stretch(same, self.s.identity), (0, len(same))):  # the whole overlap may pass where its densest part is too short
+                equal = int(same[first:last].sum())
+                if equal >= min(self.s.least_words, len(own)) and equal >= self.s.identity * (last - first) - 1e-9:
+                    out[text].append((item, int(a + first - words.starts[text]), int(last - first), equal))
+                    break
         return [best_of(found) for found in out]
 
 

@@ -60,3 +60,21 @@ def test_pieces_of_an_item_in_neighbouring_rows(spark):
     benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     got = {r.doc_id: [(f.item_id, f.first, f.words) for f in r.hits] for r in decontam.matched(docs, benchmark, column="hits").collect()}
     assert got == {0: [(1, 0, 20)], 1: [(1, 0, 20)], 2: [], 3: [], 4: []}
+
+
+def test_short_items_and_short_stretches(spark):
+    """Any substitutions of a short item that the verification allows; shorter ones as a whole; eight words on end of a long one."""
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (1, 3, 7, 8, 9, 10, 30)}
+    texts = []
+    for n, words in items.items():
+        if n < 30:
+            texts.append((n, words, True))
+        for a in range(n if n < 30 else 0):
+            one = words[:a] + ["changed"] + words[a + 1:]
+            texts.append((n, one, n >= 9))
+            texts += [(n, one[:b] + ["changed"] + one[b + 1:], n == 10) for b in range(a)]
+    texts += [(30, items[30][11:19], True), (30, items[30][11:18], False)]
+    docs = spark.createDataFrame([(i, " ".join(["p", *w, "q"]), "x", "y") for i, (_, w, _) in enumerate(texts)], SCHEMA)
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {r.doc_id: [f.item_id for f in r.hits] for r in decontam.matched(docs, benchmark, column="hits").collect()}
+    assert got == {i: [n] if found else [] for i, (n, _, found) in enumerate(texts)}
