@@ -1,6 +1,6 @@
 """Secrets: wide candidates, and a random forest that removes false findings.
 
-Candidates are long runs of key characters.  Their features are length, make-up, how usual their character transitions are in
+Candidates are runs of at least 16 key characters, and values of at least 8 characters of any kind given to a name of a secret.  Their features are length, make-up, how usual their character transitions are in
 the corpus, how much of them its words cover, the path, and the words beside them.  The transitions and the dictionary count
 every document; the forest is fitted on a bounded sample of labelled findings and judges every candidate.
 
@@ -28,6 +28,9 @@ from depotlens.session import materialise
 
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
 _CANDIDATE = re.compile(_RUN)
+_NAME = "(?i:token|secret|password|passwd|api_?key)"
+_ASSIGNED = _NAME + r"""["']?\s*[=:]\s*(?:"([^"\s]{8,})"|'([^'\s]{8,})'|([^\s"']{8,}))"""
+_VALUE = re.compile(_ASSIGNED)
 _SIGNS = b"abcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -85,20 +88,25 @@ def dictionary(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def candidate_spans(text: str) -> list[tuple[int, int]]:
-    """Runs that hold a digit or a change of case, or are given a name with = or :."""
-    out = []
+    """Runs that hold a digit or a change of case, or are given a name with = or :, and the values given to names of secrets."""
+    out = set()
     for m in _CANDIDATE.finditer(text):
         own = m.group()
         if re.search(r"[0-9]|[a-z][A-Z]|^[A-Z0-9_+/=-]+$", own) or re.search(r"[=:]\s*[\"']?$", text[max(0, m.start() - 4):m.start()]):
-            out.append(m.span())
-    return out
+            out.add(m.span())
+    for m in _VALUE.finditer(text):
+        a, b = m.span(m.lastindex)
+        b = b if m.lastindex < 3 else a + len(m.group(3).rstrip(",;"))  # bare values end before the sign that follows them
+        if b - a >= 8:
+            out.add((a, b))
+    return sorted(out)
 
 
 def shape(own: str, before: str, after: str, path: str, usual: np.ndarray, s: Settings) -> list[float]:
     codes = CLASSES[np.frombuffer(own.encode(), np.uint8)]
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "p" for c in own]
     counts = np.bincount(codes, minlength=KINDS)
-    share = counts[counts > 0] / len(own)
+    share = counts[counts > 0] / len(codes)
     words = [0.0] * s.word_buckets
     for w in re.findall(r"\w+", before.lower())[-3:] + re.findall(r"\w+", after.lower())[:1]:
         words[xxhash.xxh3_64_intdigest(w) % s.word_buckets] += 1
@@ -120,7 +128,7 @@ def candidates(docs: DataFrame, usual: np.ndarray, s: Settings) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts = texts_of(part)
-                able = np.flatnonzero(pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False))
+                able = np.flatnonzero(pc.match_substring_regex(texts, f"{_RUN}|{_ASSIGNED}").to_numpy(zero_copy_only=False))
                 paths, rows, at = part.column("path").to_pylist(), [], []
                 for k in able:
                     text = texts[int(k)].as_py()
@@ -145,16 +153,17 @@ def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def known_format(value: Column, before: Column) -> Column:
-    """Labels of findings whose kind is beyond doubt: 1 for issued keys and for hex digests given the name of a secret, 0 for words and bare numbers; else NULL."""
-    named = before.rlike(r"(?i)(token|secret|password|passwd|api_?key)\s*[=:]\s*[\"']?$")
+    """Labels of findings whose kind is beyond doubt: 1 for issued keys and for hex digests given the name of a secret, 0 for words and bare numbers without one; else NULL."""
+    named = before.rlike(_NAME + r"[\"']?\s*[=:]\s*[\"']?$")
     issued = value.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$") | value.rlike(r"^gh[pousr]_[A-Za-z0-9]{36}$")
-    return F.when(issued | named & value.rlike(r"^[0-9a-f]{32,64}$"), 1).when(value.rlike(r"^[0-9]+$") | ~value.rlike(r"[0-9]"), 0)
+    return F.when(issued | named & value.rlike(r"^[0-9a-f]{32,64}$"), 1).when(~named & (value.rlike(r"^[0-9]+$") | ~value.rlike(r"[0-9]")), 0)
 
 
 def judged(found: DataFrame, label: Column, s: Settings = Settings()) -> DataFrame:
     """The candidates with ``score``: the forest's share of label 1."""
     own = found.withColumn("label", label.cast("double"))
-    sample = materialise(own.filter("label IS NOT NULL").orderBy(F.xxhash64("value", "before"), "id").limit(s.sample).select("label", array_to_vector("x").alias("features")), "secret-sample")
+    once = own.filter("label IS NOT NULL").groupBy("value", "before").agg(F.min("label").alias("label"), F.min("x").alias("x"))  # copies count once
+    sample = materialise(once.orderBy(F.xxhash64("value", "before"), "value", "before").limit(s.sample).select("label", array_to_vector("x").alias("features")), "secret-sample")
     n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:
         return own.withColumn("score", F.lit(float(1.0 in n)))

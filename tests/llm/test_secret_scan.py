@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from depotlens.llm import secret_scan
 
@@ -43,3 +44,20 @@ def test_unnamed_keys_are_told_by_their_make(spark, docs):
 def test_nothing_to_learn_from(spark, docs):
     assert secret_scan.findings(docs.limit(0)).count() == 0
     assert secret_scan.findings(docs.filter("text LIKE '%number%'")).filter("is_secret").count() == 0
+
+
+def test_short_values_given_to_names_of_secrets():
+    spans = lambda text: [text[a:b] for a, b in secret_scan.candidate_spans(text)]
+    assert spans('password = "a8!x.9$k", other') == ["a8!x.9$k"] and spans("api_key: ab~12&34, next") == ["ab~12&34"]
+    assert spans("{'secret': 'hunter2.é!'}") == ["hunter2.é!"] and spans("passwd=short") == [] and spans("name = a8!x.9$kk") == []
+
+
+def test_copies_take_one_place_of_the_sample(spark):
+    rng = random.Random(3)
+    rows = [(i, f"v{i}", "b", [rng.random(), rng.random()]) for i in range(60)]
+    found = spark.createDataFrame(rows, "id long, value string, before string, x array<double>")
+    copies = spark.createDataFrame([(1000 + i, *rows[7][1:]) for i in range(300)], found.schema)
+    s = secret_scan.Settings(sample=50, trees=3, depth=3)
+    label = F.when(F.col("x")[0] > 0.5, 1).otherwise(0)
+    score = lambda df: {r.id: r.score for r in secret_scan.judged(df, label, s).filter("id < 1000").collect()}
+    assert score(copies.union(found)) == score(found)
