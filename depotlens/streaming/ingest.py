@@ -159,8 +159,12 @@ def close_handler(ledger: str):
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         actuals = materialise(lg.ledger_actuals(batch).withColumn("month", month_start(F.col("date"))), "actuals")
-        months = [r[0] for r in actuals.select("month").distinct().limit(MOST_MONTHS).collect()]
-        stored = spark.read.parquet(ledger).filter(F.col("month").isin(months))
+        every, touched = spark.read.parquet(ledger), actuals.select("month").distinct()
+        months = [r[0] for r in touched.limit(MOST_MONTHS + 1).collect()]
+        if len(months) > MOST_MONTHS:  # too many to name to the scan
+            stored = every.join(touched, "month", "left_semi").select(*every.columns)
+        else:
+            stored = every.filter(F.col("month").isin(months))
         actuals = actuals.drop("month")
         staged = materialise(lg.close_pending(stored, actuals), "closed")
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(ledger)

@@ -121,3 +121,15 @@ def test_a_closing_batch_archives_every_file(spark, tmp_path):
 
     st.archive_all(spark, str(drops), str(archive), HEADER.strip().split(","), again)
     assert len(list(archive.rglob("part-0.csv"))) == 5 and st.archived_rows(spark, str(archive)).count() == 10
+
+
+def test_actuals_of_many_months_close_all_predictions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "MOST_MONTHS", 2)
+    days = [dt.date(2024, m, 3) for m in range(1, 6)]
+    actuals = ", ".join(f"{c} {t}" for c, t in st.lg.ACTUALS.items())
+    rows_ = [("A", d, 1.0, "pending", 1.0, *[None] * len(st.lg.ACTUALS), d.replace(day=1)) for d in days]
+    schema = f"depot string, prediction_date date, predicted_passenger_kms double, status string, estimated_kms double, {actuals}, month date"
+    spark.createDataFrame(rows_, schema).write.partitionBy("month").parquet(str(tmp_path / "ledger"))
+    batch = spark.createDataFrame([("A", d, 10, 5.0, 0.5, 2.5, "f") for d in days], st.DROP_SCHEMA + ", passenger_kms double, file string")
+    st.close_handler(str(tmp_path / "ledger"))(batch, 0)
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "ledger")).collect()] == ["completed"] * 5
