@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import bpe, decontam, lm, multi_index, near, oracles, pii, revisits, secret_scan, token_counts, toxicity
+from depotlens.llm import alignment, bpe, decontam, lm, multi_index, near, oracles, packing, pii, revisits, secret_scan, token_counts, toxicity, variants
 from depotlens.llm.text import crc_of
 
 
@@ -65,5 +65,21 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "hit.item_id", F.col("hit.first").alias("first_word"), F.col("hit.words").alias("n_words"), F.col("hit.equal").alias("n_equal"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_byte_bpe, op4_ngram_jaccard_join, op5_token_counts, op6_personal_data, op7_warc_revisits, op8_toxicity, op9_inverted_multi_index, op10_decontamination)}
+def op11_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return packing.packed(table(spark, folder, "documents"), f.read())
+
+
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    both = alignment.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.aligned(table(spark, folder, "documents"), both)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.grouped(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_lm_scoring, op2_secret_scan, op3_byte_bpe, op4_ngram_jaccard_join, op5_token_counts, op6_personal_data, op7_warc_revisits, op8_toxicity,
+    op9_inverted_multi_index, op10_decontamination, op11_sequence_packing, op12_tokenizer_alignment, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op7_warc_revisits": oracles.OP7}

@@ -7,14 +7,18 @@ import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
+import test_alignment
 import test_lm
+import test_packing
 import test_pii
+import test_variants
 import tiktoken
 from tests_llm_brute import brute_classes, shares_passage
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from check_oracle import normal, table
-from depotlens.llm import bpe, lm, queries
+from depotlens.llm import alignment, bpe, lm, queries
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +28,7 @@ def docs(spark, folder):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
@@ -118,3 +122,18 @@ def test_op10(spark, folder, docs):
     items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     got = {r.doc_id for r in queries.op10_decontamination(spark, folder).collect()}
     assert {r.doc_id for r in docs if shares_passage(r.text, items, 11)} <= got <= {r.doc_id for r in docs if shares_passage(r.text, items, 4)}
+
+
+def test_op11(spark, folder, docs):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert test_packing.checked(queries.op11_sequence_packing(spark, folder).collect(), {r.doc_id: r.text for r in docs}, library) < 0.02
+
+
+def test_op12(spark, folder, docs):
+    both = alignment.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    got = queries.op12_tokenizer_alignment(spark, folder).collect()
+    assert len(got) == len(docs) and test_alignment.shown(got) == test_alignment.plain({r.doc_id: r.text for r in docs}, both)
+
+
+def test_op13(spark, folder, docs):
+    assert test_variants.rows_of(queries.op13_spelling_variants(spark, folder)) == test_variants.brute([(r.doc_id, r.text) for r in docs])
