@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _CUT = np.zeros(256, bool)
 _CUT[[9, 10, 32]] = True
 # Last bytes of the blanks beyond ASCII (U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000).
@@ -47,23 +49,25 @@ class Chunks:
         self.pieces: list[bytes] = coded.dictionary.to_pylist()
 
 
-def _text_starts(size: int, at: np.ndarray) -> np.ndarray:
-    own = np.zeros(size + 1, bool)
-    own[at] = True
-    return own
-
-
 def words(texts: pa.Array) -> tuple[Chunks, np.ndarray]:
-    """Runs without ASCII blanks, and whether a line ends after each."""
+    """Runs without ASCII blanks, and whether a line ends after each; a full stop or comma that ends a run after an ASCII letter is a piece of its own."""
     raw, at = bytes_of(texts)
+    n = len(raw)
     inside = ~_BLANK[raw]
-    edge = _text_starts(len(raw), at)
-    before = np.concatenate([[False], inside[:-1]]) if len(raw) else inside
-    after = np.concatenate([inside[1:], [False]]) if len(raw) else inside
-    first = np.flatnonzero(inside & (~before | edge[:-1]))
-    last = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    for edge, own in ((at[:-1], begins), (at[1:] - 1, ends)):  # runs don't go on into the next text
+        edge = edge[(edge >= 0) & (edge < n)]
+        own[edge] = inside[edge]
+    stop = np.flatnonzero(ends)
+    stop = stop[((raw[stop] == 44) | (raw[stop] == 46)) & ~begins[stop]]
+    stop = stop[_LETTER[raw[stop - 1]]]
+    begins[stop] = True
+    ends[stop - 1] = True
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     lines = np.flatnonzero(raw == 10)
-    line_ends = np.searchsorted(lines, np.append(first[1:], len(raw))[:len(first)]) > np.searchsorted(lines, last)
+    line_ends = np.searchsorted(lines, np.append(first[1:], n)[:len(first)]) > np.searchsorted(lines, last)
     return Chunks(raw[inside], at, first, last), line_ends
 
 
@@ -74,8 +78,9 @@ def blank_led(texts: pa.Array) -> Chunks:
     cut can see it, as long as no token goes on with a space, tab or line feed after anything but a space.
     """
     raw, at = bytes_of(texts)
-    edge = _text_starts(len(raw), at)[:-1]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
     one, two, three = (np.concatenate([np.zeros(k, np.uint8), raw[:-k]])[:len(raw)] for k in (1, 2, 3))
     wide = _WIDE_END[one] & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3)))
-    first = np.flatnonzero(edge | (_CUT[raw] & ~_BLANK[one] & ~wide))
+    first = np.flatnonzero(edge[:-1] | (_CUT[raw] & ~_BLANK[one] & ~wide))
     return Chunks(raw, at, first, np.append(first[1:], len(raw)))

@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +46,7 @@ def _tokenizer(json: str):
     return Tokenizer.from_str(json)
 
 
-def ends_sentence(word: str) -> bool:
-    return word.rstrip("\"')]}»”’").endswith((".", "!", "?", "…", "。", "！", "？"))
+SENTENCE_END = "[.!?…。！？][\"')\\]}»”’]*$"
 
 
 def encoded_words(own: list[str], tokenizer, together: int = 500) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +70,7 @@ class Stream:
         own = [p.decode() for p in cut.pieces]
         flat, sizes = encoded_words(own, tokenizer)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        stops = np.fromiter(map(ends_sentence, own), bool, len(own))
+        stops = pc.match_substring_regex(pa.array(own, pa.large_string()), SENTENCE_END).to_numpy(zero_copy_only=False).astype(bool)
         ends = np.concatenate([[0], np.cumsum(sizes[cut.ids])])  # tokens of the words before
         n = len(texts)
         self.at = ends[cut.starts] + np.arange(n + 1)
@@ -80,22 +79,23 @@ class Stream:
         inside[self.at[1:] - 1] = False
         self.ids[inside] = flat[chunks.spans_in(cut.ids, starts)]
         owner = np.repeat(np.arange(n), np.diff(cut.starts))
-        self.sentences = (ends[1:] + owner)[(stops[cut.ids] if len(own) else np.zeros(0, bool)) | line_ends]
+        self.sentences = (ends[1:] + owner)[stops[cut.ids] | line_ends]
 
 
 def places(stream: Stream, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(ascending places where a window may begin or end, cost of a cut there); the last window may be cut anywhere."""
     size = stream.at[-1]
-    found = np.union1d(stream.sentences, stream.at)
-    gaps = np.diff(found)
-    wide = np.flatnonzero(gaps > settings.long_sentence)
-    inner = [np.arange(found[k] + settings.long_sentence, found[k + 1], settings.long_sentence) for k in wide]
-    tail = np.arange(max(0, size - settings.window), size)
-    every = np.union1d(found, np.concatenate([tail, *inner]))
-    cost = np.full(len(every), 2 * settings.truncation, np.int64)
-    cost[np.searchsorted(every, stream.sentences)] = settings.truncation
-    cost[np.searchsorted(every, stream.at)] = 0
-    return every, cost
+    cost = np.full(size + 1, -1, np.int32)
+    cost[max(0, size - settings.window):] = 2 * settings.truncation
+    known = np.zeros(size + 1, bool)
+    known[stream.sentences] = known[stream.at] = True
+    found = np.flatnonzero(known)
+    for k in np.flatnonzero(np.diff(found) > settings.long_sentence):
+        cost[found[k] + settings.long_sentence:found[k + 1]:settings.long_sentence] = 2 * settings.truncation
+    cost[stream.sentences] = settings.truncation
+    cost[stream.at] = 0
+    at = np.flatnonzero(cost >= 0)
+    return at, cost[at]
 
 
 def windows(at: np.ndarray, cost: np.ndarray, window: int) -> tuple[list[int], int]:
@@ -104,31 +104,41 @@ def windows(at: np.ndarray, cost: np.ndarray, window: int) -> tuple[list[int], i
     ``at`` begins with 0 and has no gap above ``window``.  Of equal costs the longest window is taken.
     """
     n = len(at)
-    exact = [[] for _ in range(n)]
+    number = np.full(at[-1] + 1, -1, np.int64)
+    number[at] = np.arange(n)
+    later, sooner = [], []  # places a power of two apart, by their later one, longest last
     power = 1
-    while power <= window:  # places a power of two before each, longest last
-        k = np.searchsorted(at, at - power)
-        hit = np.flatnonzero((at >= power) & (at[np.minimum(k, n - 1)] == at - power))
-        for j, i in zip(hit.tolist(), k[hit].tolist(), strict=True):
-            exact[j].append(i)
+    while power <= window:
+        hit = np.flatnonzero(at >= power)
+        before = number[at[hit] - power]
+        later.append(hit[before >= 0])
+        sooner.append(before[before >= 0])
         power *= 2
+    later, sooner = np.concatenate(later), np.concatenate(sooner)
+    order = np.argsort(later, kind="stable")
+    exact, bounds = sooner[order].tolist(), np.searchsorted(later[order], np.arange(n + 1)).tolist()
     p, cut = at.tolist(), cost.tolist()
-    best, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best + place, index), both ascending
+    best, back = [0], [0]
+    keys, queue, head = [0], [0], 0  # best + place and index, both ascending from the head on
     for j in range(1, n):
         here = p[j]
-        while here - p[queue[0][1]] > window:
-            queue.popleft()
-        low, i = queue[0]
-        low += window - here
-        for e in reversed(exact[j]):
-            if best[e] < low:
-                low, i = best[e], e
-        best[j], back[j] = low + cut[j], i
-        key = best[j] + here
-        while queue and queue[-1][0] > key:
+        while p[queue[head]] < here - window:
+            head += 1
+        i = queue[head]
+        low = keys[head] + window - here
+        for k in range(bounds[j + 1] - 1, bounds[j] - 1, -1):
+            if best[exact[k]] < low:
+                i = exact[k]
+                low = best[i]
+        low += cut[j]
+        best.append(low)
+        back.append(i)
+        key = low + here
+        while len(keys) > head and keys[-1] > key:
+            keys.pop()
             queue.pop()
-        queue.append((key, j))
+        keys.append(key)
+        queue.append(j)
     chosen = [n - 1]
     while chosen[-1]:
         chosen.append(back[chosen[-1]])
@@ -157,7 +167,7 @@ def _pieces(batch: pa.RecordBatch, tokenizer, settings: Settings, first_sequence
 def packed(docs: DataFrame, tokenizer_json: str, settings: Settings = Settings(), keep_ids: bool = False) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), with ``keep_ids`` also its ids.
 
-    ``tokenizer_json`` is the text of a tokenizer file whose words never cross a blank.  No shuffle: each task packs
+    ``tokenizer_json`` is the text of a tokenizer file whose words never cross a blank, or a letter and the full stop or comma that ends its word.  No shuffle: each task packs
     its rows in their order, a slice of texts at a time, so at most one window a slice is short for want of text.
     Sequences are numbered by task; rows must come in a repeatable order (files), so that a task run again gives the
     same.  A null text has the separator only, a null id stays null, repeated rows are packed each, a text of any
