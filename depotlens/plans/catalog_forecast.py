@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from depotlens.operators import features as ft
 from depotlens.operators import forecast as fc
-from depotlens.operators import joins, retrieval, rollups
+from depotlens.operators import boosting, joins, retrieval, rollups
 from depotlens.operators import ledger as lg
 from depotlens.plans.registry import STEPS, query
 from depotlens.session import materialise, work_dir
@@ -38,16 +38,15 @@ def feature_table(d: Domain):
 
 
 def demand_model(d: Domain):
-    """(model, scored hold-out, medians) of the depot demand."""
+    """(model, scored hold-out) of the depot demand."""
 
     def fit(path):
-        model, scored, medians = fc.train_demand(feature_table(d), 90, DEMAND)
-        model.write().save(f"{path}/model")
+        model, scored = fc.train_demand(feature_table(d), 90, DEMAND)
+        model.save(f"{path}/model")
         scored.write.parquet(f"{path}/scored")
-        medians.write.parquet(f"{path}/medians")
 
     path = saved(d, "demand", fit)
-    return fc.PipelineModel.load(f"{path}/model"), d.spark.read.parquet(f"{path}/scored"), d.spark.read.parquet(f"{path}/medians")
+    return boosting.load(d.spark, f"{path}/model"), d.spark.read.parquet(f"{path}/scored")
 
 
 @query("F02_select_features")
@@ -65,23 +64,30 @@ def f04(d: Domain):
 
 @query("F05_train_demand")
 def f05(d: Domain):
-    _, scored, _ = demand_model(d)
+    _, scored = demand_model(d)
     return lg.metrics(scored, "passenger_kms", "predicted", ["depot"])
 
 
+@query("F06_demand_against_naive")
+def f06_naive(d: Domain):
+    """Hold-out error of the demand model beside that of the value a week ago, overall and by depot."""
+    _, scored = demand_model(d)
+    return fc.against_naive(scored, "passenger_kms", "predicted", "pkm_lag_7", ["depot"])
+
+
 @query("T09_top_features")
 def t09(d: Domain):
-    model, _, _ = demand_model(d)
+    model, _ = demand_model(d)
     return fc.top_features(model, 30)
 
 
 @query("F16_model_registry")
 def f16(d: Domain):
     path = work_dir(d.spark, "models")
-    model, scored, _ = demand_model(d)
+    model, scored = demand_model(d)
     scores = lg.metrics(scored.withColumn("scope", F.lit("all")), "passenger_kms", "predicted", ["scope"])
     fc.save_model(model, scores, path, "v1", "2001-11-05")
-    again = fc.predict(fc.load_model(path, "v1"), scored.drop("predicted"))
+    again = fc.predict(boosting.load(d.spark, f"{path}/v1/model"), scored.drop("predicted"), "predicted")
     history = d.spark.read.parquet(f"{path}/history")
     check = lg.metrics(again.withColumn("scope", F.lit("all")), "passenger_kms", "predicted", ["scope"]).select("scope", F.col("rmse").alias("reloaded_rmse"))
     return history.join(check, "scope")
@@ -107,18 +113,17 @@ def f07(d: Domain):
 @query("F09_forecast_future")
 def f09(d: Domain):
     gold = d.written("gold")
-    model, _, medians = demand_model(d)
-    rows = fc.fill_medians(fc.future_rows(gold, d.lunar, d.holidays, d.weather), medians)
-    preds = fc.predict(model, rows).select("depot", F.col("date").alias("prediction_date"), F.col("predicted").alias("predicted_passenger_kms"))
+    model, _ = demand_model(d)
+    rows = fc.future_rows(gold, d.lunar, d.holidays, d.weather)
+    preds = fc.predict(model, rows, "predicted").select("depot", F.col("date").alias("prediction_date"), F.col("predicted").alias("predicted_passenger_kms"))
     return lg.prediction_rows(preds, rollups.rolling_or(gold))
 
 
 @query("F11_passengers_2day")
 def f11(d: Domain):
     history = materialise(d.daily.select("depot", "date", "passengers_per_day"), "history")
-    path = saved(d, "passengers", lambda to: fc.train_passengers(history, PASSENGERS).write().save(to))
-    model = fc.PipelineModel.load(path)
-    raw = fc.passengers_2day(history, model)
+    path = saved(d, "passengers", lambda to: fc.train_passengers(history, PASSENGERS).save(to))
+    raw = fc.passengers_2day(history, boosting.load(d.spark, path))
     store = d.depots.select("depot", F.lit(None).cast("double").alias("stored_today"), F.lit(None).cast("double").alias("stored_tomorrow"))
     return lg.blend(raw, store)
 
@@ -128,9 +133,8 @@ def f14(d: Domain):
     kinds = dict(zip(fc.ABSENCE_TARGETS, "LSA", strict=True))
     sheet = materialise(d.absences.groupBy("depot", "date").agg(*[F.count_if(F.col("leave_type") == k).cast("double").alias(t) for t, k in kinds.items()]), "sheet")
     calendar = d.holidays.select("date", "fes_hol_code", "fes_hol_category")
-    path = saved(d, "absence", lambda to: [m.write().save(f"{to}/{t}") for t, m in fc.train_absence(sheet, calendar, settings=ABSENCE).items()])
-    models = {t: fc.PipelineModel.load(f"{path}/{t}") for t in fc.ABSENCE_TARGETS}  # years of orders: every target has its model
-    return fc.absence_ahead(sheet, calendar, models, 7)
+    path = saved(d, "absence", lambda to: fc.train_absence(sheet, calendar, settings=ABSENCE).save(to))
+    return fc.absence_ahead(sheet, calendar, boosting.load(d.spark, path), 7)
 
 
 def duty_table(d: Domain):
@@ -138,32 +142,30 @@ def duty_table(d: Domain):
     return fc.duty_rows(duties, d.health)
 
 
-def duty_models(d: Domain):
-    """(rows, km model, hours model, scored rest)."""
+def duty_model(d: Domain):
+    """(rows, model of km and hours, scored rest)."""
 
     def fit(path):
         duty_table(d).write.parquet(f"{path}/rows")
-        km, hours, scored = fc.train_duties(d.spark.read.parquet(f"{path}/rows"), DUTIES)
-        km.write().save(f"{path}/km")
-        hours.write().save(f"{path}/hours")
+        model, scored = fc.train_duties(d.spark.read.parquet(f"{path}/rows"), DUTIES)
+        model.save(f"{path}/model")
         scored.write.parquet(f"{path}/scored")
 
     path = saved(d, "duties", fit)
-    return (d.spark.read.parquet(f"{path}/rows"), fc.PipelineModel.load(f"{path}/km"), fc.PipelineModel.load(f"{path}/hours"),
-            d.spark.read.parquet(f"{path}/scored"))
+    return d.spark.read.parquet(f"{path}/rows"), boosting.load(d.spark, f"{path}/model"), d.spark.read.parquet(f"{path}/scored")
 
 
 @query("F15_km_hours_grid")
 def f15(d: Domain):
-    rows, km, hours, _ = duty_models(d)
-    return fc.km_hours_grid(rows, km, hours, "2001-12-01", 6)
+    rows, model, _ = duty_model(d)
+    return fc.km_hours_grid(rows, model, "2001-12-01", 6)
 
 
 @query("F15_km_hours_metrics")
 def f15b(d: Domain):
-    scored = duty_models(d)[3]
-    km = lg.metrics(scored.withColumn("target", F.lit("km")), "opd_kms", "pred_km", ["target"])
-    return km.unionByName(lg.metrics(scored.withColumn("target", F.lit("hours")), "steering_hours", "pred_hours", ["target"]))
+    scored = duty_model(d)[2]
+    km = lg.metrics(scored.withColumn("target", F.lit("km")), "opd_kms", "pred_opd_kms", ["target"])
+    return km.unionByName(lg.metrics(scored.withColumn("target", F.lit("hours")), "steering_hours", "pred_steering_hours", ["target"]))
 
 
 # ---- retrieval ---------------------------------------------------------------------------
