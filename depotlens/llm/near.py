@@ -24,10 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.llm.graph import components
-from depotlens.llm.text import U64, Words, distinct, grams, mixed, odd_numbers, slices, texts_of
+from depotlens.llm.text import U64, Words, distinct, given_back, grams, mixed, odd_numbers, slices, texts_of
 from depotlens.session import materialise
 
 
+SLICE_BYTES = 6_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     n: int = 5
@@ -80,14 +83,14 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 bands, sizes = band_hashes(texts_of(part), s)
                 count = np.where(sizes > 0, bands.shape[1], 0)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(bands[sizes > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists], ["key", "bands"])
 
-    own = docs.select(text_key("text").alias("key"), "text").mapInArrow(run, "key binary, bands array<long>")
+    own = docs.select(text_key("text").alias("key"), "text").mapInArrow(lambda b: given_back(run(b)), "key binary, bands array<long>")
     return own.groupBy("key").agg(F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
 
 
@@ -189,9 +192,15 @@ def kept(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row of each class, with its own columns: that of the least doc_id (NULL last; among rows of one id by key and hash)."""
     found = materialise(classes(docs, s), "near-classes").select(F.col("key").alias("__key"), F.col("class").alias("__class"))
     hashed = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*hashed))
-    narrow = docs.groupBy(text_key("text").alias("__key")).agg(F.min(order).alias("__order")).join(found, "__key")
-    first = narrow.groupBy("__class").agg(F.min(F.struct("__order", "__key")).alias("__first")).select(F.col("__first.__key").alias("__key"))
-    # Copies meet before the shuffle: a text with a third of all rows sends one row of each task.
-    one = docs.groupBy(text_key("text").alias("__key")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return one.join(first, "__key", "left_semi").select("__row.*")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__hash"))
+    named = docs.withColumns({"__key": text_key("text"), "__hash": F.xxhash64(*hashed)})
+    # Rows are chosen by key, id and hash alone; their texts come by a semi-join that sorts none of them.
+    narrow = named.groupBy("__key").agg(F.min(order).alias("__order"), F.min_by("__hash", order).alias("__hash")).join(found, "__key")
+    first = narrow.groupBy("__class").agg(F.min(F.struct("__order", "__key", "__hash")).alias("f")).select("f.__key", "f.__hash")
+    first = materialise(first, "near-first")
+    same = ["__key", "__hash"]
+    alike = named.select(*same).join(first, same, "left_semi").groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    alike = materialise(alike, "near-alike")  # rows that others equal in all columns: one of them stays
+    one = named.join(first.hint("shuffle_hash"), same, "left_semi").join(alike, same, "left_anti")
+    again = named.join(alike, same, "left_semi").groupBy(*same).agg(F.any_value(F.struct(*docs.columns)).alias("__row"))
+    return one.select(*docs.columns).unionByName(again.select("__row.*"))

@@ -6,6 +6,7 @@ so a distinct word of a slice is handled in Python once, and all its places in n
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
             yield batch.slice(a, b - a)
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which later tasks use again, gives freed memory back to the machine."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The texts, null as empty."""
     return pc.fill_null(batch.column(column), "")

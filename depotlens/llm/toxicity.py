@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from depotlens.llm.text import Words, crc_of, distinct, hash_words, only, plain, slices, texts_of
+from depotlens.llm.text import Words, crc_of, distinct, given_back, hash_words, only, plain, slices, texts_of
+
+
+SLICE_BYTES = 6_000_000
 
 
 @dataclass(frozen=True)
@@ -74,7 +77,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFram
     known = only(labels, doc_id="doc_id", label="toxic").filter("doc_id IS NOT NULL AND label IN (0, 1)")
     known = known.filter(crc_of("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
-    return only(docs, doc_id="doc_id", text="text").join(F.broadcast(picked), "doc_id").select("text", "label")  # sample_rows bounds it
+    rows = only(docs, doc_id="doc_id", text="text").join(F.broadcast(picked), "doc_id")  # sample_rows bounds it
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))  # of a repeated id's texts
+    return one.select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machine:
@@ -83,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machi
 
     def counted(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 rows, terms = term_pairs(texts_of(part), everything)
                 label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[rows]
                 code, n = np.unique(terms * 2 + label, return_counts=True)
@@ -162,12 +167,12 @@ def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFram
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 rows, terms = term_pairs(texts_of(part), shared.value.place)
                 score = shared.value.score(rows, terms, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, column])
 
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(column, DoubleType())]))
+    return own.mapInArrow(lambda b: given_back(run(b)), StructType([*own.schema.fields, StructField(column, DoubleType())]))
 
 
 def kept(docs: DataFrame, labels: DataFrame, limit: float = 0.5, s: Settings = Settings()) -> DataFrame:

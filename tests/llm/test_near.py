@@ -66,6 +66,12 @@ def test_one_row_of_each_class_stays(spark, rows):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(classes)
 
 
+def test_one_of_rows_that_are_the_same_stays(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(7, text), (7, text), (7, text), (None, text), (9, "other"), (None, None), (None, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.text)) for r in near.kept(docs).collect()) == [("7", text), ("9", "other"), ("None", "None")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert near.joined(docs).count() == 0 and near.kept(docs).count() == 0

@@ -54,3 +54,10 @@ def test_labels_of_one_kind_or_none(spark, case):
     assert all(r.score < 1e-12 for r in toxicity.scored(docs, toxicity.train(docs, labels.limit(0))).collect())
     assert all(r.score > 1 - 1e-12 for r in toxicity.scored(docs, toxicity.train(docs, labels.filter("toxic = 1"))).collect())
     assert toxicity.scored(docs.limit(0), toxicity.train(docs, labels)).count() == 0
+
+
+def test_a_repeated_labelled_id_takes_one_place(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4, 6, 7)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, toxicity.Settings()).collect()
+    assert len(rows) <= 2 and len({r.label for r in rows}) == len(rows)
