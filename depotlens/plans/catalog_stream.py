@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from depotlens.plans.registry import STEPS, query
 from depotlens.session import work_dir
+from depotlens.sources import snapshots
 from depotlens.sources.views import Domain
 from depotlens.streaming import ingest as st
 
@@ -54,7 +55,7 @@ def load_all(d: Domain, rows, reject: str):
 @query("R01_file_drop_ingest", "SELECT * FROM event_days", "actual_kms occupancy_ratio")
 def r01(d: Domain):
     master, _ = load_all(d, event_days(d).withColumn("file", daily_name()), "batch")
-    return d.spark.read.parquet(master).select(*_COLS)
+    return snapshots.read(d.spark, master, snapshots.schema(d.spark, master)).select(*_COLS)
 
 
 STEPS["event_services"] = """
@@ -82,7 +83,7 @@ def r01b(d: Domain):
     named.select(*columns, "file").write.mode("append").option("header", True).partitionBy("file").csv(drop)
     handler = st.load_handler(f"{base}/master", d.depots, "2024-02-01", f"{base}/errors", kind="service")
     st.ingest(st.file_stream(d.spark, drop, st.SERVICE_SCHEMA + ", file string"), handler, f"{base}/checkpoint").awaitTermination()
-    return d.spark.read.parquet(f"{base}/master").select("depot", "date", "service_number", "actual_kms", "actual_trips", "revenue")
+    return snapshots.read(d.spark, f"{base}/master", snapshots.schema(d.spark, f"{base}/master")).select("depot", "date", "service_number", "actual_kms", "actual_trips", "revenue")
 
 
 @query("S14_archive_files", "SELECT date, count(*) AS n FROM event_days GROUP BY 1")
@@ -105,7 +106,7 @@ def r02(d: Domain):
     sunday = F.weekday("date") == 6
     named = event_days(d).withColumn("file", F.when(sunday, F.concat(F.lit("x"), daily_name(), F.lit(".txt"))).otherwise(daily_name()))
     master, _ = load_all(d, named, "file")
-    return d.spark.read.parquet(master).select(*_COLS)
+    return snapshots.read(d.spark, master, snapshots.schema(d.spark, master)).select(*_COLS)
 
 
 @query("R02_error_log", """
@@ -131,7 +132,7 @@ def r03(d: Domain):
         st.correct(batch, f"{base}/master", ["depot", "date"])
 
     st.ingest(st.file_stream(d.spark, drop, _FILE_SCHEMA), handle, f"{base}/checkpoint").awaitTermination()
-    return d.spark.read.parquet(f"{base}/master").select(*_COLS)
+    return snapshots.read(d.spark, f"{base}/master", snapshots.schema(d.spark, f"{base}/master")).select(*_COLS)
 
 
 def _events(d: Domain):
@@ -141,20 +142,20 @@ def _events(d: Domain):
 
 
 @query("R04_daily_stream", """
-    SELECT event_type, ts::DATE AS day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY 1, 2
-    HAVING (ts::DATE + INTERVAL 1 DAY) <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+    SELECT event_type, ts::DATE AS day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total,
+           (ts::DATE + INTERVAL 1 DAY) <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) AS closed FROM events GROUP BY 1, 2""")
 def r04(d: Domain):
     out = work_dir(d.spark, "daily-stream")
-    return st.run_to_table(st.daily_rollup(_events(d), ["event_type"], "amount"), f"{out}/table", f"{out}/checkpoint")
+    return st.run_to_table(st.daily_rollup(_events(d), ["event_type"], "amount"), f"{out}/table", f"{out}/checkpoint", ["event_type", "day"])
 
 
 @query("R05_rolling_stream", """
-    SELECT event_type, first_day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total
-    FROM (SELECT *, unnest(generate_series(ts::DATE - INTERVAL 6 DAY, ts::DATE, INTERVAL 1 DAY))::DATE AS first_day FROM events) GROUP BY 1, 2
-    HAVING first_day + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+    SELECT event_type, first_day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total,
+           first_day + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) AS closed
+    FROM (SELECT *, unnest(generate_series(ts::DATE - INTERVAL 6 DAY, ts::DATE, INTERVAL 1 DAY))::DATE AS first_day FROM events) GROUP BY 1, 2""")
 def r05(d: Domain):
     out = work_dir(d.spark, "rolling-stream")
-    return st.run_to_table(st.rolling_rollup(_events(d), ["event_type"], "amount"), f"{out}/table", f"{out}/checkpoint")
+    return st.run_to_table(st.rolling_rollup(_events(d), ["event_type"], "amount"), f"{out}/table", f"{out}/checkpoint", ["event_type", "first_day"])
 
 
 @query("R06_close_stream", """
@@ -169,10 +170,10 @@ def r06(d: Domain):
         "depot", F.col("date").alias("prediction_date"), (F.col("passengers_per_day") * 2.0).alias("predicted_passenger_kms"),
         F.lit("pending").alias("status"), (F.col("passengers_per_day") / 20.0).alias("estimated_kms"),
         *[F.lit(None).cast(t).alias(c) for c, t in st.lg.ACTUALS.items()], F.trunc("date", "MM").alias("month"))
-    predictions.write.mode("overwrite").partitionBy("month").parquet(f"{base}/ledger")
+    snapshots.commit(predictions, f"{base}/ledger")
     drop_files(days.filter(F.dayofmonth("date") <= 20).withColumn("file", daily_name()), f"{base}/drop")
     stream = st.file_stream(d.spark, f"{base}/drop", _FILE_SCHEMA).withColumn(
         "passenger_kms", F.col("occupancy_ratio") * F.col("actual_kms") * 45)
     st.ingest(stream, st.close_handler(f"{base}/ledger"), f"{base}/checkpoint").awaitTermination()
-    return d.spark.read.parquet(f"{base}/ledger").select(
+    return snapshots.read(d.spark, f"{base}/ledger", snapshots.schema(d.spark, f"{base}/ledger")).select(
         "depot", "prediction_date", "status", "predicted_passenger_kms", "actual_passenger_kms")

@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from depotlens.functions.timeparts import month_start
 from depotlens.operators import ledger as lg
 from depotlens.operators.quality import FILE_KINDS, WARNINGS, preflight
 from depotlens.operators.reshape import upsert
 from depotlens.session import materialise
+from depotlens.sources import snapshots
 
 SERVICE_SCHEMA = ("depot string, date date, service_number string, actual_kms double, actual_trips double, seat_kms double, "
                   "passenger_kms double, occupancy_ratio double, revenue double")
@@ -48,10 +50,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def _stored(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
-    return spark.read.schema(empty.schema).parquet(path) if exists(spark, path) else empty.limit(0)
-
-
 def data_files(spark: SparkSession, path: str) -> set[str]:
     """Names (folder and file) of the data files anywhere under a folder, which may be missing."""
     if not exists(spark, path):
@@ -96,28 +94,31 @@ def newest_per_key(batch: DataFrame, keys: list[str]) -> DataFrame:
     return batch.groupBy(*keys).agg(F.max(F.struct("file", *rest)).alias("r")).select(*keys, *[F.col(f"r.{c}") for c in rest])
 
 
+def months_of(rows: DataFrame) -> list:
+    """The distinct months of the rows, of which the calendar has few."""
+    return [r.month for r in rows.select("month").distinct().collect()]
+
+
 def correct(batch: DataFrame, master: str, keys: list[str]) -> None:
-    """Upsert a batch into the month-partitioned master table.
+    """Upsert a batch into the month-partitioned master table, in one commit (``snapshots``).
 
-    Only the months the batch touches are read and replaced, through a staged copy,
-    so a correction of one day costs one month whatever the table's size.
+    Only the months the batch touches are read and replaced, so a correction of one day costs one month whatever the
+    table's size.  If someone else replaces one of them meanwhile, the correction is made again from the new one.
     """
+    spark = batch.sparkSession
     inbound = materialise(newest_per_key(batch, keys).withColumn("month", month_start(F.col("date"))), "inbound")
-    touched = stored_months(batch.sparkSession, master, inbound, "month").select(*inbound.columns)
-    staged = materialise(upsert(touched, inbound, keys), "staged")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(master)
+    _replace(spark, master, inbound.schema, months_of(inbound), lambda touched: upsert(touched, inbound, keys))
 
 
-MOST_MONTHS = 1200  # a century: months stated one by one to the scan
-
-
-def stored_months(spark: SparkSession, path: str, rows: DataFrame, month: str) -> DataFrame:
-    """The stored rows of the months in ``rows``, named to the scan as values of the partition column, so that no other month is read."""
-    months = [r[0] for r in rows.select(month).distinct().limit(MOST_MONTHS + 1).collect()]
-    stored = _stored(spark, path, rows)
-    if len(months) > MOST_MONTHS:
-        raise ValueError("a batch that touches more months than a century has isn't a correction")
-    return stored.filter(F.col("month").isin(months))
+def _replace(spark: SparkSession, path: str, schema, months: list, change: Callable[[DataFrame], DataFrame]) -> None:
+    while True:
+        number, _ = snapshots.manifest(spark, path)
+        touched = snapshots.read(spark, path, schema, only=months, at=number)
+        try:
+            snapshots.commit(change(touched), path, base=number)
+            return
+        except snapshots.Conflict:
+            continue
 
 
 def write_batch(rows: DataFrame, path: str, epoch: int) -> None:
@@ -147,27 +148,19 @@ def load_handler(master: str, depots: DataFrame, as_of: str, error_log: str, key
 
     def handle(batch: DataFrame, epoch: int) -> None:
         batch = materialise(batch, "batch")
-        stored = _stored(batch.sparkSession, master, batch)
+        stored = snapshots.read(batch.sparkSession, master, batch.schema)
         correct(gate(batch, stored, depots, as_of, error_log, reject, kind, epoch), master, list(keys or FILE_KINDS[kind]["keys"]))
 
     return handle
 
 
 def close_handler(ledger: str):
-    """Complete pending predictions as actuals arrive, rewriting only the months touched."""
+    """Complete pending predictions as actuals arrive, replacing only the months touched."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         actuals = materialise(lg.ledger_actuals(batch).withColumn("month", month_start(F.col("date"))), "actuals")
-        every, touched = spark.read.parquet(ledger), actuals.select("month").distinct()
-        months = [r[0] for r in touched.limit(MOST_MONTHS + 1).collect()]
-        if len(months) > MOST_MONTHS:  # too many to name to the scan
-            stored = every.join(touched, "month", "left_semi").select(*every.columns)
-        else:
-            stored = every.filter(F.col("month").isin(months))
-        actuals = actuals.drop("month")
-        staged = materialise(lg.close_pending(stored, actuals), "closed")
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(ledger)
+        _replace(spark, ledger, snapshots.schema(spark, ledger), months_of(actuals), lambda stored: lg.close_pending(stored, actuals.drop("month")))
 
     return handle
 
@@ -178,28 +171,34 @@ def event_stream(spark: SparkSession, folder: str, schema, pattern: str) -> Data
 
 
 def daily_rollup(rows: DataFrame, keys: list[str], value: str, delay: str = "2 days", ts: str = "ts") -> DataFrame:
-    """Closed calendar days per key; rows later than the delay are dropped (corrections go through ``correct``)."""
-    return (
-        rows.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), *keys)
-        .agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-        .select(*keys, F.to_date("window.start").alias("day"), "n", "total")
-    )
+    """Calendar days per key; rows later than the delay are dropped (corrections go through ``correct``)."""
+    return _windows(rows.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), *keys), keys, value, ts, "day")
 
 
 def rolling_rollup(rows: DataFrame, keys: list[str], value: str, delay: str = "2 days", ts: str = "ts") -> DataFrame:
     """Seven-day windows advancing by a day."""
-    return (
-        rows.withWatermark(ts, delay).groupBy(F.window(ts, "7 days", "1 day"), *keys)
-        .agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-        .select(*keys, F.to_date("window.start").alias("first_day"), "n", "total")
-    )
+    return _windows(rows.withWatermark(ts, delay).groupBy(F.window(ts, "7 days", "1 day"), *keys), keys, value, ts, "first_day")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run an append-mode stream over all that is available and read what it wrote."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        .option("path", path).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+def _windows(grouped, keys: list[str], value: str, ts: str, day: str) -> DataFrame:
+    made = grouped.agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(ts).alias("_newest"))
+    return made.select(*keys, F.to_date("window.start").alias(day), "n", "total", F.col("window.end").alias("_end"), "_newest")
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], delay: str = "2 days") -> DataFrame:
+    """Run a roll-up over all that is available and read the newest state of every window, with ``closed``.
+
+    Each batch writes the windows that it changed, under its number, so open windows are there as well: provisional until
+    the watermark, the newest time less the delay, has passed their end.
+    """
+    def handle(batch: DataFrame, epoch: int) -> None:
+        write_batch(batch, path, epoch)
+
+    stream.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    written = spark.read.schema(StructType([*stream.schema, StructField("batch_id", LongType())])).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("w")).select(*keys, "w.*")
+    mark = written.agg(F.max("_newest")).first()[0]
+    closed = F.col("_end") <= F.lit(mark) - F.expr(f"INTERVAL {delay}")
+    return newest.withColumn("closed", closed).drop("_end", "_newest")

@@ -2,8 +2,13 @@
 
 import datetime as dt
 
+import pyarrow.compute as pc
+import pytest
 from conftest import rows
+from pyspark.errors import PySparkException
+from pyspark.sql.types import StructType
 
+from depotlens.sources import snapshots
 from depotlens.streaming import ingest as st
 
 HEADER = "depot,date,passengers_per_day,actual_kms,occupancy_ratio\n"
@@ -22,7 +27,11 @@ def run(spark, base, drops, reject="batch", archive=None, max_files=None):
     stream = st.file_stream(spark, str(drops), archive=archive, max_files=max_files)
     handler = st.load_handler(str(base / "master"), dims(spark), "2024-02-01", str(base / "errors"), reject=reject)
     st.ingest(stream, handler, str(base / "checkpoint")).awaitTermination()
-    return spark.read.schema("depot string, date date, actual_kms double, month date").parquet(str(base / "master")).drop("month")
+    return table(spark, base / "master", "depot string, date date, actual_kms double")
+
+
+def table(spark, path, schema):
+    return snapshots.read(spark, str(path), StructType.fromDDL(schema))
 
 
 def test_corrections_replace_and_runs_resume(spark, tmp_path):
@@ -66,7 +75,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
                                   "depot string, date date, x double, file string")
     for _ in range(2):
         st.correct(batch, master, ["depot", "date"])
-    assert [r.x for r in spark.read.parquet(master).collect()] == [2.0]
+    assert [r.x for r in table(spark, master, "x double").collect()] == [2.0]
 
 
 def test_short_file_is_refused(spark, tmp_path):
@@ -100,11 +109,14 @@ def test_only_the_months_of_a_batch_are_read(spark, tmp_path):
     master = str(tmp_path / "m")
     days = [dt.date(2024, m, 3) for m in range(1, 13)]
     st.correct(spark.createDataFrame([("A", d, 1.0, "f") for d in days], "depot string, date date, x double, file string"), master, ["depot", "date"])
-    late = spark.createDataFrame([("A", days[4], dt.date(2024, 5, 1))], "depot string, date date, month date")
-    stored = st.stored_months(spark, master, late, "month")
-    plan = stored._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in plan and "2024-05-01" in plan or "PartitionFilters: [(month" in plan, plan
-    assert [r.date for r in stored.collect()] == [days[4]]
+    schema = StructType.fromDDL("depot string, date date, x double, month date")
+    stored = snapshots.read(spark, master, schema, only=[dt.date(2024, 5, 1)])
+    assert all("month=2024-05-01" in f for f in stored.inputFiles()) and [r.date for r in stored.collect()] == [days[4]]
+    before = snapshots.manifest(spark, master)[1]
+    st.correct(spark.createDataFrame([("A", days[4], 9.0, "g")], "depot string, date date, x double, file string"), master, ["depot", "date"])
+    after = snapshots.manifest(spark, master)[1]
+    assert {p for p in after if after[p] != before[p]} == {"month=2024-05-01"}
+    assert sorted(r.x for r in snapshots.read(spark, master, schema).collect()) == [1.0] * 11 + [9.0]
 
 
 def test_a_closing_batch_archives_every_file(spark, tmp_path):
@@ -123,13 +135,79 @@ def test_a_closing_batch_archives_every_file(spark, tmp_path):
     assert len(list(archive.rglob("part-0.csv"))) == 5 and st.archived_rows(spark, str(archive)).count() == 10
 
 
-def test_actuals_of_many_months_close_all_predictions(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(st, "MOST_MONTHS", 2)
-    days = [dt.date(2024, m, 3) for m in range(1, 6)]
-    actuals = ", ".join(f"{c} {t}" for c, t in st.lg.ACTUALS.items())
-    rows_ = [("A", d, 1.0, "pending", 1.0, *[None] * len(st.lg.ACTUALS), d.replace(day=1)) for d in days]
+def test_actuals_of_many_months_close_all_predictions(spark, tmp_path):
+    days = [dt.date(1850, 1, 3) + dt.timedelta(days=31 * k) for k in range(1300)]
+    ledger, actuals = str(tmp_path / "ledger"), ", ".join(f"{c} {t}" for c, t in st.lg.ACTUALS.items())
+    rows_ = [("A", d, 1.0, "pending", 1.0, *[None] * len(st.lg.ACTUALS), dt.date(2020, 1 + k % 5, 1)) for k, d in enumerate(days[:5])]
     schema = f"depot string, prediction_date date, predicted_passenger_kms double, status string, estimated_kms double, {actuals}, month date"
-    spark.createDataFrame(rows_, schema).write.partitionBy("month").parquet(str(tmp_path / "ledger"))
+    rows_ = [(*r[:-1], r[1].replace(day=1)) for r in rows_]
+    snapshots.commit(spark.createDataFrame(rows_, schema), ledger)
     batch = spark.createDataFrame([("A", d, 10, 5.0, 0.5, 2.5, "f") for d in days], st.DROP_SCHEMA + ", passenger_kms double, file string")
-    st.close_handler(str(tmp_path / "ledger"))(batch, 0)
-    assert [r.status for r in spark.read.parquet(str(tmp_path / "ledger")).collect()] == ["completed"] * 5
+    st.close_handler(ledger)(batch, 0)
+    assert [r.status for r in snapshots.read(spark, ledger, snapshots.schema(spark, ledger)).collect()] == ["completed"] * 5
+
+
+# ---- commits ---------------------------------------------------------------------------
+MONTHS = "x long, month date"
+
+
+def month_rows(spark, *rows_):
+    return spark.createDataFrame([(x, dt.date(2024, m, 1)) for x, m in rows_], MONTHS)
+
+
+def contents(spark, path, **more):
+    return sorted((r.x, r.month.month) for r in snapshots.read(spark, path, StructType.fromDDL(MONTHS), **more).collect())
+
+
+def test_a_commit_that_stops_half_way_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    snapshots.commit(month_rows(spark, (1, 1), (2, 2)), path)
+
+    def failing(batches):
+        """The first month is written when the second one fails."""
+        for batch in batches:
+            yield batch.filter(pc.equal(batch.column("x"), 10))
+            if 20 in batch.column("x").to_pylist():
+                raise RuntimeError("stopped between two partitions")
+
+    new = month_rows(spark, (10, 1), (20, 2)).coalesce(1).mapInArrow(failing, MONTHS)
+    with pytest.raises(PySparkException):
+        snapshots.commit(new, path)
+    assert contents(spark, path) == [(1, 1), (2, 2)] and snapshots.manifest(spark, path)[0] == 1
+
+
+def test_a_reader_sees_the_table_before_or_after_a_commit(spark, tmp_path):
+    path = str(tmp_path / "t")
+    snapshots.commit(month_rows(spark, (1, 1), (2, 2)), path)
+    reader = snapshots.read(spark, path, StructType.fromDDL(MONTHS))
+    assert snapshots.commit(month_rows(spark, (10, 1), (20, 2), (30, 3)), path) == 2
+    assert sorted(r.x for r in reader.collect()) == [1, 2]
+    assert contents(spark, path) == [(10, 1), (20, 2), (30, 3)] and contents(spark, path, at=1) == [(1, 1), (2, 2)]
+    assert contents(spark, path, only=[dt.date(2024, 3, 1), dt.date(2024, 9, 1)]) == [(30, 3)]
+    assert snapshots.expire(spark, path, keep=1) == 1 and contents(spark, path) == [(10, 1), (20, 2), (30, 3)]
+
+
+def test_commits_of_other_partitions_are_kept_and_of_the_same_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    snapshots.commit(month_rows(spark, (1, 1), (2, 2)), path)
+    snapshots.commit(month_rows(spark, (5, 2)), path, base=1)
+    assert snapshots.commit(month_rows(spark, (4, 1)), path, base=1) == 3
+    assert contents(spark, path) == [(4, 1), (5, 2)]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(month_rows(spark, (6, 2)), path, base=1)
+    assert not snapshots._publish(spark, path, 3, {}) and snapshots.manifest(spark, path)[0] == 3
+    assert contents(spark, str(tmp_path / "none")) == []
+
+
+def test_open_windows_are_provisional(spark, tmp_path):
+    """Two runs: the second changes an open day, a closed one drops what comes too late."""
+    folder = tmp_path / "in"
+
+    def run_once(rows_):
+        spark.createDataFrame([("a", dt.datetime(2024, 1, d, 5), v) for d, v in rows_], "k string, ts timestamp, v long").coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("k string, ts timestamp, v long").parquet(str(folder))
+        out = st.run_to_table(st.daily_rollup(stream, ["k"], "v"), str(tmp_path / "out"), str(tmp_path / "check"), ["k", "day"])
+        return sorted((r.day.day, r.n, r.total, r.closed) for r in out.collect())
+
+    assert run_once([(1, 1), (2, 2), (5, 3)]) == [(1, 1, 1, True), (2, 1, 2, True), (5, 1, 3, False)]
+    assert run_once([(5, 4), (1, 100), (9, 1)]) == [(1, 1, 1, True), (2, 1, 2, True), (5, 2, 7, True), (9, 1, 1, False)]
