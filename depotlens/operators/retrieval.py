@@ -19,7 +19,7 @@ SCORED = 512
 
 
 def _block_topk(docs: DataFrame, queries: list, k: int, cosine: bool, own_tag: bool) -> DataFrame:
-    """Best k of every Arrow batch per query: only k rows per query and batch leave a task."""
+    """Best k of every task per query: at most k rows per query leave a task, however many documents tie."""
     shared = docs.sparkSession.sparkContext.broadcast((
         np.array([q["query_id"] for q in queries]), np.array([q["vector"] for q in queries], dtype="float64"), np.array([q["tag"] for q in queries], object)))
 
@@ -29,12 +29,18 @@ def _block_topk(docs: DataFrame, queries: list, k: int, cosine: bool, own_tag: b
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
         return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
+    def best_of(found: pd.DataFrame) -> pd.DataFrame:
+        ordered = found.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True], kind="stable")
+        return ordered[ordered.groupby("query_id", sort=False).cumcount() < k]
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix, tags = shared.value
         matrix = unit(matrix) if cosine else matrix
+        best: dict[int, pd.DataFrame] = {}  # of each chunk of queries, over the batches so far
         for batch in batches:
             if batch.empty:
                 continue
+            batch = batch.sort_values("doc_id", kind="stable")
             doc_ids, doc_tags = batch["doc_id"].to_numpy(), batch["tag"].to_numpy()
             rows = np.stack(batch["vector"].to_numpy()).astype("float64")
             rows = unit(rows) if cosine else rows
@@ -43,12 +49,16 @@ def _block_topk(docs: DataFrame, queries: list, k: int, cosine: bool, own_tag: b
                 scores = rows @ matrix[at:at + SCORED].T
                 if own_tag:
                     scores = np.where(doc_tags[:, None] == tags[None, at:at + SCORED], scores, -np.inf)
-                # Every row tied with the k-th score stays, so that ties are settled by id later on.
+                # Rows above the k-th score, and of those that equal it the first by id, until there are k.
                 edge = np.partition(scores, len(doc_ids) - keep, axis=0)[len(doc_ids) - keep]
-                doc_at, query_at = np.nonzero((scores >= edge) & (scores > -np.inf))
-                yield pd.DataFrame({
+                above, ties = scores > edge, scores == edge
+                kept = above | (ties & (np.cumsum(ties, axis=0) <= keep - above.sum(axis=0)))
+                doc_at, query_at = np.nonzero(kept & (scores > -np.inf))
+                found = pd.DataFrame({
                     "query_id": names[at + query_at], "doc_id": doc_ids[doc_at], "score": scores[doc_at, query_at],
                     "same_tag": np.equal(doc_tags[doc_at], tags[at + query_at]).astype(bool)})
+                best[at] = best_of(pd.concat([best[at], found])) if at in best else found
+        yield from best.values()
 
     types = {**dict(docs.dtypes)}
     return docs.select("doc_id", "vector", "tag").mapInPandas(score, f"query_id bigint, doc_id {types['doc_id']}, score double, same_tag boolean")

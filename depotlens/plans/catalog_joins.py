@@ -94,9 +94,9 @@ STEPS["driver_hours"] = """
 
 @query("J08_hours_by_grade", """
     SELECT h.employee_id, hours, final_grading FROM driver_hours h
-    LEFT JOIN (SELECT * FROM health WHERE final_grading <> 'E') g ON g.employee_id = h.employee_id""", "hours")
+    LEFT JOIN health g ON g.employee_id = h.employee_id""", "hours")
 def j08(d: Domain):
-    return joins.hours_by_grade(joins.hours_by_employee(d.operations, d.services), d.health.filter("final_grading <> 'E'"))
+    return joins.hours_by_grade(joins.hours_by_employee(d.operations, d.services), d.health)
 
 
 STEPS["leave_counts"] = "SELECT employee_id, count(*) AS leaves FROM absences WHERE leave_type IS NOT NULL GROUP BY 1"
@@ -104,20 +104,18 @@ STEPS["leave_counts"] = "SELECT employee_id, count(*) AS leaves FROM absences WH
 
 @query("J09_leaves_by_grade", """
     SELECT coalesce(l.employee_id, g.employee_id) AS employee_id, leaves, final_grading, 'full' AS how
-    FROM leave_counts l FULL JOIN (SELECT * FROM health WHERE final_grading <> 'A') g ON g.employee_id = l.employee_id
-    UNION ALL SELECT l.employee_id, leaves, final_grading, 'inner' FROM leave_counts l JOIN health g ON g.employee_id = l.employee_id
-    WHERE final_grading <> 'A'""")
+    FROM leave_counts l FULL JOIN health g ON g.employee_id = l.employee_id
+    UNION ALL SELECT l.employee_id, leaves, final_grading, 'inner' FROM leave_counts l JOIN health g ON g.employee_id = l.employee_id""")
 def j09(d: Domain):
-    graded = d.health.filter("final_grading <> 'A'")
-    return joins.leaves_by_grade(d.absences, graded, "full").withColumn("how", F.lit("full")).unionByName(
-        joins.leaves_by_grade(d.absences, graded, "inner").withColumn("how", F.lit("inner")))
+    return joins.leaves_by_grade(d.absences, d.health, "full").withColumn("how", F.lit("full")).unionByName(
+        joins.leaves_by_grade(d.absences, d.health, "inner").withColumn("how", F.lit("inner")))
 
 
 @query("J11_latest_by_depot", """
     SELECT d.depot, region, max(date) AS latest FROM depots d
-    LEFT JOIN (SELECT * FROM absences WHERE leave_type = 'A') a ON a.depot = d.depot GROUP BY 1, 2""")
+    LEFT JOIN absences a ON a.depot = d.depot GROUP BY 1, 2""")
 def j11(d: Domain):
-    return joins.latest_by_depot(d.depots, d.absences.filter("leave_type = 'A'"), "date")
+    return joins.latest_by_depot(d.depots, d.absences, "date")
 
 
 @query("J12_not_in", "SELECT depot, date, actual_kms FROM daily f WHERE NOT EXISTS (FROM weather w WHERE w.depot = f.depot AND w.date = f.date)")
@@ -166,9 +164,9 @@ def j17(d: Domain):
 
 @query("J18_lookup_default", """
     SELECT f.depot, date, coalesce(category, 'Unknown') AS category FROM daily f
-    LEFT JOIN (SELECT * FROM depots WHERE region <> 'EUROPE') d ON d.depot = f.depot""")
+    LEFT JOIN depots d ON d.depot = f.depot""")
 def j18(d: Domain):
-    return joins.lookup(d.daily.select("depot", "date"), d.depots.filter("region <> 'EUROPE'"), "depot", "category")
+    return joins.lookup(d.daily.select("depot", "date"), d.depots, "depot", "category")
 
 
 STEPS["typed_names"] = """

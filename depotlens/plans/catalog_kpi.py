@@ -226,14 +226,13 @@ def u08(d: Domain):
     UNION ALL SELECT d.depot, region, latest, date_diff('day', latest, DATE '2024-01-29'),
            CASE WHEN latest IN (DATE '2024-01-29', DATE '2024-01-30') THEN 'Updated' ELSE 'Pending' END, 'recent' FROM filled d""")
 def a24(d: Domain):
-    busy = d.sheet.filter("Spot_Absent > 2")
-    return ratios.pending_status(d.depots, busy, "2024-01-30").withColumn("rule", F.lit("yesterday")).unionByName(
-        ratios.pending_status(d.depots, busy, "2024-01-30", "recent").withColumn("rule", F.lit("recent")))
+    return ratios.pending_status(d.depots, d.sheet, "2024-01-30").withColumn("rule", F.lit("yesterday")).unionByName(
+        ratios.pending_status(d.depots, d.sheet, "2024-01-30", "recent").withColumn("rule", F.lit("recent")))
 
 
 STEPS["filled"] = """
     SELECT d.depot, region, max(data_date) AS latest FROM depots d
-    LEFT JOIN (SELECT * FROM sheet WHERE Spot_Absent > 2) s ON s.depot = d.depot GROUP BY 1, 2"""
+    LEFT JOIN sheet s ON s.depot = d.depot GROUP BY 1, 2"""
 
 
 @query("A25_last_filled", "SELECT depot, year(date) AS year, 'Q' || quarter(date) AS quarter, max(date) AS last_date FROM daily GROUP BY 1, 2, 3")
@@ -292,15 +291,15 @@ _STATUS = """
     SELECT m.depot, coalesce(d.category, 'Rural') AS category, value, benchmark,
            CASE WHEN value < benchmark THEN 'CONTROL' WHEN value = benchmark THEN 'WITHIN' ELSE 'RISK' END AS status
     FROM (SELECT depot, round_even(round(avg({k}), 9), 2) AS value FROM kpis GROUP BY 1) m
-    LEFT JOIN (SELECT * FROM depots WHERE region <> 'ASIA') d ON d.depot = m.depot
+    LEFT JOIN depots d ON d.depot = m.depot
     LEFT JOIN benchmarks b ON b.category = coalesce(d.category, 'Rural') AND b.kpi = '{k}'"""
 
 
 @query("A36_kpi_status", _STATUS.format(k="pct_leave"), "value benchmark")
 def a36(d: Domain):
-    return documents.kpi_status(kpi_docs(d), d.depots.filter("region <> 'ASIA'"), benchmark_table(d.spark), "% Leave & Absent", "pct_leave")
+    return documents.kpi_status(kpi_docs(d), d.depots, benchmark_table(d.spark), "% Leave & Absent", "pct_leave")
 
 
 @query("D05_status_default_category", _STATUS.format(k="pct_spot_absent"), "value benchmark")
 def d05(d: Domain):
-    return documents.kpi_status(kpi_docs(d), d.depots.filter("region <> 'ASIA'"), benchmark_table(d.spark), "% Spot Absent", "pct_spot_absent")
+    return documents.kpi_status(kpi_docs(d), d.depots, benchmark_table(d.spark), "% Spot Absent", "pct_spot_absent")

@@ -143,11 +143,11 @@ STEPS["fresh"] = """
     SELECT depot, prediction_date, p AS predicted_passenger_kms, load AS assumed_or, 45 AS bus_capacity, p / (load * 45) AS estimated_kms,
            ceil(p / (load * 45) / 250)::BIGINT AS estimated_buses, 'pending' AS status
     FROM (SELECT w.depot, w.date AS prediction_date, max_temp * 1000 AS p, coalesce(rolling_or, 0.85::DOUBLE) AS load
-          FROM weather w LEFT JOIN loads l ON l.depot = w.depot WHERE w.daily_rainfall IS NOT NULL)"""
+          FROM weather w LEFT JOIN loads l ON l.depot = w.depot)"""
 
 
 def fresh(d: Domain):
-    preds = d.weather.filter("daily_rainfall IS NOT NULL").select(
+    preds = d.weather.select(
         "depot", F.col("date").alias("prediction_date"), (F.col("max_temp") * 1000).alias("predicted_passenger_kms"))
     return lg.prediction_rows(preds, rollups.rolling_or(d.daily))
 
@@ -217,7 +217,7 @@ STEPS["two_days"] = """
 @query("F12_blend", """
     SELECT depot, today, least(greatest(0.7 * tomorrow_raw + 0.3 * today, today * 0.8), today * 1.2) AS tomorrow
     FROM (SELECT t.depot, tomorrow_raw, coalesce(s.v, 0.65 * today_raw + 0.35 * recent_mean) AS today FROM two_days t
-          LEFT JOIN (SELECT depot, avg_seats_per_bus AS v FROM depots WHERE category = 'Rural') s ON s.depot = t.depot)""", "today tomorrow")
+          LEFT JOIN (SELECT depot, CASE WHEN category = 'Rural' THEN avg_seats_per_bus END AS v FROM depots) s ON s.depot = t.depot)""", "today tomorrow")
 def f12(d: Domain):
     from pyspark.sql import Window
 
@@ -225,17 +225,17 @@ def f12(d: Domain):
     raw = aged.groupBy("depot").agg(
         F.avg(F.when(F.col("age") <= 7, F.col("passengers_per_day"))).alias("recent_mean"),
         F.avg("passengers_per_day").alias("today_raw"), F.max("passengers_per_day").cast("double").alias("tomorrow_raw"))
-    store = d.depots.filter("category = 'Rural'").select(
-        "depot", F.col("avg_seats_per_bus").alias("stored_today"), F.lit(None).cast("double").alias("stored_tomorrow"))
+    store = d.depots.select(
+        "depot", F.when(F.col("category") == "Rural", F.col("avg_seats_per_bus")).alias("stored_today"), F.lit(None).cast("double").alias("stored_tomorrow"))
     return lg.blend(raw, store)
 
 
 @query("F13_stored_or_new", """
     SELECT coalesce(l.depot, w.depot) AS depot, coalesce(l.prediction_date, w.date) AS date, coalesce(predicted_passenger_kms, max_temp) AS value
-    FROM ledger l FULL JOIN (SELECT * FROM weather WHERE daily_rainfall > 0) w ON w.depot = l.depot AND w.date = l.prediction_date""", "value")
+    FROM ledger l FULL JOIN weather w ON w.depot = l.depot AND w.date = l.prediction_date""", "value")
 def f13(d: Domain):
     store = d.ledger.select("depot", F.col("prediction_date").alias("date"), F.col("predicted_passenger_kms").alias("value"))
-    new = d.weather.filter("daily_rainfall > 0").select("depot", "date", F.col("max_temp").alias("value"))
+    new = d.weather.select("depot", "date", F.col("max_temp").alias("value"))
     return lg.stored_or_new(store, new, ["depot", "date"], "value")
 
 

@@ -10,12 +10,12 @@ from depotlens.plans.registry import STEPS, query
 from depotlens.sources.views import Domain
 
 KEYS = ["depot", "date"]
-STEPS["inbound"] = "SELECT depot, prediction_date AS date, estimated_kms AS actual_kms FROM ledger WHERE status = 'completed'"
+STEPS["inbound"] = "SELECT depot, prediction_date AS date, estimated_kms AS actual_kms FROM ledger"
 STEPS["master"] = "SELECT depot, date, actual_kms FROM daily"
 
 
 def inbound(d: Domain):
-    return d.ledger.filter("status = 'completed'").select("depot", F.col("prediction_date").alias("date"), F.col("estimated_kms").alias("actual_kms"))
+    return d.ledger.select("depot", F.col("prediction_date").alias("date"), F.col("estimated_kms").alias("actual_kms"))
 
 
 def master(d: Domain):
@@ -65,9 +65,9 @@ def s19(d: Domain):
     return reshape.fill_missing(gappy, d.weather.withColumnRenamed("max_temp", "actual_kms"), KEYS, "actual_kms")
 
 
-@query("S20_delete_by_key", "SELECT * FROM master m WHERE NOT EXISTS (FROM absences a WHERE a.leave_type = 'A' AND a.depot = m.depot AND a.date = m.date)")
+@query("S20_delete_by_key", "SELECT * FROM master m WHERE NOT EXISTS (FROM absences a WHERE a.depot = m.depot AND a.date = m.date)")
 def s20(d: Domain):
-    return reshape.delete_keys(master(d), d.absences.filter("leave_type = 'A'"), KEYS)
+    return reshape.delete_keys(master(d), d.absences, KEYS)
 
 
 @query("U02_union_all", """
@@ -126,23 +126,24 @@ def u07(d: Domain):
     return reshape.lunar(d.lunar_raw)
 
 
-_V = ["1996", "1997", "1998"]
+def _years(d: Domain) -> list[str]:
+    """The years of the data, of which there are few."""
+    return [str(r.year) for r in d.daily.select(F.year("date").alias("year")).distinct().orderBy("year").collect()]
 
 
 @query("U09_transpose", " UNION ALL ".join(
-    f"SELECT '{m}' AS measure, " + ", ".join(f"sum({m}) FILTER (WHERE year(date) = {y})::DOUBLE AS v_{y}" for y in _V) + " FROM daily"
+    f"SELECT '{m}' AS measure, " + ", ".join(f"sum({m}) FILTER (WHERE year(date) = {y})::DOUBLE AS v_{y}" for y in range(1995, 2002)) + " FROM daily"
     for m in ("actual_kms", "revenue")))
 def u09(d: Domain):
     years = d.daily.groupBy(F.year("date").alias("year")).agg(F.sum("actual_kms").alias("actual_kms"), F.sum("revenue").alias("revenue"))
-    return reshape.transpose(years, "year", ["actual_kms", "revenue"], _V)
+    return reshape.transpose(years, "year", ["actual_kms", "revenue"], _years(d))
 
 
-STEPS["seen_routes"] = "SELECT DISTINCT route FROM services WHERE planned_trips > 4 AND depot = 'NATION_3'"
+STEPS["seen_routes"] = "SELECT DISTINCT route FROM services"
 
 
 @query("P31_label_codes", """
     SELECT depot, service_number, s.route, coalesce(code, (SELECT count(*) FROM seen_routes))::INTEGER AS route_code FROM services s
     LEFT JOIN (SELECT route, row_number() OVER (ORDER BY route) - 1 AS code FROM seen_routes) c ON c.route = s.route""")
 def p31(d: Domain):
-    seen = d.services.filter("planned_trips > 4 AND depot = 'NATION_3'")
-    return reshape.encode(d.services.select("depot", "service_number", "route"), "route", reshape.label_codes(seen, "route"), "route_code")
+    return reshape.encode(d.services.select("depot", "service_number", "route"), "route", reshape.label_codes(d.services, "route"), "route_code")

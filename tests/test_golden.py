@@ -351,3 +351,60 @@ def test_search_has_one_plan_for_any_number_of_queries(spark):
 
     for mode in ("none", "pre", "post"):
         assert plan(10, mode) == plan(10_000, mode) and plan(10, mode)[1] == 1
+
+
+# ---- small cases that the queries over whole tables don't hold ---------------------------------
+def test_members_that_a_dimension_lacks(spark, frame):
+    from depotlens.operators import joins, quality, reshape
+
+    facts = frame([("A", 1), ("Z", 2), ("Z", 3), (None, 4)], "depot string, x int")
+    known = frame([("A", "Rural"), ("B", "Urban")], "depot string, category string")
+    assert [(r.depot, r.n) for r in quality.unknown_members(facts, known, "depot").collect() if r.depot] == [("Z", 2)]
+    found = {(r.x, r.category) for r in joins.lookup(facts, known, "depot", "category").collect()}
+    assert {(1, "Rural"), (2, "Unknown"), (3, "Unknown")} <= found
+    codes = reshape.label_codes(frame([("b",), ("a",), ("b",)], "route string"), "route")
+    coded = reshape.encode(frame([("a",), ("b",), ("new",)], "route string"), "route", codes, "code")
+    assert sorted((r.route, r.code) for r in coded.collect()) == [("a", 0), ("b", 1), ("new", 2)]
+    days = frame([("A", 1), ("A", 2)], "depot string, date int")
+    assert [r.date for r in reshape.delete_keys(days, frame([("A", 2), ("B", 1)], "depot string, date int"), ["depot", "date"]).collect()] == [1]
+
+
+def test_hours_and_leaves_without_a_grade(spark, frame):
+    from depotlens.operators import joins
+
+    hours = frame([(1, 5.0), (2, 7.0)], "employee_id long, hours double")
+    health = frame([(1, "A", "d"), (3, "B", "d")], "employee_id long, final_grading string, depot string")
+    assert sorted((r.employee_id, r.final_grading) for r in joins.hours_by_grade(hours, health).collect()) == [(1, "A"), (2, None)]
+    absences = frame([(1, "L"), (4, "S")], "employee_id long, leave_type string")
+    full = {(r.employee_id, r.leaves, r.final_grading) for r in joins.leaves_by_grade(absences, health, "full").collect()}
+    assert full == {(1, 1, "A"), (3, None, "B"), (4, 1, None)}
+    assert [r.employee_id for r in joins.leaves_by_grade(absences, health, "inner").collect()] == [1]
+
+
+def test_equal_vectors_send_k_rows_a_query(spark):
+    from depotlens.operators import retrieval
+
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), F.lit(0).cast("long").alias("tag"))
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(40)], "query_id long, vector array<double>").withColumn("tag", F.lit(0).cast("long"))
+    sent = retrieval._block_topk(docs.repartition(4), queries.collect(), 5, False, False)
+    most = sent.groupBy("query_id", F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    assert most == 5
+    got = retrieval.vector_topk(docs, queries, 5).collect()
+    assert len(got) == 200 and all(r.doc_id == r.place - 1 for r in got)
+
+
+def test_medians_fill_gaps_of_all_columns(frame):
+    from depotlens.operators import ledger
+
+    rows = [(1.0, None, 0), (2.0, 4.0, 0), (None, 8.0, 0), (4.0, 6.0, 0), (None, None, 1), (99.0, 99.0, 1)]
+    got = ledger.impute_median(frame(rows, "a double, b double, is_test int"), ["a", "b"]).collect()
+    assert sorted((r.a, r.b) for r in got) == [(1.0, 6.0), (2.0, 4.0), (2.0, 6.0), (2.0, 8.0), (4.0, 6.0), (99.0, 99.0)]
+
+
+def test_text_vectors_of_known_texts(spark, frame):
+    """Unit length, the same for the same words in any order or case; texts without words have none."""
+    from depotlens.operators import retrieval
+
+    got = {r.doc_id: r.vector for r in retrieval.embed(frame([(1, "Depot bus bus"), (2, "bus DEPOT, bus"), (3, "bus"), (4, "...")], "doc_id int, text string"), 64).collect()}
+    assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1.0) and sum(x * x for x in got[4]) == 0
+    assert sorted(x for x in got[1] if x) == pytest.approx([5 ** -0.5, 2 * 5 ** -0.5]) and sum(got[3]) == 1.0
