@@ -8,10 +8,13 @@ single shuffle on depot.  Frames count rows, so a dense day series is expected.
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from depotlens.functions.timeparts import calendar_parts, weather_parts
 
@@ -188,40 +191,116 @@ def _ratio(col: str) -> Column:
     return F.when(F.col("baseline_same_dow") > 0, F.try_divide(F.col(col), F.col("baseline_same_dow")))
 
 
-def festival_intensity(df: DataFrame, col: str = "passenger_kms", strict: bool = False) -> DataFrame:
-    """Demand of a festival relative to its weekday, and what earlier ones let expect.
+class RunningMedian:
+    """Median of the values so far: the lower half in one heap, the upper half in another."""
 
-    The first occurrence in a depot falls back to the median of the code over all
-    depots (``strict``: no fallback to it), then to 1.0.
+    def __init__(self):
+        self.low, self.high = [], []  # low holds negated values and is never the smaller one
+
+    def add(self, x: float) -> None:
+        if self.low and x > -self.low[0]:
+            heapq.heappush(self.high, x)
+        else:
+            heapq.heappush(self.low, -x)
+        if len(self.low) > len(self.high) + 1:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+        elif len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def value(self) -> float | None:
+        if not self.low:
+            return None
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def running_medians(df: DataFrame, **specs: tuple[Column, Column, Column]) -> DataFrame:
+    """For each name a column: (value, key, inside) gives rows inside the median of the earlier rows inside with their key.
+
+    NULL outside, and where there is none.  A depot's days are one group, in which n days take n log n steps; a frame that
+    grows with every row would sort n values n times.
     """
-    fes = F.col("is_fes_hol") == 1
-    rated = df.withColumn("festival_intensity", F.when(fes, _ratio(col)))
-    expected = F.when(fes, median(F.col("festival_intensity")).over(past(["depot", "fes_hol_code"], 1)))
-    out = rated.withColumn("_seen", expected)
+    parts = {c: v for name, (value, key, inside) in specs.items() for c, v in (
+        (f"_v_{name}", F.when(inside, value.cast("double"))), (f"_k_{name}", F.when(inside, F.coalesce(key.cast("string"), F.lit("")))))}
+    marked = df.withColumns(parts)
+    names = list(specs)
+    schema = StructType([*df.schema, *(StructField(c, DoubleType()) for c in names)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        for name in names:
+            seen: dict[str, RunningMedian] = {}
+            out = []
+            for key, x in zip(rows.column(f"_k_{name}").to_pylist(), rows.column(f"_v_{name}").to_pylist(), strict=True):
+                if key is None:
+                    out.append(None)
+                    continue
+                own = seen.setdefault(key, RunningMedian())
+                out.append(own.value())
+                if x is not None:
+                    own.add(x)
+            rows = rows.append_column(name, pa.array(out, pa.float64()))
+        return rows.select([f.name for f in schema])
+
+    return marked.groupBy("depot").applyInArrow(run, schema)
+
+
+def _festival_spec() -> tuple[Column, Column, Column]:
+    return F.col("festival_intensity"), F.col("fes_hol_code"), F.col("is_fes_hol") == 1
+
+
+def _expected(df: DataFrame, strict: bool) -> DataFrame:
+    """What earlier festivals let expect, from the running medians ``_seen``."""
     if strict:
-        out = out.withColumn("_code", F.lit(None).cast("double"))
+        out = df.withColumn("_code", F.lit(None).cast("double"))
     else:
-        codes = rated.filter(fes).groupBy("fes_hol_code").agg(median(F.col("festival_intensity")).alias("_code"))
-        out = out.join(codes, "fes_hol_code", "left")
+        codes = df.filter(F.col("is_fes_hol") == 1).groupBy("fes_hol_code").agg(median(F.col("festival_intensity")).alias("_code"))
+        out = df.join(codes, "fes_hol_code", "left")
     out = out.withColumn("expected_intensity", F.coalesce("_seen", "_code", F.lit(1.0)))
     return out.withColumn("expected_festival_demand", F.col("baseline_same_dow") * F.col("expected_intensity")).drop("_seen", "_code")
 
 
-def _phase_intensity(df: DataFrame, inside: Column, name: str, col: str) -> DataFrame:
-    marked = df.withColumn("_in", inside)
-    # Rows outside contribute nothing, which keeps their ever-growing frame empty and cheap.
-    seen = median(F.when(F.col("_in"), _ratio(col))).over(past(["depot", "_in"], 1))
-    return marked.withColumn(name, F.when(F.col("_in"), seen).otherwise(F.lit(1.0))).drop("_in")
+def _rated(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn("festival_intensity", F.when(F.col("is_fes_hol") == 1, _ratio(col)))
+
+
+def festival_intensity(df: DataFrame, col: str = "passenger_kms", strict: bool = False) -> DataFrame:
+    """Demand of a festival relative to its weekday, and what earlier ones let expect.
+
+    The first occurrence in a depot falls back to the median of the code over all
+    depots (``strict``: no fallback to it), then to 1.0.
+    """
+    return _expected(running_medians(_rated(df, col), _seen=_festival_spec()), strict)
+
+
+def _after(rebound: int) -> Column:
+    return F.col("post_festival_days").between(1, rebound)
+
+
+def _before(before) -> Column:
+    return (sum((F.col(f"fes_hol_minus_{n}") for n in before[1:]), F.col(f"fes_hol_minus_{before[0]}")) > 0) & (F.col("is_fes_hol") == 0)
+
+
+def _phase(df: DataFrame, name: str, inside: Column) -> DataFrame:
+    return df.withColumn(name, F.when(inside, F.col(name)).otherwise(F.lit(1.0)))
 
 
 def post_intensity(df: DataFrame, col: str = "passenger_kms", rebound: int = REBOUND) -> DataFrame:
     """Median of earlier rebound days relative to their weekday; 1.0 on other days, NULL the first time."""
-    return _phase_intensity(df, F.col("post_festival_days").between(1, rebound), "post_festival_intensity", col)
+    inside = _after(rebound)
+    return _phase(running_medians(df, post_festival_intensity=(_ratio(col), F.lit(""), inside)), "post_festival_intensity", inside)
 
 
 def pre_intensity(df: DataFrame, col: str = "passenger_kms", before=(1, 2, 3)) -> DataFrame:
-    ahead = sum((F.col(f"fes_hol_minus_{n}") for n in before[1:]), F.col(f"fes_hol_minus_{before[0]}"))
-    return _phase_intensity(df, (ahead > 0) & (F.col("is_fes_hol") == 0), "pre_festival_intensity", col)
+    inside = _before(before)
+    return _phase(running_medians(df, pre_festival_intensity=(_ratio(col), F.lit(""), inside)), "pre_festival_intensity", inside)
+
+
+def intensities(df: DataFrame, col: str = "passenger_kms", rebound: int = REBOUND, before=(1, 2, 3)) -> DataFrame:
+    """Festival, rebound and pre-festival intensity from one pass over each depot's days."""
+    after, ahead = _after(rebound), _before(before)
+    seen = running_medians(
+        _rated(df, col), _seen=_festival_spec(), post_festival_intensity=(_ratio(col), F.lit(""), after), pre_festival_intensity=(_ratio(col), F.lit(""), ahead))
+    return _phase(_phase(_expected(seen, False), "post_festival_intensity", after), "pre_festival_intensity", ahead)
 
 
 def depot_mean(df: DataFrame, col: str) -> Column:
@@ -248,7 +327,7 @@ def features(gold: DataFrame, weather: DataFrame, col: str = "passenger_kms") ->
     df = df.join(weather.select("depot", "date", "max_temp", "min_temp", "daily_rainfall"), ["depot", "date"], "left")
     df = df.withColumns(weather_parts())
     df = festival_calendar(proximity(df))
-    df = festival_encoding(pre_intensity(post_intensity(festival_intensity(baseline(df, col), col), col), col=col), col)
+    df = festival_encoding(intensities(baseline(df, col), col), col)
     df = lag_flag(dow_deviation(same_dow_median(momentum(rolling(lags(df, col), col)), col)))
     mean = global_mean(gold, col)
     df = target_encode(df, ["depot"], col, "depot_te", fallback=mean)
