@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.llm.text import only, slices, texts_of
+from depotlens.llm.text import given_back, only, slices, texts_of
 
 LOOKUP_BUCKETS = 1 << 17
 
@@ -60,8 +60,8 @@ def ranks_of(signs: str) -> np.ndarray:
     return code - np.where(code < 0xD800, 0x100, 0x900).astype(np.int32)
 
 
-# After all signs in order: no merge, or, at the end of a word, nothing left to merge.
-END = "\ufffd"
+# After all signs in order (those of a million ranks): no merge, or, at the end of a word, nothing left to merge.
+END = "\U0010ffff"
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -185,7 +185,7 @@ def blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings)
             for part in slices(batch, most=s.block_bytes):
                 yield block(part)
 
-    return docs.mapInArrow(run, f"id array<{kind}>, words array<string>, places binary, counts binary")
+    return docs.mapInArrow(lambda b: given_back(run(b)), f"id array<{kind}>, words array<string>, places binary, counts binary")
 
 
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings) -> DataFrame:
@@ -293,4 +293,4 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return encoded_blocks(only(docs, id="doc_id", text="text"), ranks, pattern, s).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, n_bytes long, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+        lambda b: given_back(run(b)), f"doc_id {kind}, n_tokens long, ids_sha256 string, n_bytes long, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -53,3 +53,12 @@ def test_heap_merges_random_bytes(ranks, library):
     for n in (1, 2, 30, 500):
         word = os.urandom(n)
         assert bpe.merged_by_heap(word, ranks) == library._encode_single_piece(word)
+
+
+@pytest.mark.parametrize("first", [0, 63_200, 120_000])
+def test_ranks_of_large_vocabularies(spark, first):
+    """Ranks on both sides of every sign that is left out, and over 100,000: the same merges as the heap's."""
+    ranks = {bytes([b]): b for b in range(256)} | {p: first + 300 + k for k, p in enumerate((b"ab", b"cd", b"abcd", b"abcdx", b"xy", b"yz", b"xyz") + tuple(bytes([97 + k // 9, 110 + k % 9]) for k in range(60)))}
+    docs = spark.createDataFrame([(1, "abcdx xyz abcdxyz anbocp")], "doc_id long, text string")
+    got = bpe.encoded(docs, ranks, public_tokenizers.PATTERN).first().ids
+    assert got == [i for w in bpe.compiled(public_tokenizers.PATTERN).findall("abcdx xyz abcdxyz anbocp") for i in bpe.merged_by_heap(w.encode(), ranks)]
