@@ -39,7 +39,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and whether their decoding gives the text again."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     named = docs.select(F.struct("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("sha")).alias("row"), "text")
-    made = bpe.digests(named.withColumnRenamed("row", "doc_id"), ranks, public_tokenizers.PATTERN, keep_ids=True)
+    small = bpe.Settings(block_bytes=12_000_000)  # the executors' memory also holds what earlier stages left
+    made = bpe.digests(named.withColumnRenamed("row", "doc_id"), ranks, public_tokenizers.PATTERN, small, keep_ids=True)
     return made.select(
         "doc_id.doc_id", "doc_id.lang", "doc_id.source", "doc_id.n_chars", "n_tokens", "ids", "ids_sha256",
         (F.col("decoded_sha256") == F.coalesce("doc_id.sha", F.sha2(F.lit(""), 256))).alias("round_trip"))
