@@ -149,8 +149,9 @@ def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: list[str], share: float = 0.8) -> DataFrame:
-    """Reproducible split that does not depend on row order or partitioning."""
-    return df.withColumn("is_test", (F.pmod(F.xxhash64(*key), F.lit(100)) >= int(share * 100)).cast("int"))
+    """Reproducible split by a digest of the key, which other engines can repeat; it does not depend on row order or partitioning."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key])), 1, 8), 16, 10).cast("long") % 100
+    return df.withColumn("is_test", (place >= int(share * 100)).cast("int"))
 
 
 def blend(preds: DataFrame, store: DataFrame) -> DataFrame:

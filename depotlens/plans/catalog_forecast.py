@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from depotlens.operators import features as ft
 from depotlens.operators import forecast as fc
-from depotlens.operators import boosting, joins, retrieval, rollups
+from depotlens import jobs
+from depotlens.functions.clean import share_from_percent
+from depotlens.operators import boosting, joins, retrieval, rollups, supply
 from depotlens.operators import ledger as lg
 from depotlens.plans.registry import STEPS, query
 from depotlens.session import materialise, work_dir
+from depotlens.sources import snapshots
 from depotlens.sources.views import Domain
 
 # Production settings; only the demand has a hold-out that chooses the round.
@@ -56,7 +59,9 @@ def f02(d: Domain):
     return feats.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], cols, "feature", "present")
 
 
-@query("F04_hash_split")
+@query("F04_hash_split", """
+    SELECT depot, CASE WHEN ('0x' || substr(md5(concat_ws('|', employee_id, operations_date, service_number)), 1, 8))::BIGINT % 100 >= 80 THEN 1 ELSE 0 END AS is_test,
+           count(*) AS n FROM operations GROUP BY 1, 2""")
 def f04(d: Domain):
     rows = lg.hash_split(d.operations, ["employee_id", "operations_date", "service_number"])
     return rows.groupBy("depot", "is_test").agg(F.count("*").alias("n"))
@@ -119,6 +124,19 @@ def f09(d: Domain):
     return lg.prediction_rows(preds, rollups.rolling_or(gold))
 
 
+@query("F09_planning_job")
+def f09_job(d: Domain):
+    """Forecast, ledger and both schedules in one job: what each depot's plan changes."""
+    base = work_dir(d.spark, "planning")
+    model, _ = demand_model(d)
+    shares = d.depots.select("depot", share_from_percent(F.col("target_or"), 0.75).alias("target_share"))
+    trips, slots = jobs.plan_next(
+        model, d.written("gold"), d.lunar, d.holidays, d.weather, f"{base}/ledger", d.written("services"), d.written("service_daily"), shares, "2001-11-05", f"{base}/schedules")
+    summary = supply.trip_summary(trips).join(supply.slot_summary(slots).select("depot", "total_services", "total_allocated_pkm"), "depot", "full")
+    ledger = snapshots.read(d.spark, f"{base}/ledger", snapshots.schema(d.spark, f"{base}/ledger"))
+    return ledger.select("depot", "prediction_date", "predicted_passenger_kms", "status").join(summary, "depot", "left")
+
+
 @query("F11_passengers_2day")
 def f11(d: Domain):
     history = materialise(d.daily.select("depot", "date", "passengers_per_day"), "history")
@@ -212,7 +230,8 @@ def d03(d: Domain):
     return retrieval.vector_topk(vectors(d), centroid_queries(d), 20, cosine=True)
 
 
-@query("D02_text_vectors")
+@query("D02_text_vectors", """
+    SELECT doc_id, 256 AS dims, CASE WHEN regexp_matches(lower(text), '[a-z0-9_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length FROM documents""")
 def d02(d: Domain):
     vecs = retrieval.embed(d.raw("documents").select("doc_id", "text"))
     return vecs.select("doc_id", F.size("vector").alias("dims"),

@@ -107,10 +107,11 @@ def correct(batch: DataFrame, master: str, keys: list[str]) -> None:
     """
     spark = batch.sparkSession
     inbound = materialise(newest_per_key(batch, keys).withColumn("month", month_start(F.col("date"))), "inbound")
-    _replace(spark, master, inbound.schema, months_of(inbound), lambda touched: upsert(touched, inbound, keys))
+    replace_months(spark, master, inbound.schema, months_of(inbound), lambda touched: upsert(touched, inbound, keys))
 
 
-def _replace(spark: SparkSession, path: str, schema, months: list, change: Callable[[DataFrame], DataFrame]) -> None:
+def replace_months(spark: SparkSession, path: str, schema, months: list, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Read some months, change and commit them; again from the new ones if someone else has replaced one meanwhile."""
     while True:
         number, _ = snapshots.manifest(spark, path)
         touched = snapshots.read(spark, path, schema, only=months, at=number)
@@ -160,7 +161,7 @@ def close_handler(ledger: str):
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         actuals = materialise(lg.ledger_actuals(batch).withColumn("month", month_start(F.col("date"))), "actuals")
-        _replace(spark, ledger, snapshots.schema(spark, ledger), months_of(actuals), lambda stored: lg.close_pending(stored, actuals.drop("month")))
+        replace_months(spark, ledger, snapshots.schema(spark, ledger), months_of(actuals), lambda stored: lg.close_pending(stored, actuals.drop("month")))
 
     return handle
 

@@ -14,12 +14,14 @@ from depotlens.plans import QUERIES, catalog_forecast
 from depotlens.plans.catalog_forecast import Domain
 
 
-@pytest.mark.parametrize("name", ["F05_train_demand", "F06_demand_against_naive", "F16_model_registry", "F11_passengers_2day", "F14_absence_7day", "F15_km_hours_metrics", "F15_km_hours_grid"])
+@pytest.mark.parametrize("name", ["F05_train_demand", "F06_demand_against_naive", "F16_model_registry", "F09_planning_job", "F11_passengers_2day", "F14_absence_7day", "F15_km_hours_metrics", "F15_km_hours_grid"])
 def test_model_queries(spark, folder, name):
     got = QUERIES[name].run(spark, folder).collect()
     assert got
     if name == "F06_demand_against_naive":
         assert sum(r.n * r.rmse ** 2 for r in got) < sum(r.n * r.naive_rmse ** 2 for r in got)
+    if name == "F09_planning_job":
+        assert all(r.status == "pending" and r.total_services > 0 and r.total_allocated_pkm == pytest.approx(r.predicted_passenger_kms) for r in got)
     if name == "F16_model_registry":
         assert got[0].rmse == pytest.approx(got[0].reloaded_rmse)
         assert got[0].rounds_grown == min(got[0].rounds + catalog_forecast.DEMAND.patience, catalog_forecast.DEMAND.trees)
