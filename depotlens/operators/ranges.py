@@ -19,6 +19,7 @@ def running_total(df: DataFrame, by: list[str], order: list[Column], value: Colu
     neither a large group nor many equal leading values meet in one task; each range is summed on its own and shifted by the
     sums of the ranges before it.
     """
+    df = materialise(df, "ordered")  # counted, sampled for the ranges and dealt from there
     n = df.count()
     ranges = max(1, math.ceil(n / rows_per_range))
     keys = [F.asc(c) for c in by]

@@ -200,11 +200,15 @@ def steering_pivot(duties: DataFrame) -> DataFrame:
     Cells are rounded (half-even) before they are totalled.  Dates stay rows: as columns, years of days would be
     thousands of columns, and a grid of a chosen period is a pivot of the rows it needs.
     """
-    cells = duties.groupBy("employee_id", F.col("operations_date").alias("date")).agg(
-        half_even(F.coalesce(F.sum("steering_hours"), F.lit(0.0)), 0).cast("bigint").alias("h"))
-    whole, by_date = F.grouping("employee_id") == 1, F.grouping("date") == 1
-    return cells.cube("employee_id", "date").agg(
-        F.when(whole & by_date, "total").when(by_date, "employee").when(whole, "date").otherwise("cell").alias("part"), F.sum("h").alias("hours"))
+    cells = materialise(duties.groupBy("employee_id", F.col("operations_date").alias("date")).agg(
+        half_even(F.coalesce(F.sum("steering_hours"), F.lit(0.0)), 0).cast("bigint").alias("h")), "cells")
+    employee, date = cells.groupBy("employee_id").agg(F.sum("h").alias("h")), cells.groupBy("date").agg(F.sum("h").alias("h"))
+    total = date.agg(F.sum("h").alias("h")).filter("h IS NOT NULL")
+    named = [df.withColumn("part", F.lit(part)) for df, part in ((cells, "cell"), (employee, "employee"), (date, "date"), (total, "total"))]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.select("employee_id", "date", "part", F.col("h").alias("hours"))
 
 
 def estimated_mask(duties: DataFrame) -> DataFrame:
