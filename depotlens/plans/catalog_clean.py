@@ -66,14 +66,21 @@ _RAW = list(clean.DEPOT_NAMES)
 _NAMES = "(VALUES " + ", ".join(f"({i}, '{raw}', '{name}')" for i, (raw, name) in enumerate(clean.DEPOT_NAMES.items())) + ") AS t(place, raw_name, canonical_name)"
 
 
-@query("P07_map_depots", f"""
+_MAPPED = f"""
     SELECT coalesce(canonical_name, a.depot) AS depot, count(*) AS n FROM arrivals a
-    LEFT JOIN depots d ON upper(d.depot) = a.depot LEFT JOIN (FROM {_NAMES}) m ON m.place = d.depot_id * 4 % {len(_RAW)} GROUP BY 1""")
-def p07(d: Domain):
+    LEFT JOIN depots d ON upper(d.depot) = a.depot LEFT JOIN (FROM {_NAMES}) m ON m.place = d.depot_id * 4 % {len(_RAW)} GROUP BY 1"""
+
+
+def raw_names(d: Domain, arrivals):
+    """Arrivals under the names that depots have in the files."""
     raw = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("depot_id") * 4 % len(_RAW) + 1).cast("int"))
     known = d.depots.select(F.upper("depot").alias("depot"), raw.alias("raw"))
-    arrivals = clean.clean_operations(d.bronze).groupBy("depot").agg(F.count("*").alias("c")).join(known, "depot", "left")
-    named = arrivals.select(F.coalesce("raw", "depot").alias("depot"), "c")
+    return arrivals.join(known, "depot", "left").withColumn("depot", F.coalesce("raw", "depot")).drop("raw")
+
+
+@query("P07_map_depots", _MAPPED)
+def p07(d: Domain):
+    named = raw_names(d, clean.clean_operations(d.bronze).groupBy("depot").agg(F.count("*").alias("c")))
     return clean.map_values(named, "depot", clean.depot_name_table(d.spark)).groupBy("depot").agg(F.sum("c").alias("n"))
 
 
@@ -344,10 +351,11 @@ def v04(d: Domain):
     return quality.duplicate_keys(d.operations, ["depot", "operations_date", "service_number"])
 
 
-@query("V05_unknown_members", """
-    SELECT depot, count(*) AS n FROM ledger WHERE depot NOT IN (SELECT depot FROM operations) GROUP BY 1""")
+@query("V05_unknown_members", f"""
+    SELECT depot, n FROM ({_MAPPED}) WHERE depot NOT IN (SELECT depot FROM depots)""")
 def v05(d: Domain):
-    return quality.unknown_members(d.ledger, d.operations.select("depot").distinct(), "depot")
+    named = raw_names(d, clean.clean_operations(d.bronze).select("depot"))
+    return quality.unknown_members(clean.map_values(named, "depot", clean.depot_name_table(d.spark)), d.depots, "depot")
 
 
 @query("V06_row_count", "SELECT date, count(*) AS n, 25 AS expected FROM daily GROUP BY 1 HAVING count(*) <> (SELECT count(*) FROM depots)")
