@@ -28,6 +28,7 @@ def _entries(pairs: dict[str, Column]) -> Column:
 
 def kpi_documents(kpis: DataFrame, raw: list[str]) -> DataFrame:
     date = F.date_format("data_date", "yyyy-MM-dd")
+    # Fixed text of a document.
     text = F.format_string(
         "On %s, depot %s had %d drivers. Available Drivers-1 was %d and Available Drivers-2 was %d. "
         "Attending Drivers were %d. Driver shortage was %d. Actual KM was %d giving KM per driver %.2f. "

@@ -18,6 +18,7 @@ from depotlens.operators.features import share
 from depotlens.operators.rollups import mean_daily
 
 
+# Limits of both policies.
 @dataclass(frozen=True)
 class TripPolicy:
     target_or: float = 0.75
@@ -151,6 +152,7 @@ def trip_changes(gap: DataFrame, cands: DataFrame, policy: TripPolicy = TripPoli
     taken = capped_allocation(pool, order, "gain", "need", policy.per_route, policy.per_depot)
     two = F.round("recent_or", 2)
     reason = (
+        # Fixed texts of the reasons.
         F.when(adding, F.format_string("Add %d trip(s), OR=%.2f", "trips", two))
         .when(stop, F.format_string("Stop service, very low OR=%.2f", two))
         .otherwise(F.format_string("Cut %d trip(s), OR=%.2f", "trips", two))
