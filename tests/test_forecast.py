@@ -44,8 +44,8 @@ def test_a_model_per_depot_beats_the_value_a_week_ago(spark, folder, kind):
         rows = fc.passenger_features(d.daily.select("depot", "date", "passengers_per_day")).withColumn("_y", F.log1p("passengers_per_day"))
         inputs, settings, label, naive = {"_y": fc.PASSENGER_INPUTS}, catalog_forecast.PASSENGERS, "_y", F.log1p("lag_7")
     else:
-        sheet = d.absences.filter("leave_type = 'L'").groupBy("depot", "date").agg(F.count("*").cast("double").alias("Leave_Absent"))
-        sheet = sheet.withColumns({t: F.lit(0.0) for t in fc.ABSENCE_TARGETS[1:]})
+        kinds = zip(fc.ABSENCE_TARGETS, "LSA", strict=True)
+        sheet = d.absences.groupBy("depot", "date").agg(*[F.count_if(F.col("leave_type") == k).cast("double").alias(t) for t, k in kinds])
         rows = fc.absence_features(sheet, d.holidays.select("date", "fes_hol_code", "fes_hol_category"))
         inputs, settings, label, naive = {"Leave_Absent": fc.absence_inputs("Leave_Absent")}, catalog_forecast.ABSENCE, "Leave_Absent", F.col("Leave_Absent_lag_7")
     rows = fc.materialise(fc.lg.time_split(rows.withColumn("naive", naive), 60), "rows")
