@@ -185,3 +185,32 @@ def test_absence_state_equals_the_whole_history(spark):
     assert set(got) == {"A", "B"}
     for depot, r in got.items():
         assert {c: r[c] for c in inputs} == pytest.approx({c: want[depot][c] for c in inputs})
+
+
+def test_duties_are_combined_once(spark, folder):
+    """Averages of drivers and of depots and the rows themselves read duties that are written, not the facts again."""
+    plan = catalog_forecast.duty_table(Domain(spark, folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "l_shipdate" not in plan
+
+
+def test_trees_of_a_sample_score_as_their_rows_did():
+    """Sums over nodes and bins, against loops over rows; scores against a walk down each tree."""
+    rng = np.random.default_rng(5)
+    widths, settings = [4, 9, 3], bt.TreeSettings(trees=6, depth=3, step=0.3, min_rows=2, subsample=1.0)
+    bins = np.stack([rng.integers(0, w, 300) for w in widths], 1).astype(np.uint8)
+    y, weight = bins[:, 1] + rng.normal(size=300), rng.integers(1, 5, 300).astype(float)
+    grown = bt.grow(bins, y, weight, widths, settings)
+    total = np.full(300, grown.base)
+    for feature, cut, value, _ in grown.trees:
+        ends = np.zeros(300, int)
+        for i, row in enumerate(bins):
+            at = 0
+            while at < 7 and feature[at] >= 0:
+                at = 2 * at + 1 + (row[feature[at]] > cut[at])
+            ends[i] = at
+        for node in set(ends.tolist()):
+            own = ends == node
+            assert value[node] == pytest.approx(settings.step * (weight[own] * (y - total)[own]).sum() / (weight[own].sum() + settings.ridge))
+        total += value[ends]
+    cuts = [np.arange(w - 1) + 0.0 for w in widths]
+    assert bt.scores(bins.astype(float), bt.tree_rows("y", grown, cuts), block=70) == pytest.approx(total)
