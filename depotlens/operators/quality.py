@@ -189,7 +189,8 @@ def preflight(files: DataFrame, master: DataFrame, depots: DataFrame, as_of: str
     named = files.withColumns(classify_file(F.col("file")))
     known = depots.select("depot").distinct().withColumn("_known", F.lit(1))
     loaded = master.select("date").distinct().withColumn("_loaded", F.lit(1))
-    rows = named.join(known, "depot", "left").join(loaded, "date", "left")
+    # Both are one row a depot or day; dealt by depot or day, a task would sort all rows of it.
+    rows = named.join(F.broadcast(known), "depot", "left").join(F.broadcast(loaded), "date", "left")
     empty = F.lit(False)
     for key in rules["keys"]:
         empty = empty | F.col(key).isNull()

@@ -204,7 +204,7 @@ class Domain:
                 (cents("load_share") / (F.count("*") * 10.0)).alias("occupancy_ratio"),
                 F.sum("daily_earnings").alias("revenue"),
             )
-            .join(seats, "depot")
+            .join(F.broadcast(seats), "depot")
             .withColumn("seat_kms", F.col("actual_kms") * F.col("avg_seats_per_bus"))
             .withColumn("passenger_kms", F.col("occupancy_ratio") * F.col("actual_kms") * F.col("avg_seats_per_bus"))
             .drop("avg_seats_per_bus")
