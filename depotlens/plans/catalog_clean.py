@@ -212,7 +212,10 @@ def p20(d: Domain):
 
 
 def scope_filter(df, depots, scope: str, value: str | None = None):
-    """All / Region / Rural / Urban / Depot."""
+    """All / Region / Rural / Urban / Depot.
+
+    The depots go to the facts: dealt by depot, a task would sort all facts of a depot.
+    """
     dim = depots
     if scope == "Region":
         dim = dim.filter(F.col("region") == value)
@@ -222,7 +225,7 @@ def scope_filter(df, depots, scope: str, value: str | None = None):
         dim = dim.filter(F.col("depot") == value)
     elif scope != "All":
         raise ValueError(f"unknown scope {scope}")
-    return df.join(dim.select("depot", "region", "category"), "depot")
+    return df.join(F.broadcast(dim.select("depot", "region", "category")), "depot")
 
 
 @query("P21_scope_filter", """

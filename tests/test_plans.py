@@ -2,9 +2,11 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from depotlens.operators import joins, rollups, supply
+from depotlens.plans import QUERIES
 from depotlens.sources import files
 from depotlens.sources.views import Domain
 
@@ -86,3 +88,15 @@ def test_intermediate_tables_can_be_released(spark, monkeypatch):
     path = session._MADE[0]
     assert made.count() == 3 and os.path.isdir(path)
     assert session.release(spark) == 1 and not os.path.exists(path)
+
+
+@pytest.mark.parametrize("name", ["P21_scope_filter", "V16_preflight_services"])
+def test_facts_are_not_sorted_to_meet_depots(spark, folder, name):
+    """However large the tables seem: a task that is dealt the facts of a depot would sort them all."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name].run(spark, folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin [l_suppkey" in text and not re.search(r"SortMergeJoin \[(depot|date)", text)
