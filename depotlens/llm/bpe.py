@@ -2,8 +2,8 @@
 
 Tasks cut the texts of a block into the pattern's matches and number the distinct ones; Spark's higher-order
 functions then fold the ranked merges over the bytes of each distinct word of the block (a character stands for a
-byte or piece, ordered by rank), looking pairs up in a literal map; tasks put the words' ids back in the places of the
-texts.  Nothing is shuffled.  Words over ``Settings.fold_bytes`` (rare: the fold's work grows with the square of the
+byte or piece, ordered by rank), looking pairs up in a literal map (pairs of single bytes come with the word, from a
+table); tasks put the words' ids back in the places of the texts.  Nothing is shuffled.  Words over ``Settings.fold_bytes`` (rare: the fold's work grows with the square of the
 length) are merged with a heap instead, to the same ids.
 
 Defined cases: NULL text counts as empty and has no tokens; rows are never joined, so repeated and NULL ids keep
@@ -18,12 +18,12 @@ import heapq
 import json
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +60,7 @@ def ranks_of(signs: str) -> np.ndarray:
     return code - np.where(code < 0xD800, 0x100, 0x900).astype(np.int32)
 
 
-# After all signs in order (those of a million ranks): no merge, or, at the end of a word, nothing left to merge.
+# After all signs in order (those of a million ranks): no merge.
 END = "\U0010ffff"
 
 
@@ -79,10 +79,10 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)), "array<string>")
 
 
-def folded(word: Column, ranks: Column) -> Column:
-    """Signs of a word's pieces, from those of its bytes: the leftmost pair of least rank is merged until no pair has a rank.
+def folded(word: Column, pairs: Column, ranks: Column) -> Column:
+    """Signs of a word's pieces, from those of its bytes and what each pair of neighbours merges to (END: to none).
 
-    A word that ends with END is merged already.
+    The leftmost pair of least rank is merged until no pair has a rank.  A word without pairs is merged already.
     """
 
     def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -96,27 +96,25 @@ def folded(word: Column, ranks: Column) -> Column:
     def part(text: Column, first: Column, n: Column) -> Column:
         return F.substring(text, first, n)
 
-    def begin(text: Column) -> Column:
-        """The word's signs, and what each pair of neighbours merges to."""
-        pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: merge(part(text, i, F.lit(2))))
-        done = F.endswith(text, F.lit(END)) | (F.length(text) < 2)
-        return F.struct(text.alias("s"), F.when(done, F.lit("")).otherwise(F.array_join(pairs, "")).alias("r"))
-
     def step(state: Column, _: Column) -> Column:
         s, r = state["s"], state["r"]
 
-        def merged(least: Column) -> Column:
-            at = F.call_function("locate", least, r)
+        def merged(least: Column, at: Column) -> Column:
             before = F.when(at > 1, merge(F.concat(part(s, at - 1, F.lit(1)), least))).otherwise(F.lit(""))
             after = F.when(at < F.length(r), merge(F.concat(least, part(s, at + 2, F.lit(1))))).otherwise(F.lit(""))
             rest = F.length(s)
-            return F.when(least == END, F.struct(s.alias("s"), F.lit("").alias("r"))).otherwise(F.struct(
+            return F.struct(
                 F.concat(part(s, F.lit(1), at - 1), least, part(s, at + 2, rest)).alias("s"),
-                F.concat(part(r, F.lit(1), at - 2), before, after, part(r, at + 2, rest)).alias("r")))
+                F.concat(part(r, F.lit(1), at - 2), before, after, part(r, at + 2, rest)).alias("r"))
+
+        def placed(least: Column) -> Column:
+            done = F.struct(s.alias("s"), F.lit("").alias("r"))
+            return F.when(least == END, done).otherwise(let(F.call_function("locate", least, r), lambda at: merged(least, at)))
 
-        return F.when(r == "", state).otherwise(let(F.array_min(F.split(r, "")), merged))
+        return F.when(r == "", state).otherwise(let(F.array_min(F.split(r, "")), placed))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), begin(word), step, lambda state: state["s"])
+    first = F.struct(word.alias("s"), pairs.alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), first, step, lambda state: state["s"])
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -148,59 +146,96 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p]
 
 
-def as_binary(values: array) -> pa.Array:
+def as_binary(values: array | np.ndarray) -> pa.Array:
     """One cell that holds the array's bytes, not copied."""
     data = pa.py_buffer(values)
     return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(array("i", [0, data.size])), data])
 
 
+def strings_of(codes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings of ``sizes`` characters each, from the code points of all of them."""
+    width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+    ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(sizes)])]
+    data = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+
+
+def byte_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each byte's sign and of the sign that each pair of bytes merges to."""
+    of_byte, of_pair = np.arange(256, dtype=np.uint32), np.full((256, 256), ord(END), np.uint32)
+    for piece, rank in ranks.items():
+        if len(piece) == 1:
+            of_byte[piece[0]] = ord(sign(rank))
+        elif len(piece) == 2 and piece[:1] in ranks and piece[1:] in ranks:
+            of_pair[piece[0], piece[1]] = ord(sign(rank))
+    return of_byte, of_pair
+
+
+def numbered(found: Iterator[list[str]], most: int = 1 << 18) -> tuple[pa.Array, np.ndarray, array]:
+    """Distinct words of the lists, the words' numbers in order and each list's length; ``most`` words or so are held as text of Python's."""
+    parts, some, counts = [], [], array("q")
+    for words in found:
+        counts.append(len(words))
+        some += words
+        if len(some) >= most:
+            parts.append(pa.array(some, pa.string()))
+            some = []
+    coded = pa.chunked_array([*parts, pa.array(some, pa.string())]).dictionary_encode().combine_chunks()
+    return coded.dictionary, coded.indices.to_numpy(), counts
+
+
 def blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings) -> DataFrame:
-    """One row of each block: the ids of its rows, its distinct words as signs of their bytes, the words' numbers in order and each text's count."""
+    """One row of each block: the ids of its rows, its distinct words as signs of their bytes and of the bytes' pairs, the words' numbers in order and each text's count."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        cut, of_byte = compiled(pattern), {b: sign(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks}
+        cut, (of_byte, of_pair) = compiled(pattern), byte_tables(ranks)
 
-        def signs(word: bytes) -> str:
-            if word in ranks:
-                return sign(ranks[word]) + END
-            if len(word) > s.fold_bytes:
-                return "".join(map(sign, merged_by_heap(word, ranks))) + END
-            return word.decode("latin-1").translate(of_byte)
+        def signs(words: list[bytes]) -> tuple[pa.Array, pa.Array]:
+            """Signs of the words' bytes, and of their pairs."""
+            flat = np.frombuffer(b"".join(words), np.uint8)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            inside = np.ones(max(len(flat) - 1, 0), bool)
+            inside[np.cumsum(sizes)[:-1] - 1] = False
+            return strings_of(of_byte[flat], sizes), strings_of(of_pair[flat[:-1], flat[1:]][inside], sizes - 1)
 
         def block(part: pa.RecordBatch) -> pa.RecordBatch:
-            number: defaultdict[str, int] = defaultdict()
-            number.default_factory = number.__len__  # a new word gets the next number
-            places, counts = array("i"), array("q")
-            for text in texts_of(part):
-                found = cut.findall(text.as_py())
-                counts.append(len(found))
-                places.extend(map(number.__getitem__, found))
-            words = pa.array([signs(w.encode()) for w in number], pa.string())
+            words, places, counts = numbered(cut.findall(text.as_py()) for text in texts_of(part))
+            words = [w.encode() for w in words.to_pylist()]
+            whole = np.fromiter((w in ranks or len(w) > s.fold_bytes for w in words), bool, len(words))
+            order = np.argsort(whole, kind="stable")  # words that are merged already come last
+            place_of = np.empty(len(words), np.int32)
+            place_of[order] = np.arange(len(words), dtype=np.int32)
+            places = place_of[places]
+            n = len(words) - int(whole.sum())
+            # Some thousand words at a time: code points take many times a word's bytes.
+            made = [signs([words[k] for k in order[a:min(a + 20_000, n)]]) for a in range(0, n, 20_000)]
+            merged = ["".join(map(sign, [ranks[w]] if w in ranks else merged_by_heap(w, ranks))) for w in map(words.__getitem__, order[n:])]
+            cells = zip(*made, (pa.array(merged, pa.string()), pa.array([""] * len(merged), pa.string())), strict=True)
             own = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
-            words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            return pa.RecordBatch.from_arrays([own, words, as_binary(places), as_binary(counts)], ["id", "words", "places", "counts"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.concat_arrays(c)) for c in cells]
+            return pa.RecordBatch.from_arrays([own, *lists, as_binary(places), as_binary(counts)], ["id", "words", "pairs", "places", "counts"])
 
         for batch in batches:
             for part in slices(batch, most=s.block_bytes):
                 yield block(part)
 
-    return docs.mapInArrow(lambda b: given_back(run(b)), f"id array<{kind}>, words array<string>, places binary, counts binary")
+    return docs.mapInArrow(lambda b: given_back(run(b)), f"id array<{kind}>, words array<string>, pairs array<string>, places binary, counts binary")
 
 
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings) -> DataFrame:
     """The blocks with their words merged."""
-    merged = F.transform(F.array(rank_map(ranks)), lambda map_: F.transform("words", lambda w: folded(w, map_)))
-    return blocks(docs, ranks, pattern, s).withColumn("words", F.get(merged, F.lit(0)))
+    merged = F.transform(F.array(rank_map(ranks)), lambda map_: F.zip_with("words", "pairs", lambda w, p: folded(w, p, map_)))
+    return blocks(docs, ranks, pattern, s).withColumn("words", F.get(merged, F.lit(0))).drop("pairs")
 
 
 class MergedBlock:
     """A block whose words are merged: the token ids of its distinct words, and the words of its texts."""
 
     def __init__(self, batch: pa.RecordBatch, k: int):
-        words = [w.rstrip(END) for w in batch.column("words")[k].values.to_pylist()]
-        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.flat = ranks_of("".join(words))
+        words = batch.column("words")[k].values
+        self.sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+        self.flat = ranks_of("".join(words.to_pylist()))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.places = np.frombuffer(batch.column("places")[k].as_buffer(), np.int32)
         self.counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)

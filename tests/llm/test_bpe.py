@@ -1,6 +1,7 @@
 import hashlib
 import os
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -62,3 +63,22 @@ def test_ranks_of_large_vocabularies(spark, first):
     docs = spark.createDataFrame([(1, "abcdx xyz abcdxyz anbocp")], "doc_id long, text string")
     got = bpe.encoded(docs, ranks, public_tokenizers.PATTERN).first().ids
     assert got == [i for w in bpe.compiled(public_tokenizers.PATTERN).findall("abcdx xyz abcdxyz anbocp") for i in bpe.merged_by_heap(w.encode(), ranks)]
+
+
+def test_pairs_of_bytes_come_with_the_words(spark, ranks):
+    """A word not merged yet brings what its neighbouring bytes merge to, so that the fold looks up new pairs only; a merged one brings none."""
+    docs = spark.createDataFrame([(1, "the \u00e9zqvx the"), (2, None), (3, "x" * 100)], "id long, text string").coalesce(1)
+    rows = bpe.blocks(docs, ranks, public_tokenizers.PATTERN, bpe.Settings()).collect()
+    got = {w: p for r in rows for w, p in zip(r.words, r.pairs, strict=True)}
+
+    def signs(ids):
+        return "".join(map(bpe.sign, ids))
+
+    def pair(a, b):
+        return bpe.sign(ranks[bytes([a, b])]) if bytes([a, b]) in ranks else bpe.END
+
+    word = " \u00e9zqvx".encode()
+    assert got == {
+        signs([ranks[b"the"]]): "", signs([ranks[b" the"]]): "", signs(bpe.merged_by_heap(b"x" * 100, ranks)): "",
+        signs(ranks[bytes([b])] for b in word): "".join(map(pair, word, word[1:]))}
+    assert [c for r in rows for c in np.frombuffer(r.counts, np.int64)] == [3, 0, 1]
