@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.llm.text import given_back, only, slices, texts_of
+from depotlens.llm.text import give_back, given_back, only, slices, texts_of
 
 LOOKUP_BUCKETS = 1 << 17
 
@@ -218,7 +218,9 @@ def blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s: Settings)
 
         for batch in batches:
             for part in slices(batch, most=s.block_bytes):
-                yield block(part)
+                made = block(part)
+                give_back()  # what numbering took isn't held while the words are merged
+                yield made
 
     return docs.mapInArrow(lambda b: given_back(run(b)), f"id array<{kind}>, words array<string>, pairs array<string>, places binary, counts binary")
 

@@ -38,6 +38,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; at their end the worker, which later tasks use again, gives freed memory back to the machine."""
     yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the machine."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
