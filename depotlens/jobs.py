@@ -61,7 +61,8 @@ def plan_next(
 ) -> tuple[DataFrame, DataFrame]:
     """Forecast of each depot's next plan day into the ledger, and both engines' schedules from it: (trip plan, slot plan) as written.
 
-    Predictions that the ledger holds already stay as they are and are the ones planned for.
+    Predictions that the ledger holds already stay as they are and are the ones planned for.  Of ``service_daily``
+    only the days that an engine looks back on are written, from which both read.
     """
     spark, key = gold.sparkSession, ["depot", "prediction_date"]
     rows = fc.future_rows(gold, lunar, holidays, weather)
@@ -75,8 +76,10 @@ def plan_next(
     held = snapshots.read(spark, ledger, snapshots.schema(spark, ledger), only=st.months_of(fresh))
     forecast = held.join(fresh.select(*key), key, "left_semi").select("depot", F.col("predicted_passenger_kms").alias("predicted_pkm"))
     forecast = materialise(forecast, "forecast")
-    trips = supply.trip_schedule(services, service_daily, forecast, shares, target)
-    slots = supply.slot_schedule(services, service_daily, forecast, target)
+    days = max(supply.TripPolicy.lookback_days, supply.SlotPolicy.lookback_days)
+    recent = materialise(supply.lookback(service_daily, target, days), "recent-days")
+    trips = supply.trip_schedule(services, recent, forecast, shares, target)
+    slots = supply.slot_schedule(services, recent, forecast, target)
     files.write_schedule(trips, target, f"{schedules}/trips")
     files.write_schedule(slots, target, f"{schedules}/slots")
     return tuple(spark.read.schema(p.schema).parquet(f"{schedules}/{kind}") for kind, p in (("trips", trips), ("slots", slots)))

@@ -4,6 +4,9 @@ Services are unique on (depot, service_number).  Caps are row_number limits, whi
 Spark also applies before the shuffle, so a depot with most of the services sends
 at most a capped number of rows per task; totals are combined aggregates joined
 back.  Nothing gathers a depot's services in one place.
+
+What the master meets (gaps, recent days, changes, slots) is written first: of a written
+table Spark knows the size, and sends a small one to the services where they lie.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from depotlens.functions.timeparts import in_peak
 from depotlens.operators.features import share
 from depotlens.operators.rollups import mean_daily
+from depotlens.session import materialise
 
 
 # Limits of both policies.
@@ -185,9 +189,9 @@ def impact(cands: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def trip_schedule(services: DataFrame, ops: DataFrame, forecast: DataFrame, shares: DataFrame, target, policy: TripPolicy = TripPolicy()) -> DataFrame:
-    cands = candidates(services, recent_or(ops, target, policy.lookback_days), policy)
-    gap = depot_gap(services, forecast, shares, policy)
-    return impact(cands, trip_changes(gap, cands, policy))
+    cands = candidates(services, materialise(recent_or(ops, target, policy.lookback_days), "recent"), policy)
+    gap = materialise(depot_gap(services, forecast, shares, policy), "gap")
+    return impact(cands, materialise(trip_changes(gap, cands, policy), "changes"))
 
 
 TRIP_ACTIONS = ["STOP", "DECREASE", "INCREASE", "NO_CHANGE"]
@@ -230,7 +234,8 @@ def quadrant(epk: Column, cpk: Column, load: Column, edge: float = SlotPolicy.qu
 def epk(services: DataFrame, ops: DataFrame, forecast: DataFrame, target, policy: SlotPolicy = SlotPolicy()) -> DataFrame:
     """Forecast spread over services, and what each earns per kilometre."""
     keys = ["depot", "service_number"]
-    base = services.join(forecast, "depot").join(service_economics(ops, target, policy.lookback_days), keys, "left")
+    economics = materialise(service_economics(ops, target, policy.lookback_days), "economics")
+    base = services.join(forecast, "depot").join(economics, keys, "left")
     km = F.col("planned_kms")
     return (
         base.withColumn("allocated_pkm", F.col("predicted_pkm") * F.coalesce("weight", F.lit(0.0)))
@@ -277,7 +282,7 @@ def next_slot(services: DataFrame) -> DataFrame:
 
 
 def suggest_slot(decided: DataFrame, services: DataFrame) -> DataFrame:
-    slots = next_slot(services).drop("next_sec")
+    slots = materialise(next_slot(services).drop("next_sec"), "slots")
     joined = decided.join(slots, ["depot", "route", "dep_sec"], "left")
     return joined.withColumn("suggested_new_slot", F.when(F.col("action") == "ADD_SLOT", F.col("slot"))).drop("slot")
 

@@ -100,3 +100,49 @@ def test_facts_are_not_sorted_to_meet_depots(spark, folder, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "SortMergeJoin [l_suppkey" in text and not re.search(r"SortMergeJoin \[(depot|date)", text)
+
+
+def test_schedules_meet_the_services_where_they_lie(spark, frame):
+    """Gaps, changes, recent days and slots are small beside the master: it isn't shuffled or sorted to meet them."""
+    from depotlens.session import materialise
+
+    services = materialise(frame(
+        [("A", str(i), f"r{i % 3}", "p", 2, 10.0, 60 * i, 1, 20.0, 40.0, 20.0) for i in range(60)] + [("B", "7", None, "p", 1, 5.0, None, 0, None, 40.0, 5.0)],
+        "depot string, service_number string, route string, product string, planned_trips int, km_per_trip double, dep_sec int, can_be_cancelled int, "
+        "breakeven_cpk double, avg_seats_per_bus double, planned_kms double"), "services")
+    ops = materialise(frame(
+        [("A", "2001-11-01", str(i), 0.5, 100.0, 10.0 * i) for i in range(60)] + [("A", "2001-10-01", "1", 0.9, 1.0, 1.0), ("A", "2001-11-01", None, 0.9, 1.0, 1.0)],
+        "depot string, date string, service_number string, occupancy_ratio double, revenue double, passenger_kms double").withColumn("date", F.col("date").cast("date")), "ops")
+    forecast = materialise(frame([("A", 100.0), ("B", 1.0)], "depot string, predicted_pkm double"), "forecast")
+    shares = materialise(frame([("A", 0.75)], "depot string, target_share double"), "shares")
+    trips = supply.trip_schedule(services, ops, forecast, shares, "2001-11-05")
+    slots = supply.slot_schedule(services, ops, forecast, "2001-11-05")
+    for df in (trips, slots):
+        assert not re.search(r"SortMergeJoin|Exchange hashpartitioning", plan(df))
+        assert df.count() == 61
+    assert trips.filter("action = 'DECREASE'").groupBy("route").count().filter("count != 2").count() == 0 and trips.filter("trip_change != 0").count() == 6
+    assert slots.agg(F.sum("allocated_pkm")).first()[0] == pytest.approx(100.0 * 17700 / 17701)  # a service without a number isn't in the master
+
+
+def test_drivers_go_to_the_facts(spark, frame, tmp_path):
+    """Their size is known from the written table, not guessed as that of suppliers times nations."""
+    tables = {
+        "region": ([(0, "R")], "r_regionkey long, r_name string"), "nation": ([(0, "N0", 0), (1, "N1", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        "supplier": ([(1, 0), (2, 1), (3, None), (None, 0)], "s_suppkey long, s_nationkey long"),
+    }
+    for name, (own, schema) in tables.items():
+        frame(own, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(20_000).select(
+        F.col("id").alias("l_orderkey"), F.nullif(F.col("id") % 4, F.lit(0)).alias("l_suppkey"), F.nullif(F.col("id") % 5, F.lit(0)).alias("l_partkey"), F.lit(1).alias("l_linenumber"),
+        F.rand(1).alias("l_quantity"), F.rand(2).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+        F.lit("2001-11-01").cast("timestamp_ntz").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        d = Domain(spark, str(tmp_path))
+        daily = d.written("service_daily")
+        text = plan(d.operations)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin [l_suppkey" in text and "SortMergeJoin" not in text
+    assert {(r.depot, r.service_number, r.actual_trips) for r in daily.collect()} == {(n, k, 1000) for n in ("N0", "N1") for k in ("1", "2", "3", "4", None)}
