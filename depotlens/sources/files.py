@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from depotlens.operators.ledger import with_columns
 from depotlens.operators.quality import classify_file, require_complete
 from depotlens.operators.reshape import upsert
+from depotlens.sources import digests
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -109,10 +110,44 @@ def log_rows(rows: DataFrame, path: str, batch: int | str = 0) -> str:
     return path
 
 
-def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of every file."""
+def _local_paths(spark: SparkSession, paths: list[str]) -> list[str] | None:
+    """Where the files lie as plain files, mount points (viewfs) followed; None if one lies in another kind of store."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in map(hadoop.Path, paths):
+        uri = path.getFileSystem(conf).resolvePath(path).toUri()
+        if uri.getScheme() != "file":
+            return None
+        found.append(uri.getPath())
+    return found
+
+
+def _hashes_by_part(spark: SparkSession, files: list[tuple[str, int, int]], part_bytes: int) -> list[str]:
+    """SHA-256 of (path, modified, length), a task for each part of a file, all files side by side; only the states between parts come to the driver."""
+    states = [digests.start()] * len(files)
+    for first in range(0, max(length for _, _, length in files), part_bytes):
+        parts = [(i, states[i], path, modified, first, min(part_bytes, length - first))
+                 for i, (path, modified, length) in enumerate(files) if first < length]
+        for i, state in spark.sparkContext.parallelize(parts, len(parts)).map(lambda p: (p[0], digests.add_range(*p[1:]))).collect():
+            states[i] = state
+    return [digests.finish(state) for state in states]
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*", part_bytes: int = 128 << 20) -> DataFrame:
+    """SHA-256 and size of every file.
+
+    Files over ``part_bytes`` are hashed part after part, by a task each.  Where they aren't plain files to Python (object stores, HDFS) or its
+    OpenSSL gives no state out, Spark reads each as one cell, which ends at 2 GB.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    large = files.filter(F.col("length") > part_bytes).select("path", F.unix_millis("modificationTime"), "length", name).collect()
+    places = _local_paths(spark, [r.path for r in large]) if large and digests.available() else None
+    if not places:
+        return files.select(name, "length", F.sha2("content", 256).alias("sha256"))
+    hashes = _hashes_by_part(spark, [(place, r[1], r.length) for place, r in zip(places, large)], part_bytes)
+    by_part = spark.createDataFrame([(r.file, r.length, h) for r, h in zip(large, hashes)], "file string, length long, sha256 string")
+    return files.filter(F.col("length") <= part_bytes).select(name, "length", F.sha2("content", 256).alias("sha256")).union(by_part)
 
 
 def export(df: DataFrame, labels: dict[str, str], path: str) -> str:

@@ -1,6 +1,8 @@
 """Hand-worked rows for single operators."""
 
 import datetime as dt
+import hashlib
+import random
 
 import pytest
 from conftest import rows
@@ -11,7 +13,7 @@ from depotlens.functions import clean, timeparts
 from depotlens.functions.kpi import derive_kpis
 from depotlens.operators import features as ft
 from depotlens.operators import joins, ledger, quality, quantiles, ratios, reshape, retrieval, rollups, supply
-from depotlens.sources import files
+from depotlens.sources import digests, files
 from depotlens.sources.views import MU_REASONS, SL_REASONS
 
 
@@ -134,6 +136,47 @@ def test_hash_of_a_file(spark, tmp_path):
     assert files.file_hashes(spark, str(tmp_path)).collect()[0].sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 
 
+def test_hash_of_a_file_over_two_gigabytes(spark, tmp_path):
+    size = (2 << 30) + 5
+    with open(tmp_path / "a.bin", "wb") as file:
+        file.truncate(size)  # sparse
+        file.seek(size - 1)
+        file.write(b"x")
+    with open(tmp_path / "a.bin", "rb") as file:
+        want = hashlib.file_digest(file, "sha256").hexdigest()
+    assert rows(files.file_hashes(spark, str(tmp_path))) == [("a.bin", size, want)]
+
+
+def test_hashes_by_part(spark, tmp_path, monkeypatch):
+    part, want = 1000, []
+    for size in (1, 64, part - 1, part, part + 1, 2 * part, 3 * part + 63):
+        name, data = f"f {size:04d}%20.bin", random.Random(size).randbytes(size)
+        (tmp_path / name).write_bytes(data)
+        want.append((name, size, hashlib.sha256(data).hexdigest()))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.hashes.link./in", tmp_path.as_uri())
+    for path in (str(tmp_path), "viewfs://hashes/in"):
+        spark.sparkContext.setJobGroup(path, "hashes by part")
+        out = files.file_hashes(spark, path, "*.bin", part)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(path)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(jobs) == 1 + 4  # the list of files; each part of the largest
+        assert rows(out, "file") == want
+    monkeypatch.setattr(digests, "available", lambda: False)
+    assert rows(files.file_hashes(spark, str(tmp_path), "*.bin", part), "file") == want
+
+
+def test_a_file_changed_between_its_parts_fails(tmp_path):
+    path = tmp_path / "a.bin"
+    path.write_bytes(b"abc")
+    modified = path.stat().st_mtime_ns // 1_000_000
+    state = digests.add_range(digests.start(), str(path), modified, 0, 2)
+    assert digests.finish(digests.add_range(state, str(path), modified, 2, 1)) == hashlib.sha256(b"abc").hexdigest()
+    with pytest.raises(OSError):
+        digests.add_range(state, str(path), modified, 2, 2)
+    with pytest.raises(OSError):
+        digests.add_range(state, str(path), modified - 5, 2, 1)
+
+
 def test_fuzzy_names(frame):
     depots = frame([("HAKIMPET",), ("MIYAPUR-I",), ("MIYAPUR-II",), ("WARANGAL CITY NORTH",)], "depot string")
     typed = frame([("hakimpet ",), ("miyapur",), ("north city warangal",), ("depot hakimpet east",), ("zzz",), ("",), (None,)], "name string")
