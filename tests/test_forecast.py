@@ -214,3 +214,42 @@ def test_trees_of_a_sample_score_as_their_rows_did():
         total += value[ends]
     cuts = [np.arange(w - 1) + 0.0 for w in widths]
     assert bt.scores(bins.astype(float), bt.tree_rows("y", grown, cuts), block=70) == pytest.approx(total)
+
+
+@pytest.mark.parametrize("within, processes", [([0, 1], 1), ([0, 1], 3), ([1], 2), ([], 2)])
+def test_a_grid_grows_the_trees_of_its_rows(within, processes):
+    """Lines against places, with empty cells, a hold-out and blocks in other processes: the same trees and errors."""
+    rng = np.random.default_rng(7)
+    places = np.unique(rng.integers(0, 9, (150, 3)), axis=0)
+    bins = np.array([(a, b, *p) for a in range(6) for b in range(5) for p in places if rng.random() < 0.8], np.uint8)
+    n, widths, settings = len(bins), [6, 5, 9, 9, 9], bt.TreeSettings(trees=30, depth=4, step=0.2, subsample=1.0, patience=30)
+    y, weight, held = bins[:, 2] + np.sin(bins[:, 0]) * bins[:, 3] + rng.normal(size=n), rng.integers(1, 5, n).astype(float), rng.random(n) < 0.2
+    grid = bt.lay_out(bins, within, held)
+    assert len(grid.lines) == {2: 30, 1: 5, 0: 1}[len(within)]
+    rows, cells = bt.grow(bins, y, weight, widths, settings, held, 3.0), bt.grow_grid(grid, weight * y, weight, widths, settings, 3.0, processes)
+    assert cells.errors == pytest.approx(rows.errors, rel=1e-9) and len(cells.trees) == len(rows.trees)
+    cuts = [np.arange(w - 1) + 0.0 for w in widths]
+    a, b = (bt.scores(bins.astype(float), bt.tree_rows("y", grown, cuts)) for grown in (rows, cells))
+    assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_samples_of_a_grid_do_not_depend_on_the_processes():
+    rng = np.random.default_rng(9)
+    bins = np.array([(a, b) for a in range(12) for b in range(40)], np.uint8)
+    y, settings = rng.normal(size=480) + bins[:, 1], bt.TreeSettings(trees=20, depth=3, step=0.2)
+    found = [bt.grow_grid(bt.lay_out(bins, [0]), y, np.ones(480), [12, 40], settings, processes=p) for p in (1, 4)]
+    for a, b in zip(found[0].trees, found[1].trees, strict=True):
+        assert all(np.array_equal(x, z) for x, z in zip(a, b, strict=True))
+
+
+def test_every_distinct_row_grows_a_pooled_model(spark):
+    """Beyond ``most_rows`` too: the model is that of all rows, not of a part of them."""
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 40), rng.randint(0, 30), rng.random(), k % 6 == 0) for k in range(3000)]
+    df = spark.createDataFrame([(a, b, a * (b % 4) + c, c if a % 5 else None, h) for a, b, c, h in rows], "a int, b int, y double, z double, h boolean")
+    settings = bt.TreeSettings(trees=15, depth=4, step=0.3, subsample=1.0, patience=20)
+    for within, holdout in (([], None), (["a"], "h")):
+        models = [bt.fit(df, ["a", "b"], ["y", "z"], s, holdout, within) for s in (settings, replace(settings, most_rows=100))]
+        found = [sorted(bt.predict(m, df.select("a", "b")).distinct().toPandas().itertuples(index=False, name=None)) for m in models]
+        assert models[0].rounds == models[1].rounds
+        assert np.array(found[1]) == pytest.approx(np.array(found[0]), rel=1e-9)
