@@ -253,3 +253,16 @@ def test_every_distinct_row_grows_a_pooled_model(spark):
         found = [sorted(bt.predict(m, df.select("a", "b")).distinct().toPandas().itertuples(index=False, name=None)) for m in models]
         assert models[0].rounds == models[1].rounds
         assert np.array(found[1]) == pytest.approx(np.array(found[0]), rel=1e-9)
+
+
+def test_duties_grow_from_all_their_rows(spark):
+    """The model of more distinct rows than ``most_rows`` is that of all of them."""
+    settings = bt.TreeSettings(trees=2, depth=2, subsample=1.0, most_rows=10)
+    days = [(e, f"D{e % 3}", dt.date(2024, 1, 1) + dt.timedelta(days=k), str(k), float(e + k % 9), 4.0 + e % 4, e % 5, float(e), float(e % 4)) for e in range(12) for k in range(60)]
+    rows = spark.createDataFrame(days, "employee_id int, depot string, operations_date date, service_number string, opd_kms double, steering_hours double, grade_code int, emp_avg_km double, emp_avg_hours double")
+    rows = rows.withColumns({"month": F.month("operations_date"), "dow": F.weekday("operations_date"), "depot_avg_km": F.lit(1.0), "depot_avg_hours": F.lit(2.0)})
+    want = {}
+    for most in (10, 1_000_000):
+        model, scored = fc.train_duties(rows, replace(settings, most_rows=most))
+        want[most] = sorted((r.employee_id, r.opd_kms, round(r.pred_opd_kms, 9), round(r.pred_steering_hours, 9)) for r in scored.collect())
+    assert want[10] == want[1_000_000] and len(want[10]) > 50
