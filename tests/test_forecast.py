@@ -266,3 +266,12 @@ def test_duties_grow_from_all_their_rows(spark):
         model, scored = fc.train_duties(rows, replace(settings, most_rows=most))
         want[most] = sorted((r.employee_id, r.opd_kms, round(r.pred_opd_kms, 9), round(r.pred_steering_hours, 9)) for r in scored.collect())
     assert want[10] == want[1_000_000] and len(want[10]) > 50
+
+
+def test_demand_grows_from_all_its_rows(spark):
+    """More distinct depot days than ``most_rows``, with a hold-out: the model is that of all of them."""
+    settings = bt.TreeSettings(trees=2, depth=2, subsample=1.0, most_rows=10)
+    series = [(f"D{d}", dt.date(2024, 1, 1) + dt.timedelta(days=k), 1.0, float(d * 10 + k % 7), float(k % 7), k % 7) for d in range(4) for k in range(80)]
+    feats = spark.createDataFrame(series, "depot string, date date, actual_kms double, passenger_kms double, pkm_lag_7 double, weekday int")
+    found = [sorted((r.depot, r.date, round(r.predicted, 9)) for r in fc.train_demand(feats, 20, replace(settings, most_rows=most))[1].collect()) for most in (10, 1_000_000)]
+    assert found[0] == found[1] and len(found[0]) == 80
