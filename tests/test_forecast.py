@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotlens.operators import boosting as bt
+from depotlens.operators import joins
 from depotlens.operators import forecast as fc
 from depotlens.plans import QUERIES, catalog_forecast
 from depotlens.plans.catalog_forecast import Domain
@@ -275,3 +276,31 @@ def test_demand_grows_from_all_its_rows(spark):
     feats = spark.createDataFrame(series, "depot string, date date, actual_kms double, passenger_kms double, pkm_lag_7 double, weekday int")
     found = [sorted((r.depot, r.date, round(r.predicted, 9)) for r in fc.train_demand(feats, 20, replace(settings, most_rows=most))[1].collect()) for most in (10, 1_000_000)]
     assert found[0] == found[1] and len(found[0]) == 80
+
+
+def test_many_rows_are_scored_as_a_grid(spark, monkeypatch):
+    """The same values as row by row, whatever stands in the lines, for distinct and repeated rows."""
+    rng = random.Random(6)
+    drivers = [(rng.random(), rng.randint(0, 9)) for _ in range(40)]
+    rows = [(k % 7, rng.randint(0, 4), *drivers[k // 50], rng.random()) for k in range(2000)]
+    df = spark.createDataFrame([(*r, r[2] * 3 + r[0] * r[3] + r[4]) for r in rows], "dow int, month int, avg double, grade int, noise double, y double")
+    inputs = ["dow", "avg", "month", "grade"]
+    model = bt.fit(df, inputs, ["y"], bt.TreeSettings(trees=12, depth=5, step=0.3))
+    x, trees = np.array([[r[0], r[2], r[1], r[3]] for r in rows], float), model.table.toPandas().sort_values("round")
+    want = bt.scores(x, trees)
+    assert all(np.array_equal(bt.grid_scores(x, trees, within), want) for within in ([0, 2], [1], []))
+    monkeypatch.setattr(bt, "GRID_ROWS", 1200)
+    one = df.coalesce(1)
+    found = [sorted(tuple(r) for r in bt.predict(model, one, "p", within).collect()) for within in ([], ["dow", "month"])]
+    assert found[0] == found[1] and len(found[0]) == 2000
+
+
+def test_steering_that_has_its_counts_fills_the_same_hours(spark):
+    """Services without a master row, in it twice, without a depot: the median weighs duties as if they were counted from the facts."""
+    rng = random.Random(2)
+    ops = spark.createDataFrame([(rng.choice(["A", "B", None]), str(rng.randint(0, 9))) for _ in range(200)], "depot string, service_number string")
+    master = spark.createDataFrame([(str(k % 7), 4.0 + k % 5, k % 3) for k in range(9)], "service_number string, steering_hours double, no_of_drvs int")
+    plain = ops.distinct().join(master, "service_number")
+    counted = ops.groupBy("depot", "service_number").agg(F.count("*").alias("duties")).join(master, "service_number")
+    found = [sorted(tuple(map(str, r)) for r in joins.with_steering(ops, steering).collect()) for steering in (plain, counted)]
+    assert found[0] == found[1] and any("Estimated (Median)" in r for r in found[0])
